@@ -1,8 +1,8 @@
 """The registered queries of the core."""
 
-from docloom.plans import nested
+from docloom.plans import nested, relational
 
-_MODULES = (nested,)
+_MODULES = (nested, relational)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
