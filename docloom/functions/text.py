@@ -101,7 +101,7 @@ def compact(text: Column | str, most: int = 900) -> Column:
 
 def content_lines(text: Column | str, least: int = 5, noise: str = r"(?iu)^(cộng hòa xã hội|độc lập - tự do|trang \d+|page \d+)") -> Column:
     """The lines that carry content: not short, no letterhead or page mark, no bare code."""
-    lines = F.transform(F.split(_c(text), "\n"), F.trim)
+    lines = F.transform(F.split(_c(text), "\n"), lambda y: F.trim(y))
     kept = F.filter(lines, lambda x: (F.length(x) >= least) & ~x.rlike(noise) & ~x.rlike(r"^[A-Z0-9\s-]{1,12}$"))
     return F.array_join(kept, "\n")
 
@@ -148,7 +148,7 @@ def clean_answer(text: Column | str) -> Column:
     out = F.regexp_replace(_c(text), r"(?s)(<\|im_end\|>|</s>|\n(?:Câu hỏi|Question)\s*:).*$", "")
     out = F.regexp_replace(out, r"(?iu)^\s*(?:assistant|trả lời|answer)\s*:?\s*", "")
     out = F.regexp_replace(out, r"\[E\d+\]", "")
-    lines = F.filter(F.transform(F.split(out, "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"(?iu)^(?:số|ngày|nguồn|document_id)\s*:"))
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda y: F.trim(y)), lambda x: (x != "") & ~x.rlike(r"(?iu)^(?:số|ngày|nguồn|document_id)\s*:"))
     keep = F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))).alias("at")), lambda x: x["line"].isNotNull())
     firsts = F.filter(keep, lambda x: F.array_position(F.transform(lines, F.lower), F.lower(x["line"])) == x["at"])
     return F.trim(F.array_join(F.transform(firsts, lambda x: x["line"]), "\n"))

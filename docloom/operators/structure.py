@@ -59,7 +59,7 @@ def reading_order() -> list[Column]:
 def lines(blocks: DataFrame) -> DataFrame:
     """Lines of the blocks in reading order, ``seq`` from 1; a table is one line."""
     ordered = blocks.withColumn("_at", F.row_number().over(Window.partitionBy("document_id").orderBy(*reading_order())))
-    split = F.when(F.col("block_type") == "table", F.array("norm")).otherwise(F.filter(F.transform(F.split("norm", "\n"), F.trim), lambda x: x != ""))
+    split = F.when(F.col("block_type") == "table", F.array("norm")).otherwise(F.filter(F.transform(F.split("norm", "\n"), lambda y: F.trim(y)), lambda x: x != ""))
     rows = ordered.select("*", F.posexplode(split).alias("segment", "text"))
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy("document_id").orderBy("_at", "segment"))).drop("_at")
 

@@ -1,8 +1,8 @@
 """The registered queries of the core."""
 
-from docloom.plans import nested, relational, retrieval, structure, texts
+from docloom.plans import chunking, nested, relational, retrieval, structure, texts
 
-_MODULES = (nested, relational, retrieval, texts, structure)
+_MODULES = (nested, relational, retrieval, texts, structure, chunking)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
