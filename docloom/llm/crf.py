@@ -136,11 +136,31 @@ class Decoder:
         self.model, self.features, self.keep = model, features, keep
         self.size = len(model.labels)
         self.outside = model.labels.index("O") if "O" in model.labels else 0
-        real = model.moves[model.moves > -1e3]
-        #: a token whose lead for "outside" is above this can't have another label in a best path
-        self.sure = float(2 * (real.max() - real.min())) + 1e-3
+        #: begin and inside labels of each kind, which may not be parted
+        self.parts = [(model.labels.index(b), model.labels.index("I" + b[1:])) for b in model.labels if b[:2] == "B-" and "I" + b[1:] in model.labels]
+        self._bounds()
         self._reset()
 
+    def _bounds(self) -> None:
+        """What the moves of a best path can gain at most by a label other than outside.
+
+        ``gain``: over being outside at that token alone. ``anew``: over being
+        outside where an inside label follows, which then has to begin anew.
+        """
+        moves, o = self.model.moves.astype(np.float64), self.outside
+        fine = moves > -1e3
+        inside = np.zeros(self.size, dtype=bool)
+        inside[[i for _, i in self.parts]] = True
+        into = np.where(fine, moves - moves[:, [o]], -np.inf).max(axis=0)
+        out_of = np.where(fine & ~inside[None], moves - moves[[o]], -np.inf).max(axis=1)
+        self.gain = (into + out_of + 1e-3).astype(np.float32)
+        self.anew = []
+        for b, i in self.parts:
+            rest = np.where(fine[i], moves[i] - moves[b], -np.inf).max()
+            for x in (b, i):
+                if fine[x, i]:
+                    self.anew.append((x, b, i, np.float32(into[x] + moves[x, i] - moves[o, b] + rest + 1e-3)))
+
     def _reset(self) -> None:
         self.types: dict[str, int] = {}
         self.scores = np.zeros((1024, len(OFFSETS), self.size), dtype=np.float32)
@@ -179,9 +199,15 @@ class Decoder:
         for o, off in enumerate(OFFSETS):
             lo, hi = max(0, -off), min(n, n - off)
             score[lo:hi] += self.scores[ids[lo + off : hi + off], o]
-        rest = np.delete(score, self.outside, axis=1).max(axis=1)
-        lead = score[:, self.outside] - rest
-        live = lead <= self.sure
+        # a token that can't gain by another label is outside in every best path, and parts the rest into runs
+        out_score = score[:, self.outside]
+        best = np.full(n, -np.inf, dtype=np.float32)
+        for x in range(self.size):
+            if x != self.outside:
+                np.maximum(best, score[:, x] + self.gain[x], out=best)
+        for x, b, i, more in self.anew:
+            np.maximum(best[:-1], score[:-1, x] + (score[1:, i] - score[1:, b] + more), out=best[:-1])
+        live = best >= out_score
         live[ids == self.types[PAD]] = False
         out = np.full(n, self.outside, dtype=np.int8)
         if live.any():
@@ -194,32 +220,22 @@ class Decoder:
         return out[keep], np.concatenate(([0], np.cumsum(lengths)))
 
     def _runs(self, score: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
-        """Best labels of runs that have "outside" (or nothing) on both sides, runs of like length together."""
+        """Best labels of runs that have "outside" (or nothing) on both sides, all of them at once, step by step; ended runs drop out."""
         moves, outside = self.model.moves, self.outside
-        lengths = ends - starts
-        order = np.argsort(lengths, kind="stable")
-        at = 0
-        while at < len(order):
-            longest = int(lengths[order[at]])
-            stop = at
-            while stop < len(order) and lengths[order[stop]] <= max(longest + 2, int(longest * 1.3)) and stop - at < 20_000:
-                stop += 1
-            rows = order[at:stop]
-            at = stop
-            size = int(lengths[rows].max())
-            first, many = starts[rows], lengths[rows]
-            best = moves[outside] + score[first]
-            back = np.zeros((size, len(rows), self.size), dtype=np.int8)
-            final = best + moves[:, outside]
-            last = final.argmax(axis=1)
-            for t in range(1, size):
-                live = many > t
-                here = best[:, :, None] + moves
-                back[t] = here.argmax(axis=1)
-                step = here.max(axis=1) + score[np.minimum(first + t, len(score) - 1)]
-                best = np.where(live[:, None], step, best)
-                last = np.where(live, (best + moves[:, outside]).argmax(axis=1), last)
-            for t in range(size - 1, -1, -1):
-                live = many > t
-                out[first[live] + t] = last[live]
-                last = np.where(live & (t > 0), back[t][np.arange(len(rows)), last], last)
+        order = np.argsort(starts - ends, kind="stable")
+        first, many = starts[order], (ends - starts)[order]
+        active = np.searchsorted(-many, -np.arange(int(many[0]) + 1), side="left")
+        best = moves[outside] + score[first]
+        back: list[np.ndarray] = [np.zeros((0, self.size), dtype=np.int8)]
+        for t in range(1, int(many[0])):
+            k = int(active[t])
+            here = best[:k, :, None] + moves
+            came = here.argmax(axis=1)
+            best[:k] = np.take_along_axis(here, came[:, None, :], axis=1)[:, 0] + score[first[:k] + t]
+            back.append(came.astype(np.int8))
+        last = (best + moves[:, outside]).argmax(axis=1)
+        for t in range(int(many[0]) - 1, -1, -1):
+            k = int(active[t])
+            out[first[:k] + t] = last[:k]
+            if t:
+                last[:k] = back[t][np.arange(k), last[:k]]

@@ -89,7 +89,7 @@ def canonical(text: str) -> str:
             return "".join(letters.get(c, c) for c in word)
         return word
 
-    return _WORD.sub(latin, unicodedata.normalize("NFC", text.translate(plain)))
+    return unicodedata.normalize("NFC", _WORD.sub(latin, unicodedata.normalize("NFC", text.translate(plain))))
 
 
 

@@ -341,7 +341,7 @@ def paragraphs(lines: list[Line]) -> list[tuple[int, str]]:
         if line.label in ("running", "pageno") or not line.plain.strip():
             continue
         piece = line.fixed.strip()
-        if last is not None and last.label != "break" and line.page == last.page:
+        if last is not None and (last.label != "break" or "hyphen" in last.kinds) and line.page == last.page:
             text = re.sub(rf"\s?[{_HYPHENS}]\s*$", "", text) + piece if "hyphen" in last.kinds else f"{text} {piece}"
         else:
             if text:
@@ -411,7 +411,7 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
     worked on whole, but in parts of 64 pages, so a document of a third of all
     rows is spread. The lexicon is counted from all rows if none is given.
     """
-    lexicon = lexicon or misread.count(rows)
+    known = rows.sparkSession.sparkContext.broadcast(lexicon or misread.count(rows))
     made = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +424,7 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
             return out
 
         for src, _, lines in _documents(batches):
-            work(lines, lexicon, made, src != "ocr_block")
+            work(lines, known.value, made, src != "ocr_block")
             found += [(src, x.key, x.pos, kind) for x in lines for kind in x.kinds]
             if len(found) > 20_000:
                 yield batch()
@@ -435,12 +435,12 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
 
 def repair(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
     """The continuous paragraphs of each document: src_table, document_id, page_number, para_index (on the page), paragraph."""
-    lexicon = lexicon or misread.count(rows)
+    known = rows.sparkSession.sparkContext.broadcast(lexicon or misread.count(rows))
     made = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, doc, lines in _documents(batches):
-            work(lines, lexicon, made, src != "ocr_block")
+            work(lines, known.value, made, src != "ocr_block")
             counts: Counter = Counter()
             found = []
             for page, text in paragraphs(lines):
