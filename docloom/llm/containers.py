@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import tokens
+from docloom.session import cut
 
 _UNSPACED = "฀-๿ក-៿぀-ヿ㐀-鿿가-힣"
+_UNSPACED_TEXT = re.compile(f"[{_UNSPACED}]")
 WORD = re.compile(rf"[^\W\d_{_UNSPACED}]+|[฀-๿ក-៿]{{1,4}}|[぀-ヿ㐀-鿿가-힣]{{1,2}}")
 
 
+class Terms(dict):
+    """The index term of each blank-separated word: its letters without the marks around them, ``""`` if it has none."""
+
+    def __missing__(self, word: str) -> str:
+        found = WORD.search(word)
+        term = "" if found is None else word[found.start() :].rstrip(".,;:!?…)]}”»\"'/-%0123456789")
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = term
+        return term
+
+
+def words_of(text: str) -> list[str]:
+    """Lower-case words; a text with scripts that don't space words is cut into short runs of these."""
+    low = text.lower()
+    return low.split() if _UNSPACED_TEXT.search(low) is None else WORD.findall(low)
+
+
 @dataclass(frozen=True)
 class Packing:
     """capacity in tokens; documents of an index shard; query terms of a seed; BM25 constants.
@@ -56,6 +77,7 @@ def statistics(df: DataFrame, text: str, at: Packing) -> Corpus:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        terms = Terms()
         n = words = 0
 
         def flush() -> pa.RecordBatch:
@@ -65,18 +87,19 @@ def statistics(df: DataFrame, text: str, at: Packing) -> Corpus:
 
         for batch in batches:
             for whole in batch.column(0).to_pylist():
-                found = WORD.findall(whole.lower())
+                found = words_of(whole)
                 n += 1
                 words += len(found)
-                seen.update(set(found))
+                seen.update(set(map(terms.__getitem__, set(found))))
             if len(seen) > 1_000_000:
                 yield flush()
         seen["\0documents"], seen["\0words"] = n, words
         yield flush()
 
     counted = df.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    total = df.select(F.count(F.col(text))).first()[0]
-    rows = counted.where((F.col("n") >= max(2, math.ceil(total * at.share))) | F.col("term").startswith("\0")).collect()
+    counted = cut(counted)
+    total = counted.where(F.col("term") == "\0documents").agg(F.sum("n")).first()[0] or 0
+    rows = counted.where(((F.col("n") >= max(2, math.ceil(total * at.share))) & (F.col("term") != "")) | F.col("term").startswith("\0")).collect()
     frequency = {r.term: r.n for r in rows}
     frequency.pop("\0documents", None)
     words = frequency.pop("\0words", 0)
@@ -87,18 +110,16 @@ class Index:
     """BM25 postings of one shard."""
 
     def __init__(self, texts: list[str], corpus: Corpus, at: Packing):
+        terms_of = Terms()
+        lists = [words_of(t) for t in texts]
+        raw = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
         ids: dict[str, int] = {}
-        lists = [WORD.findall(t.lower()) for t in texts]
-        flat: list[int] = []
-        for words in lists:
-            for word in words:
-                i = ids.get(word)
-                if i is None:
-                    i = ids[word] = len(ids)
-                flat.append(i)
+        to_term = np.fromiter((ids.setdefault(t, len(ids)) if (t := terms_of[w]) else -1 for w in raw), dtype=np.int64, count=len(raw))
+        flat = np.fromiter(map(raw.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=sum(map(len, lists)))
+        flat = to_term[flat] if len(raw) else flat
         lengths = np.array([len(w) for w in lists], dtype=np.int64)
         n, size = len(texts), max(1, len(ids))
-        keys, tf = np.unique(np.repeat(np.arange(n), lengths) + np.array(flat, dtype=np.int64) * n, return_counts=True)
+        keys, tf = np.unique((np.repeat(np.arange(n), lengths) + flat * n)[flat >= 0], return_counts=True)
         self.n = n
         self.docs, terms = (keys % n).astype(np.int64), keys // n
         least = max(2, math.ceil(corpus.documents * at.share))
