@@ -111,11 +111,13 @@ def _holds(kind: str, text: str, tokens: int) -> bool:
     if kind == "idno":
         return digits in (9, 10, 12) or digits in (7, 8) and plain[:1].isalpha() and not plain[1:2].isalpha()
     if kind == "name":
-        return tokens >= 2 and sum(c.isalpha() for c in plain) >= 4 and digits == 0 and "passport" not in plain.lower()
+        return tokens >= 2 and sum(c.isalpha() for c in plain) >= 4 and digits == 0 and "passport" not in plain.lower() and plain[:1].isalpha() and "|" not in plain
     return tokens >= 3
 
 
 _WORD_BEFORE = re.compile(r"([^\s<>;:,()/-]+)[^\S\n]+\Z")
+# The last words of kinds of organisations, after which a name is the organisation's.
+_OF_BODIES = frozenset(("cứu", "dục", "phần", "đẳng", "học", "tạo"))
 _TITLES = {t.rstrip(".").lower().split(".")[-1] for t in pii_table.TITLES} | {"viên", "hộ", "doctor", "professor"}
 
 
@@ -125,6 +127,8 @@ def _in_title(text: str, start: int) -> bool:
     if word is None:
         return False
     before = canonical(word.group(1))
+    if before.lower() in _OF_BODIES:
+        return True
     return before[-1:].isalnum() and before[:1].isupper() and before.lower() not in _TITLES and len(before) > 1
 
 
