@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 
 
-@F.pandas_udf("int")
-def sequence_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance of two arrays, item by item."""
+def sequence_distance(left: Column, right: Column) -> Column:
+    """Edit distance of two arrays, item by item; null counts as empty."""
 
-    def one(left, right) -> int:
-        left, right = list(left if left is not None else ()), list(right if right is not None else ())
-        row = list(range(len(right) + 1))
-        for i, x in enumerate(left, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(right, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+    @F.pandas_udf("int")
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y) -> int:
+            x, y = list(x if x is not None else ()), list(y if y is not None else ())
+            row = list(range(len(y) + 1))
+            for i, item in enumerate(x, 1):
+                last, row[0] = row[0], i
+                for j, other in enumerate(y, 1):
+                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (item != other))
+            return row[-1]
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+        return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+    return distances(left, right)
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -36,7 +39,7 @@ def recognition(pairs: DataFrame, group: list[str], truth: str = "truth", read:
     """
     a, b = F.coalesce(F.col(truth), F.lit("")), F.coalesce(F.col(read), F.lit(""))
     rows = pairs.select(*group, a.alias("a"), b.alias("b")).withColumn("wa", X.words("a")).withColumn("wb", X.words("b"))
-    rows = rows.select(*group, "a", "b", F.levenshtein("a", "b").alias("d"), F.length("a").alias("n"), sequence_distance("wa", "wb").alias("wd"), F.size("wa").alias("wn"))
+    rows = rows.select(*group, "a", "b", F.levenshtein("a", "b").alias("d"), F.length("a").alias("n"), sequence_distance(F.col("wa"), F.col("wb")).alias("wd"), F.size("wa").alias("wn"))
     return rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("lines"), F.round(_ratio(F.sum("d"), F.sum("n")), 6).alias("cer"), F.round(_ratio(F.sum("wd"), F.sum("wn")), 6).alias("wer"), F.round(F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)), 6).alias("line_accuracy")
     )
