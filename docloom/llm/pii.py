@@ -91,7 +91,7 @@ def _decoder(made: crf.Model) -> crf.Decoder:
     return _DECODERS[key]
 
 
-_LOCAL = re.compile(r"[\w.+%-]*\Z")
+_LOCAL = re.compile(rf"[\w.+%{_GLUE}-]*\Z")
 _BEFORE = re.compile(
     r"(?:(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?(?:/\d+[A-Za-z]?)*\s+(?:đường\s+)?|(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?/"
     r"|(?:số nhà|số|so|ấp|thôn|xóm|bản|tổ|khóm|lô)\s+|(?:ấp|thôn|xóm|bản|tổ|khóm|khu phố|tổ dân phố|xã|phường)\s+\w[\w ]{0,18},\s*|xã\s+|phường\s+)\Z",
@@ -111,10 +111,12 @@ def _holds(kind: str, text: str, tokens: int) -> bool:
     if kind == "idno":
         return digits in (9, 10, 12) or digits in (7, 8) and plain[:1].isalpha() and not plain[1:2].isalpha()
     if kind == "name":
-        return tokens >= 2 and sum(c.isalpha() for c in plain) >= 4 and digits == 0 and "passport" not in plain.lower() and plain[:1].isalpha() and "|" not in plain
+        return tokens >= 2 and sum(c.isalpha() for c in plain) >= 4 and digits == 0 and "passport" not in plain.lower() and (plain[:1].isalpha() or plain[:1] in _STRAY)
     return tokens >= 3
 
 
+_STRAY = "?|~^;'`"
+_WORD_AFTER = re.compile(r"(\w+\.?)\s+")
 _WORD_BEFORE = re.compile(r"([^\s<>;:,()/-]+)[^\S\n]+\Z")
 # The last words of kinds of organisations, after which a name is the organisation's.
 _OF_BODIES = frozenset(("cứu", "dục", "phần", "đẳng", "học", "tạo"))
@@ -123,6 +125,8 @@ _TITLES = {t.rstrip(".").lower().split(".")[-1] for t in pii_table.TITLES} | {"v
 
 def _in_title(text: str, start: int) -> bool:
     """Whether a capitalised word that is no title stands right before, on the same line: part of a longer proper name."""
+    if start and (text[start - 1] in _STRAY and text[start] not in _STRAY or text[start - 1] in "/-_" and text[start - 2 : start - 1].strip()):
+        return True
     word = _WORD_BEFORE.search(text[max(0, start - 24) : start])
     if word is None:
         return False
@@ -147,6 +151,11 @@ def _begin(kind: str, text: str, start: int) -> int:
                 break
             start = at
     if kind == "name":
+        if start and text[start - 1] in _STRAY and (start == 1 or text[start - 2].isspace() or text[start - 2] in ">(:;,"):
+            start -= 1  # its first letter was misread
+        lead = _WORD_AFTER.match(text, start)
+        if lead and canonical(lead.group(1)).rstrip(".").lower() in _TITLES:
+            return lead.end()
         line = text[max(0, start - 24) : start]
         word = _WORD_BEFORE.search(line)
         if word and pii_table.unaccented(canonical(word.group(1)).lower()) in _FAMILY and word.group(1)[0].isupper():
