@@ -81,14 +81,15 @@ def train(
             ids[r, reach : reach + len(tokens)] = [types[t] for t in tokens]
             gold[r, : len(marks)] = [index[m] for m in marks]
             mask[r, : len(marks)] = True
-        packed.append((ids, gold, mask))
+        used, local = np.unique(ids, return_inverse=True)
+        packed.append((local.reshape(ids.shape), table[used], gold, mask))
     step = 0
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs) + 0.004
         for which in rng.permutation(len(packed)):
-            ids, gold, mask = packed[which]
+            ids, names, gold, mask = packed[which]
             rows, longest = gold.shape
-            by_type = [weights[o][table].sum(axis=1) for o in range(n_off)]
+            by_type = [weights[o][names].sum(axis=1) for o in range(n_off)]
             score = sum(by_type[o][ids[:, reach + off : reach + off + longest]] for o, off in enumerate(OFFSETS))
             alpha, beta = np.empty_like(score), np.zeros_like(score)
             alpha[:, 0] = score[:, 0]
@@ -115,9 +116,8 @@ def train(
             flat = delta.reshape(-1, size)
             for o, off in enumerate(OFFSETS):
                 where = ids[:, reach + off : reach + off + longest].reshape(-1)
-                by = np.stack([np.bincount(where, flat[:, k], len(types)) for k in range(size)], axis=1)
-                for column in range(width):
-                    gw[o] += np.stack([np.bincount(table[:, column], by[:, k], nothing + 1) for k in range(size)], axis=1)
+                by = np.stack([np.bincount(where, flat[:, k], len(names)) for k in range(size)], axis=1)
+                np.add.at(gw[o], names.ravel(), np.repeat(by, width, axis=0))
             step += 1
             for value, grad, m, v in ((weights, gw - decay * weights, state[0], state[1]), (moves, np.where(forbidden < 0, 0, gm), state[2], state[3])):
                 m *= 0.9
