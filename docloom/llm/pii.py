@@ -91,13 +91,15 @@ def _decoder(made: crf.Model) -> crf.Decoder:
     return _DECODERS[key]
 
 
+_LOCAL_PART = re.compile(rf"[\w.+%{_GLUE}-]+\s*\Z")
 _LOCAL = re.compile(rf"[\w.+%{_GLUE}-]*\Z")
 _BEFORE = re.compile(
     r"(?:(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?(?:/\d+[A-Za-z]?)*\s+(?:đường\s+)?|(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?/"
     r"|(?:số nhà|số|so|ấp|thôn|xóm|bản|tổ|khóm|lô)\s+|(?:ấp|thôn|xóm|bản|tổ|khóm|khu phố|tổ dân phố|xã|phường)\s+\w[\w ]{0,18},\s*|xã\s+|phường\s+)\Z",
     re.IGNORECASE,
 )
-_AT = re.compile(r"@|\(at\)|\[at\]", re.IGNORECASE)
+_PLACE = re.compile(r"(?:phường|xã|khu phố|ấp|thôn|đường|quận|thành phố|huyện|tỉnh|street|ward|city|road|district)\b|\b(?:P|Q|TP|H|F)\.", re.IGNORECASE)
+_AT = re.compile(r"@|\(at\)|\[at\]|\(a\s*còng\)", re.IGNORECASE)
 
 
 def _holds(kind: str, text: str, tokens: int) -> bool:
@@ -112,7 +114,7 @@ def _holds(kind: str, text: str, tokens: int) -> bool:
         return digits in (9, 10, 12) or digits in (7, 8) and plain[:1].isalpha() and not plain[1:2].isalpha()
     if kind == "name":
         return tokens >= 2 and sum(c.isalpha() for c in plain) >= 4 and digits == 0 and "passport" not in plain.lower() and (plain[:1].isalpha() or plain[:1] in _STRAY)
-    return tokens >= 3
+    return tokens >= 3 and ";" not in plain and bool(_PLACE.search(plain))
 
 
 _STRAY = "?|~^;'`"
@@ -198,6 +200,11 @@ def _spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         while j < n and labels[j] == inside:
             j += 1
         start, end = places[i][0], places[j - 1][1]
+        while start < end and text[start] in ";:,.-/ \n":
+            start += 1
+        if kind == "email" and (at := _AT.search(text, start, end)):
+            local = _LOCAL_PART.search(text[start : at.start()])
+            start += local.start() if local else 0
         start = max(_begin(kind, text, start), found[-1][1] if found else 0)
         if _holds(kind, text[start:end], j - i) and not (kind == "name" and _in_title(text, start)):
             found.append((start, end, kind))

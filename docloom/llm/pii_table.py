@@ -201,7 +201,7 @@ class Filler:
         r = self.r
         words = unaccented(self.name()).lower().split()
         local = r.choice(["_".join(words), f"{words[0]}+hs{r.randint(1, 9)}", f"{words[-1]}{r.randint(1, 99)}", f"{words[-1]}.{words[0]}", f"{words[-1]}{words[0][0]}", "".join(w[0] for w in words) + words[-1]])
-        at = r.choices(["@", "(at)", " @ ", " [at] "], [80, 7, 8, 2])[0]
+        at = r.choices(["@", "(at)", " @ ", " [at] ", " (a còng) "], [73, 7, 8, 5, 7])[0]
         host = unaccented("".join(r.sample(PLACES, 2))).lower() + r.choice([".example", ".edu.example", ".test", ".edu.vn", ".com", ".org"])
         if r.random() < 0.2:
             host = r.choice(["sv", "thu", "mail"]) + "." + host
