@@ -90,11 +90,11 @@ def pack(units: list[dict], budget: Budget, count: Callable[[str], int] = count_
     room, held, last = 0, 0, None
     for unit in units:
         free = budget.room - budget.extra - count(unit["context"])
-        for piece, how in fit(unit["text"], free, budget.overlap):
+        for at, (piece, how) in enumerate(fit(unit["text"], free, budget.overlap)):
             size = count(piece)
             same = (unit["primary"], unit["unit_type"], unit["path"], unit["table_key"])
             alone = budget.single_rows and unit["unit_type"] == "table_row"
-            item = {**unit, "text": piece, "how": how}
+            item = {**unit, "text": piece, "how": how, "unit_id": f"{unit['unit_id']}:{how}:{at}" if how else unit["unit_id"]}
             if not out or alone or same != last or held + size > room:
                 out.append([item])
                 held, room = 0, free
@@ -165,7 +165,7 @@ def pack_units(units: DataFrame, budget: Budget = Budget()) -> DataFrame:
 
 def child_chunks(packs: DataFrame) -> DataFrame:
     """Packs with their ids: the parent's, that of a row's table, and their own, which depend on what they hold and not on their place."""
-    name = F.concat_ws(":", F.lit("v2:child"), "unit_type", F.array_join("section_path", " > "), F.array_join("blocks", ","), F.array_join("unit_ids", ","), F.coalesce("how", F.lit("")), F.when(F.col("how") == "token_window", F.col("chunk_index").cast("string")).otherwise(F.lit("")))
+    name = F.concat_ws(":", F.lit("v2:child"), "unit_type", F.array_join("section_path", " > "), F.array_join("blocks", ","), F.array_join("unit_ids", ","))
     parent = I.stable_id("document_id", F.concat_ws(":", F.lit("v2:parent"), F.col("primary").cast("string")))
     table = F.when(F.col("table_key").isNotNull(), I.stable_id("document_id", F.concat_ws(":", F.lit("v2:parent:table"), F.col("table_key").cast("string"))))
     return packs.select("*", I.stable_id("document_id", name).alias("chunk_id"), parent.alias("parent_id"), table.alias("table_parent_id"), F.lit("child").alias("record_type"))

@@ -140,7 +140,8 @@ def semantic(sentences: DataFrame, key: str, order: str, text: str, vector: str,
     from docloom.operators.retrieval import cosine
 
     by = Window.partitionBy(key).orderBy(order)
-    rows = sentences.withColumn("_d", 1 - cosine(F.col(vector), F.lead(vector).over(by)))
+    following = F.lead(vector).over(by)
+    rows = sentences.withColumn("_d", F.when(following.isNotNull(), 1 - cosine(F.col(vector), following)))
     bars = rows.groupBy(key).agg(F.percentile("_d", F.lit(share)).alias("_bar"))
     marked = rows.join(bars, key).withColumn("_break", F.coalesce((F.lag("_d").over(by) > F.col("_bar")).cast("int"), F.lit(0)))
     grouped = marked.withColumn("chunk_index", F.sum("_break").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
