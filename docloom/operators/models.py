@@ -114,5 +114,5 @@ def recognise(images: DataFrame, engine: Callable[[bytes], list[dict]], name: st
 
 
 def best_reading(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Of several engines' readings of a line the one of the best score; ties by the engine's name."""
-    return lines.groupBy(*keys).agg(F.max_by(F.struct("text", "model", "score"), F.struct(F.coalesce("score", F.lit(-1.0)), "model")).alias("b")).select(*keys, "b.*")
+    """Of several readings the one of the best score; ties by the engine's name, then by the text."""
+    return lines.groupBy(*keys).agg(F.max_by(F.struct("text", "model", "score"), F.struct(F.coalesce("score", F.lit(-1.0)), "model", "text")).alias("b")).select(*keys, "b.*")

@@ -200,7 +200,7 @@ def violations(children: DataFrame, parents: DataFrame, text: str = "retrieval_t
     row = F.col("unit_type") == "table_row"
     broken = F.array_compact(F.array(
         F.when(F.col("_n") > 1, "repeated id"), F.when(F.col("_p").isNull(), "no parent"), F.when(empty, "no text"), F.when(~empty & (F.coalesce("token_count", F.lit(-1)) != actual), "wrong count"), F.when(~empty & (actual > budget.most), "too long"),
-        F.when(~empty & (actual < budget.least), "too short"), F.when(row & F.col("table_key").isNull(), "no table"), F.when(row & (F.size("section_path") <= 0), "no path"),
+        F.when(~empty & (actual < budget.least), "too short"), F.when(row & F.col("table_key").isNull(), "no table"), F.when(row & (F.coalesce(F.size("section_path"), F.lit(0)) <= 0), "no path"),
     ))
     return rows.select("chunk_id", F.explode(broken).alias("rule"))
 

@@ -86,7 +86,14 @@ QUERIES = {
     "q_html_tables": html_tables, "q_table_cells": table_cells, "q_table_row_texts": table_row_texts, "q_unreadable_tables": unreadable_tables, "q_logical_tables": logical_tables, "q_child_chunks": child_chunks, "q_parent_chunks": parent_chunks, "q_chunk_violations": chunk_violations,
     "q_document_runs": document_runs, "q_fallback_chunks": fallback_chunks, "q_context_prefixes": context_prefixes, "q_stored_violations": stored_violations,
 }
-_TAGGED = r"(SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw LIKE '%<table%' AND content_raw LIKE '%</table>%')"
+_B = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}"
+_TABLES = "SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw LIKE '%<table%'"
+_CELL = rf"regexp_replace(regexp_replace(c, '[{_B}]+', ' ', 'g'), '^ | $', '', 'g')"
 SQL = {
+    "q_table_cells": rf"""WITH r AS (SELECT block_key, list_filter(regexp_extract_all(content_raw, '<tr>(.*?)</tr>', 1, 's'), lambda x: NOT contains(x, '<th')) rows FROM ({_TABLES})), u AS (SELECT block_key, unnest(rows) row, generate_subscripts(rows, 1) i FROM r)
+        SELECT block_key, (row_number() OVER (PARTITION BY block_key ORDER BY i) - 1)::INT AS row_index, array_to_string(list_transform(regexp_extract_all(row, '<td>(.*?)</td>', 1, 's'), lambda c: {_CELL}), '|') AS cells FROM u""",
+    "q_html_tables": rf"""SELECT block_key, NULL::VARCHAR AS error, len(regexp_extract_all(content_raw, '<th>', 0))::INT AS column_count, len(list_filter(regexp_extract_all(content_raw, '<tr>(.*?)</tr>', 1, 's'), lambda x: NOT contains(x, '<th')))::INT AS n_rows, array_to_string(list_transform(regexp_extract_all(content_raw, '<th>(.*?)</th>', 1, 's'), lambda c: {_CELL}), ' | ') AS headers, 'generic' AS schema_type FROM ({_TABLES})""",
+    "q_stored_violations": rf"""WITH c AS (SELECT DISTINCT ON (chunk_key) chunk_id, parent_id, chunk_type, section_path, raw_text, token_count, record_type FROM chunk), k AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) n, parent_id IN (SELECT chunk_id FROM c WHERE record_type = 'parent') AS has, trim(coalesce(raw_text, '')) = '' AS blank, len(regexp_extract_all(coalesce(raw_text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_B}]')) + 2 AS t FROM c WHERE record_type = 'child'),
+        v AS (SELECT unnest([CASE WHEN n > 1 THEN 'repeated id' END, CASE WHEN NOT coalesce(has, false) THEN 'no parent' END, CASE WHEN blank THEN 'no text' END, CASE WHEN NOT blank AND coalesce(token_count, -1) <> t THEN 'wrong count' END, CASE WHEN NOT blank AND t > 256 THEN 'too long' END, CASE WHEN NOT blank AND t < 3 THEN 'too short' END, CASE WHEN chunk_type = 'table_row' AND coalesce(len(section_path), 0) = 0 THEN 'no path' END]) AS rule FROM k) SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1""",
     "q_context_prefixes": "SELECT id, concat_ws(chr(10), CASE WHEN trim(coalesce(summary, '')) <> '' THEN 'Văn bản: ' || trim(summary) END, CASE WHEN trim(coalesce(doc_no, '')) <> '' THEN 'Số: ' || trim(doc_no) END, CASE WHEN trim(coalesce(author, '')) <> '' THEN 'Cơ quan ban hành: ' || trim(author) END, CASE WHEN trim(coalesce(datedocument, '')) <> '' THEN 'Ngày: ' || trim(datedocument) END, 'Phần: Điều 1') AS context FROM (SELECT DISTINCT id, summary, doc_no, author, datedocument FROM doc_meta)",
 }

@@ -36,4 +36,9 @@ def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": found, "p2_blocks": blocks, "p2_pages": pages, "p2_lines": lines, "p2_unreadable": unreadable}
-SQL: dict[str, str] = {}
+_DISTINCT = "SELECT DISTINCT rec_id, payload FROM layout_blocks_standard"
+SQL = {
+    "p2_unreadable": f"SELECT rec_id, CASE WHEN payload IS NULL THEN 'null' WHEN trim(payload) = '' THEN 'blank' WHEN json_valid(payload) THEN 'not an object' ELSE 'malformed' END AS reason FROM ({_DISTINCT}) WHERE NOT coalesce(json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', false)",
+    "p2_pages": rf"""WITH g AS (SELECT rec_id, CASE WHEN json_valid(payload) THEN payload END p FROM ({_DISTINCT})), u AS (SELECT rec_id, unnest(json_extract(p, '$.pages[*]')) page, generate_subscripts(json_extract(p, '$.pages[*]'), 1) i FROM g WHERE p IS NOT NULL)
+        SELECT rec_id, (i - 1)::INT AS page_pos, coalesce(nullif(regexp_extract(coalesce(json_extract_string(page, '$.page_number'), json_extract_string(page, '$.page_id'), ''), '\d+'), '')::BIGINT, i) AS page_number, coalesce(json_extract_string(page, '$.width'), json_extract_string(page, '$.page_width'))::DOUBLE AS width, coalesce(json_extract_string(page, '$.height'), json_extract_string(page, '$.page_height'))::DOUBLE AS height FROM u""",
+}
