@@ -106,7 +106,7 @@ QUERIES = {
 }
 
 _SCORED = "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], e) AS score FROM embeddings, q {}) "
-_HITS = "WITH h AS (SELECT * FROM (SELECT chunk_key, chunk_id, parent_id, chunk_type, row_number() OVER (ORDER BY chunk_key) AS rank FROM (SELECT DISTINCT chunk_key, chunk_id, parent_id, chunk_type FROM chunk WHERE record_type = 'child')) WHERE rank <= 200), p AS (SELECT DISTINCT chunk_id AS pid FROM chunk WHERE record_type = 'parent') "
+_HITS = "WITH h AS (SELECT * FROM (SELECT chunk_key, chunk_id, parent_id, chunk_type, row_number() OVER (ORDER BY chunk_key)::INT AS rank FROM (SELECT DISTINCT chunk_key, chunk_id, parent_id, chunk_type FROM chunk WHERE record_type = 'child')) WHERE rank <= 200), p AS (SELECT DISTINCT chunk_id AS pid FROM chunk WHERE record_type = 'parent') "
 _CHILDREN = "SELECT DISTINCT chunk_key, chunk_id, parent_id, chunk_index FROM chunk WHERE record_type = 'child' AND parent_id IS NOT NULL"
 _BUDGET = "SELECT parent_id, chunk_key, raw_text, sum(length(raw_text) + 2) OVER (PARTITION BY parent_id ORDER BY chunk_key) - 2 AS used FROM (SELECT DISTINCT chunk_key, parent_id, raw_text FROM chunk WHERE record_type = 'child' AND parent_id IS NOT NULL AND raw_text IS NOT NULL)"
 SQL = {
@@ -122,7 +122,7 @@ SQL = {
     "q_expand_siblings": _HITS + f", k AS (SELECT parent_id AS pk, list(chunk_id ORDER BY chunk_index, chunk_id) AS ids FROM ({_CHILDREN}) GROUP BY 1) SELECT chunk_id, parent_id, rank, coalesce(array_to_string(list_filter(ids, lambda x: x <> chunk_id), ','), '') AS context FROM h LEFT JOIN k ON parent_id = pk",
     "q_expand_adaptive": _HITS + "SELECT chunk_id, parent_id, rank, CASE WHEN pid IS NOT NULL AND (chunk_type = 'table_row' OR count(*) OVER (PARTITION BY parent_id) > 1) THEN pid ELSE '' END AS context FROM h LEFT JOIN p ON parent_id = pid",
     "q_sibling_store": f"SELECT parent_id, string_agg(chunk_id, ',' ORDER BY chunk_index, chunk_id) AS siblings FROM ({_CHILDREN}) GROUP BY 1",
-    "q_context_budget": f"SELECT parent_id, chunk_key, used FROM ({_BUDGET}) WHERE used <= 1200",
+    "q_context_budget": f"SELECT parent_id, chunk_key, used::BIGINT AS used FROM ({_BUDGET}) WHERE used <= 1200",
     "q_context_blocks": f"SELECT parent_id, md5(string_agg('[E' || n || ']' || chr(10) || raw_text, chr(10) || chr(10) ORDER BY n)) AS context_md5 FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY chunk_key) n FROM ({_BUDGET}) WHERE used <= 1200) GROUP BY 1",
     "q_points_per_document": "SELECT lower(document_id) AS document_id, count(DISTINCT point_id) AS points FROM embbeding GROUP BY 1",
     "q_child_filter": "SELECT chunk_type, count(*) AS n FROM (SELECT DISTINCT chunk_key, chunk_type FROM chunk WHERE record_type = 'child') GROUP BY 1",

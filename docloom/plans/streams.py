@@ -38,7 +38,7 @@ QUERIES = {"q_stream_windows": stream_windows, "q_stream_sessions": stream_sessi
 SQL = {
     "q_stream_windows": "SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "q_stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END b FROM events), x AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM x GROUP BY user_id, k""",
-    "q_embed_documents": "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END AS self_similarity FROM documents",
+    "q_embed_documents": "SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS self_similarity FROM documents",
     "q_best_reading": "SELECT document_id, page_number, text, model, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY coalesce(score, -1) DESC, model DESC, encode(text) DESC NULLS LAST) r FROM (SELECT DISTINCT ON (line_key) document_id, page_number, text, coalesce(model, '') AS model, score FROM page_vietocr_results)) WHERE r = 1",
     "q_length_by_type": "SELECT doc_type, count(n_chars) AS n, round(avg(n_chars), 4) AS mean, round(stddev_pop(n_chars), 4) AS std, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.9), 4) AS p90, round(quantile_cont(n_chars, 0.99), 4) AS p99 FROM documents GROUP BY 1",
 }

@@ -52,5 +52,5 @@ SQL = {
     "q_indexable_blocks": rf"""SELECT k AS block_type, count(*) AS n FROM (SELECT {_KIND} k, {_NORM} t FROM ({_DISTINCT})) WHERE CASE WHEN trim(t) = '' THEN false WHEN regexp_matches(t, '(?i)^\s*(?:trang\s*)?\d{{1,4}}\s*$') THEN false
         WHEN k = 'table_footnote' AND regexp_matches(t, '^\s*[A-ZÀ-Ỹ][\p{{L}}\p{{N}}_ .''-]{{0,28}}\s*\((?:ĐT|DT|đt|dt)\)\s*$') THEN false WHEN regexp_matches(t, '(?i)^(?:ký bởi|signed by|signature valid|digitally signed)(?:[^\p{{L}}\p{{N}}_]|$)') THEN false WHEN k = 'figure' THEN false
         WHEN k = 'abandon' THEN regexp_matches(t, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:BỘ|TRƯỜNG|ỦY BAN|CỘNG HÒA|Số\s*:|QUYẾT ĐỊNH|Căn cứ|Điều\s+\d+)(?:[^\p{{L}}\p{{N}}_]|$)') WHEN length(t) <= 2 AND NOT regexp_matches(t, '[\p{{L}}\p{{N}}_]') THEN false ELSE true END GROUP BY 1""",
-    "q_reading_order": f"SELECT block_key AS key, row_number() OVER (PARTITION BY lower(document_id) ORDER BY coalesce(page_number, 1), round(bbox[2], 4) NULLS LAST, bbox[1] NULLS LAST, coalesce(block_index, 0), block_key) AS at FROM ({_DISTINCT})",
+    "q_reading_order": f"SELECT block_key AS key, row_number() OVER (PARTITION BY lower(document_id) ORDER BY coalesce(page_number, 1), round(bbox[2], 4) NULLS LAST, bbox[1] NULLS LAST, coalesce(block_index, 0), block_key)::INT AS at FROM ({_DISTINCT})",
 }

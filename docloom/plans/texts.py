@@ -123,7 +123,7 @@ SQL = {
         lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^(trang|Trang|Page) ') AND NOT regexp_matches(x, '^[A-Z0-9\s-]{1,12}$')), chr(10))) AS h FROM b""",
     "q_compact_text": r"""SELECT c_custkey, CASE WHEN length(f) > 30 THEN rtrim(CASE WHEN regexp_extract(left(f, 30), '^(.*) ', 1) = '' THEN left(f, 30) ELSE regexp_extract(left(f, 30), '^(.*) ', 1) END) || '...' ELSE f END AS short FROM (SELECT c_custkey, trim(regexp_replace(concat_ws(' ', c_name, c_mktsegment, c_name), '\s+', ' ', 'g')) f FROM customer)""",
     "q_slug": "SELECT name, 'person_' || regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g') AS node_id FROM (SELECT DISTINCT name FROM extract_entites WHERE name IS NOT NULL)",
-    "q_word_tokens": rf"""SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS words, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_B}]')) + 2 AS tokens FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_'']+', ' ', 'g')) w FROM documents)""",
+    "q_word_tokens": rf"""SELECT doc_id, CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END::INT AS words, (len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_B}]')) + 2)::INT AS tokens FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_'']+', ' ', 'g')) w FROM documents)""",
     "q_uuid5": f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
         FROM (SELECT doc_id, sha1(from_hex('{I.URL_NAMESPACE}') || encode(concat_ws(':', doc_id::VARCHAR, doc_type))) h FROM documents)""",
     "q_fingerprints": "SELECT doc_id, sha256(coalesce(source, chr(0)) || chr(31) || coalesce(lang, chr(0))) AS fingerprint FROM documents",
