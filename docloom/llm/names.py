@@ -26,7 +26,7 @@ from docloom.session import cut
 
 RADIUS = 3
 #: pivots of the metric space; they settle how rows are spread, not what is found
-PIVOTS = 6
+PIVOTS = 4
 
 # Family names, titles, kinds of organisations with their abbreviations, short forms of given names.
 FAMILY = frozenset("nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong ly lam ta to quach trinh dinh mai cao doan luong thai chu ha chau tang kieu truong".split())
@@ -250,13 +250,15 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
 
     Exact: points x, y within r have |d(x, p) - d(y, p)| <= r for every pivot,
     so the nearest pivot of one is at most 2r farther from the other than its own.
+    A pair meets in the cell of the lower number of its two, so a point is sent
+    to its own cell and, where the inequality allows, to cells of lower number.
     """
     pivots = pick_pivots(points) if pivots is None else pivots
     if not pivots:
         pivots = [""]
     places = F.array(*(F.struct(F.levenshtein("point", F.lit(p)).alias("d"), F.lit(i).alias("cell")) for i, p in enumerate(pivots)))
-    placed = points.select("recordid", "point", "support", places.alias("at")).withColumn("least", F.array_min("at")["d"])
-    cells = placed.select("recordid", "point", "support", F.explode(F.filter("at", lambda x: x["d"] <= F.col("least") + 2 * radius)).alias("x")).select("recordid", "point", "support", F.col("x.cell").alias("cell"))
+    placed = points.select("recordid", "point", "support", places.alias("at")).withColumn("own", F.array_min("at"))
+    cells = placed.select("recordid", "point", "support", F.explode(F.filter("at", lambda x: (x["d"] <= F.col("own.d") + 2 * radius) & (x["cell"] <= F.col("own.cell")))).alias("x")).select("recordid", "point", "support", F.col("x.cell").alias("cell"))
     schema = pa.schema([("recordid", pa.string()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int32()), ("slips", pa.int32()), ("least", pa.int64()), ("most", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

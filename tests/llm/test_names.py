@@ -37,7 +37,12 @@ def test_radius_join_is_exact(spark):
             rows.append((record, name, 1))
     rows = list(dict.fromkeys(rows))
     df = spark.createDataFrame(rows, "recordid string, point string, support long")
-    got = {(x.recordid, x.a, x.b) for x in N.radius_join(df).collect()}
+    for pivots in (None, ["aaaa", "ddddbbbb", "c"], ["b"], [p[1] for p in rows[:9]]):
+        exact(N.radius_join(df, pivots=pivots), rows)
+
+
+def exact(joined, rows):
+    got = {(x.recordid, x.a, x.b) for x in joined.collect()}
     want = {(p[0], *sorted((p[1], q[1]))) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and plain(p[1], q[1]) <= N.RADIUS}
     assert {(x, *sorted((a, b))) for x, a, b in got} == want
 
