@@ -87,7 +87,7 @@ def token_count(text: Column | str, extra: int = 2) -> Column:
 
 def quality(text: Column | str) -> Column:
     """Share of characters that a clean line holds."""
-    good = F.regexp_count(_c(text), F.lit(r"[\p{L}\p{N}\s.,;:/()\-]"))
+    good = F.regexp_count(_c(text), F.lit(r"[A-Za-zÀ-ỹĐđ0-9]"))
     return F.when(F.length(_c(text)) > 0, good / F.length(_c(text))).otherwise(F.lit(0.0))
 
 
@@ -99,7 +99,7 @@ def compact(text: Column | str, most: int = 900) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.rtrim(cut), F.lit("..."))).otherwise(flat)
 
 
-def content_lines(text: Column | str, least: int = 5, noise: str = r"(?iu)^(cộng hòa xã hội|độc lập - tự do|trang \d+|page \d+)") -> Column:
+def content_lines(text: Column | str, least: int = 5, noise: str = r"(?iu)CỘNG HÒA XÃ HỘI| TRƯỜNG ĐẠI HỌC") -> Column:
     """The lines that carry content: not short, no letterhead or page mark, no bare code."""
     lines = F.transform(F.split(_c(text), "\n"), lambda y: F.trim(y))
     kept = F.filter(lines, lambda x: (F.length(x) >= least) & ~x.rlike(noise) & ~x.rlike(r"^[A-Z0-9\s-]{1,12}$"))
@@ -144,17 +144,23 @@ def json_object(text: Column | str) -> Column:
 
 
 def clean_answer(text: Column | str) -> Column:
-    """An answer without what follows a stop marker, role words, evidence marks, field lines and repeated lines."""
-    out = F.regexp_replace(_c(text), r"(?s)(<\|im_end\|>|</s>|\n(?:Câu hỏi|Question)\s*:).*$", "")
-    out = F.regexp_replace(out, r"(?iu)^\s*(?:assistant|trả lời|answer)\s*:?\s*", "")
-    out = F.regexp_replace(out, r"\[E\d+\]", "")
-    lines = F.filter(F.transform(F.split(out, "\n"), lambda y: F.trim(y)), lambda x: (x != "") & ~x.rlike(r"(?iu)^(?:số|ngày|nguồn|document_id)\s*:"))
-    keep = F.filter(F.arrays_zip(lines.alias("line"), F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))).alias("at")), lambda x: x["line"].isNotNull())
-    firsts = F.filter(keep, lambda x: F.array_position(F.transform(lines, F.lower), F.lower(x["line"])) == x["at"])
-    return F.trim(F.array_join(F.transform(firsts, lambda x: x["line"]), "\n"))
+    """An answer up to the first stop marker, without role words, evidence marks, field lines and lines that repeat an earlier one."""
+    # What a model repeats of its prompt.
+    out = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?ius)\n(?:CONTEXT|QUESTION|CÂU HỎI|YÊU CẦU TRẢ LỜI):.*$", "")
+    for pattern, to in ((r"(?ium)^\s*(?:assistant|user|system)\s*:\s*", ""), (r"(?ium)^\s*câu trả lời(?: cuối cùng)?\s*:\s*", ""), (r"\s*\[E\d+\]\s*", " "), (r"(?ium)^\s*(?:doc_id|doc_no|chunk_index|file_url|nguồn)\s*:.*$", "")):
+        out = F.regexp_replace(out, pattern, to)
+    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: one_blank(x)), lambda x: x != "")
+    low = F.transform(lines, lambda x: F.lower(x))
+    first = F.filter(F.transform(lines, lambda x, i: F.when(F.array_position(low, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+    return F.regexp_replace(F.array_join(first, "\n"), r"^[ :\-\n\t]+|[ :\-\n\t]+$", "")
 
 
 def after_prompt(decoded: Column | str, prompt: Column | str) -> Column:
-    """What a model wrote after repeating its prompt; the whole if it didn't."""
-    start = F.position(_c(prompt), _c(decoded))
-    return F.trim(F.when(start > 0, F.substr(_c(decoded), start + F.length(_c(prompt)))).otherwise(_c(decoded)))
+    """What a model wrote after the last repetition of its prompt; without one, its text less the lines of system and user."""
+    whole, asked = F.trim(_c(decoded)), F.trim(_c(prompt))
+    parts = F.split(F.replace(whole, asked, F.lit("\x00")), "\x00")
+    answer = F.regexp_replace(F.element_at(parts, -1), r"^[\s:]+|\s+$", "")
+    others = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.lower(F.trim(x)).rlike("^(?:system|user):")), "\n")
+    return F.when((asked != "") & F.contains(whole, asked), answer).otherwise(F.when(F.trim(others) == "", whole).otherwise(F.trim(others)))
+
+

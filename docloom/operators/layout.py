@@ -122,7 +122,7 @@ def text_boxes(rows: DataFrame, poly: str = "poly", score: str = "score", least_
     box = G.polygon_box(poly)
     out = rows.where(F.col(poly).isNotNull()).withColumn("bbox", box)
     w, h = G.side("bbox", 2) - G.side("bbox", 0), G.side("bbox", 3) - G.side("bbox", 1)
-    edge = (G.side("bbox", 0) <= 8) | (G.side("bbox", 1) <= 8) | (G.side("bbox", 2) >= width - 8) | (G.side("bbox", 3) >= height - 8)
+    edge = (G.side("bbox", 0) < 8) | (G.side("bbox", 1) < 8) | (width - G.side("bbox", 2) < 8) | (height - G.side("bbox", 3) < 8)
     return out.where((F.coalesce(F.col(score), F.lit(1.0)) >= least_score) & (w >= 25) & (h >= 12) & (h <= 260) & (w * h >= 300) & ~(edge & ((w > 0.85 * width) | (h > 0.85 * height))))
 
 

@@ -72,40 +72,35 @@ def in_python(df: DataFrame, key: str, text: str, split: Callable[[str], list[st
     return source.mapInArrow(run, f"key {kind}, chunk_index int, chunk string").withColumnRenamed("key", key)
 
 
-_SECTION = re.compile(r"(?m)^(?=\s*(?:Điều\s+\d+|CHƯƠNG\s+[IVXLC]+|MỤC\s+\d+|QUYẾT ĐỊNH|Nơi nhận))")
-_CLAUSE = re.compile(r"(?m)^(?=\s*\d{1,2}\.\s)")
+# The lines at which the second chunker cuts.
+_SECTION = re.compile(r"^(?=(?:Chương\s+[IVXLC]+|Mục\s+\d+|Điều\s+\d+)\s*[:.]?)", re.IGNORECASE | re.MULTILINE)
+_CLAUSE = re.compile(r"^(?=\s*\d+\.\s)", re.MULTILINE)
+
+
+def _line_runs(text: str, most: int, overlap: int) -> list[str]:
+    """Whole lines together as far as ``most`` characters go; each run begins with the last words of the one before. A longer line stays whole."""
+    out: list[str] = []
+    held: list[str] = []
+    for line in filter(None, map(str.strip, text.splitlines())):
+        if held and sum(len(x) + 1 for x in held) + len(line) + 1 > most + bool(out):
+            out.append(" ".join(held))
+            held = [" ".join(out[-1].split()[-overlap:])] if overlap else []
+        held.append(line)
+    return [*out, " ".join(held)] if held else out
 
 
 def by_size(text: str, most: int = MAX_CHARS, least: int = MIN_CHARS, overlap: int = OVERLAP_WORDS) -> list[str]:
-    """Sections, then clauses, then runs of words of at most ``most`` characters that begin with the last words of the one before; small ones join the one before."""
+    """Sections; where one is too long its clauses; where one of these is, runs of lines. A small piece joins the one before if both fit."""
     out: list[str] = []
-    for section in _SECTION.split(text):
-        for clause in [section] if len(section) <= most else _CLAUSE.split(section):
-            words, held, size = clause.split(), [], 0
-            fresh = 0
-            for word in words:
-                if held and size + 1 + len(word) > most:
-                    out.append(" ".join(held))
-                    tail: list[str] = []
-                    room = most // 2
-                    for w in reversed(held[-overlap:]):
-                        room -= len(w) + 1
-                        if room < 0:
-                            break
-                        tail.insert(0, w)
-                    held, size, fresh = tail, len(" ".join(tail)), 0
-                held.append(word)
-                size = size + 1 + len(word) if size else len(word)
-                fresh += 1
-            if fresh:
-                out.append(" ".join(held))
-    joined: list[str] = []
-    for piece in out:
-        if joined and len(piece) < least and len(joined[-1]) + 1 + len(piece) <= most:
-            joined[-1] = f"{joined[-1]} {piece}"
-        else:
-            joined.append(piece)
-    return joined
+    for section in _SECTION.split(re.sub(r"\n{2,}", "\n", text).strip()):
+        parts = [section] if len(section.strip()) <= most else _CLAUSE.split(section)
+        for part in filter(None, map(str.strip, parts)):
+            for piece in [part] if len(part) <= most else _line_runs(part, most, overlap):
+                if out and len(piece) < least and len(out[-1]) + 1 + len(piece) <= most:
+                    out[-1] = f"{out[-1].rstrip()} {piece}"
+                else:
+                    out.append(piece)
+    return out
 
 
 def sized(df: DataFrame, key: str, text: str) -> DataFrame:

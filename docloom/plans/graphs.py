@@ -145,5 +145,5 @@ SQL = {
     "q_graph_single_link": f"SELECT document_id, 'event_' || regexp_replace(lower(trim(min(description))), '[^a-z0-9]+', '_', 'g') AS event_id, min(person_id) AS person_id FROM {_M} GROUP BY 1 HAVING count(DISTINCT person_id) = 1 AND count(DISTINCT description) = 1",
     "q_name_collisions": f"SELECT person_id, count(DISTINCT person) AS names FROM {_M} GROUP BY 1 HAVING count(DISTINCT person) > 1",
     "q_event_types": "SELECT DISTINCT name_key, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(summary), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in G.EVENT_WORDS.items()) + " END AS event_type FROM (SELECT DISTINCT name_key, summary FROM embbeding)",
-    "q_text_boxes": "WITH b AS (SELECT DISTINCT ON (line_key) line_key, score, list_min(list_transform(poly, lambda p: p[1])) x1, list_min(list_transform(poly, lambda p: p[2])) y1, list_max(list_transform(poly, lambda p: p[1])) x2, list_max(list_transform(poly, lambda p: p[2])) y2 FROM page_vietocr_results WHERE poly IS NOT NULL) SELECT line_key, concat_ws(',', trunc(x1)::BIGINT, trunc(y1)::BIGINT, trunc(x2)::BIGINT, trunc(y2)::BIGINT) AS bbox FROM b WHERE coalesce(score, 1) >= 0.7 AND x2 - x1 >= 25 AND y2 - y1 BETWEEN 12 AND 260 AND (x2 - x1) * (y2 - y1) >= 300 AND NOT ((x1 <= 8 OR y1 <= 8 OR x2 >= 2472 OR y2 >= 3500) AND (x2 - x1 > 2108 OR y2 - y1 > 2981.8))",
+    "q_text_boxes": "WITH b AS (SELECT DISTINCT ON (line_key) line_key, score, list_min(list_transform(poly, lambda p: p[1])) x1, list_min(list_transform(poly, lambda p: p[2])) y1, list_max(list_transform(poly, lambda p: p[1])) x2, list_max(list_transform(poly, lambda p: p[2])) y2 FROM page_vietocr_results WHERE poly IS NOT NULL) SELECT line_key, concat_ws(',', trunc(x1)::BIGINT, trunc(y1)::BIGINT, trunc(x2)::BIGINT, trunc(y2)::BIGINT) AS bbox FROM b WHERE coalesce(score, 1) >= 0.7 AND x2 - x1 >= 25 AND y2 - y1 BETWEEN 12 AND 260 AND (x2 - x1) * (y2 - y1) >= 300 AND NOT ((x1 < 8 OR y1 < 8 OR x2 > 2472 OR y2 > 3500) AND (x2 - x1 > 2108 OR y2 - y1 > 2981.8))",
 }

@@ -118,7 +118,7 @@ SQL = {
     "q_norm_ws": r"""SELECT chunk_key, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(raw_text, ''), chr(160), ' '), '\r\n|\r', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM (SELECT DISTINCT chunk_key, raw_text FROM chunk)""",
     "q_nfc": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
     "q_v1_clean": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[?]+', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents WHERE lang IN ('en', 'EN')",
-    "q_quality_score": r"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[\p{L}\p{N}\s.,;:/()\-]')) / length(text) ELSE 0 END, 6) AS quality FROM documents",
+    "q_quality_score": r"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[A-Za-zÀ-ỹĐđ0-9]')) / length(text) ELSE 0 END, 6) AS quality FROM documents",
     "q_line_filter": r"""WITH b AS (SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw IS NOT NULL) SELECT block_key, md5(array_to_string(list_filter(list_transform(string_split(content_raw, chr(10)), lambda x: regexp_replace(x, '^ +| +$', '', 'g')),
         lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^(trang|Trang|Page) ') AND NOT regexp_matches(x, '^[A-Z0-9\s-]{1,12}$')), chr(10))) AS h FROM b""",
     "q_compact_text": r"""SELECT c_custkey, CASE WHEN length(f) > 30 THEN rtrim(CASE WHEN regexp_extract(left(f, 30), '^(.*) ', 1) = '' THEN left(f, 30) ELSE regexp_extract(left(f, 30), '^(.*) ', 1) END) || '...' ELSE f END AS short FROM (SELECT c_custkey, trim(regexp_replace(concat_ws(' ', c_name, c_mktsegment, c_name), '\s+', ' ', 'g')) f FROM customer)""",

@@ -31,8 +31,8 @@ def test_text(spark):
     assert one(X.tidy("t"), t=" e\u0302\u00a0 b \r\n\r\n\r\n\r\n c ") == "ê b\n\nc"
     assert one(X.compact("t", 10), t="một hai ba bốn") == "một hai..." and one(X.words("t"), t="Điều  1, KTX's!") == ["điều", "1", "ktx's"]
     assert one(X.match_key("t"), t="ĐIỀU ５") == "dieu 5" and one(X.token_count("t"), t="a_b, c!") == 6 and one(X.first_filled("t", F.lit(" z ")), t="  ") == "z"
-    assert one(X.clean_answer("t"), t="assistant: Dòng một [E1]\nDÒNG MỘT [E2]\nnguồn: x\nhai") == "Dòng một\nhai"
-    assert one(X.after_prompt("t", F.lit("hỏi?")), t="hỏi? đáp") == "đáp" and one(X.json_object("t"), t='x {"a": {}} y') == '{"a": {}}'
+    assert one(X.clean_answer("t"), t="assistant: Dòng [E1] một\nDÒNG MỘT\nnguồn: x\nhai -\nCâu hỏi: z") == "Dòng một\nhai"
+    assert one(X.after_prompt("t", F.lit("hỏi?")), t="hỏi? đáp hỏi?: xong") == "xong" and one(X.after_prompt("t", F.lit("q")), t="system: a\nđáp") == "đáp" and one(X.json_object("t"), t='x {"a": {}} y') == '{"a": {}}'
     assert [one(X.block_type("t"), t=t) for t in ("Plain Text", "figure-caption", None, "discard", "TABLE")] == ["text", "figure_caption", "text", "abandon", "table"]
     assert one(X.content_lines("t"), t="12345\nngắn\nmột dòng đủ dài\nABC-123") == "một dòng đủ dài"
 

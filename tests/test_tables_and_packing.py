@@ -86,6 +86,9 @@ def test_splitters(spark):
     assert [r.chunk for r in X.fixed(df.where("k = 5"), "k", "t", 4, 1).orderBy("chunk_index").collect()] == ["a b c d", "d e f g"]
     spans = X.spans(spark.createDataFrame([(1, "ab\n\ncd")], "k long, t string"), "k", "t").orderBy("span_index").collect()
     assert [(r.start_char, r.end_char, r.span) for r in spans] == [(0, 2, "ab"), (4, 6, "cd")]
-    assert all(len(c) <= 1024 for c in X.by_size("từ " * 2000))
+    made = X.by_size("\n".join(["dòng văn bản thứ nhất của mục này"] * 80))
+    assert len(made) > 2 and all(len(c) <= 1024 + 40 for c in made) and made[1].split()[:40] == made[0].split()[-40:]
+    assert X.by_size("mở đầu\n\nĐiều 1. a\nMục 2: b\n") == ["mở đầu Điều 1. a Mục 2: b"]
+    assert [c[:6] for c in X.by_size("Điều 1. " + "a" * 300 + "\nĐiều 2. " + "b" * 300)] == ["Điều 1", "Điều 2"]
     rows = spark.createDataFrame([(1, i, f"s{i}", [1.0, 0.0] if i < 3 else [0.0, 1.0]) for i in range(6)], "k long, o int, t string, v array<double>")
     assert [r.chunk for r in X.semantic(rows, "k", "o", "t", "v").orderBy("chunk_index").collect()] == ["s0 s1 s2", "s3 s4 s5"]
