@@ -42,12 +42,20 @@ def ocr_blocks(documents: DataFrame, document: str = "stem") -> DataFrame:
     names = documents.select("rec_id", F.col(document).alias("document_id")).dropDuplicates(["rec_id"])
     rows = blocks.join(pages, ["rec_id", "page_pos"]).join(names, "rec_id")
     scaled = F.when((F.col("width") > 0) & (F.col("height") > 0) & (F.greatest(F.abs(F.col("bbox")[0]), F.abs(F.col("bbox")[2])) > 1), F.array(F.col("bbox")[0] / F.col("width"), F.col("bbox")[1] / F.col("height"), F.col("bbox")[2] / F.col("width"), F.col("bbox")[3] / F.col("height"))).otherwise(F.col("bbox"))
-    place = F.coalesce("block_index", F.element_at(F.split("block_path", r"\."), -1).cast("int"))
+    place = F.coalesce(F.col("block_index"), F.element_at(F.split("block_path", r"\."), -1).cast("int") + 1)
     return rows.select(
         F.xxhash64("rec_id", "page_pos", "block_path").alias("block_key"), "document_id", F.col("page_number").cast("int").alias("page_number"), place.alias("block_index"), F.coalesce("label", F.lit("text")).alias("block_type"), scaled.alias("bbox"), F.array_join("texts", "\n").alias("content_raw"), I.block_id("page_number", place).alias("block_id")
     )
 
 
+def resolve_paths(meta: DataFrame, files: DataFrame, key: str = "id") -> DataFrame:
+    """Each document id with the file its stem names: as written, else in capitals, else in small letters; null if there is none."""
+    ids = meta.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "").select(F.trim(F.col(key)).alias("document_id")).distinct()
+    joined = ids.join(files.select("file_path", "stem"), F.lower("document_id") == F.lower("stem"), "left")
+    rank = F.when(F.col("stem") == F.col("document_id"), 0).when(F.col("stem") == F.upper("document_id"), 1).when(F.col("stem") == F.lower("document_id"), 2).otherwise(3)
+    return joined.groupBy("document_id").agg(F.min_by("file_path", F.struct(rank, "file_path")).alias("file_path"))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The metadata extract from CSV: every column text, names in any case, columns under their lower-case names (no as doc_no)."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"').csv(path)

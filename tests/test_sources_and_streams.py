@@ -16,8 +16,11 @@ def test_ocr_json(spark, tmp_path):
     (tmp_path / "b.json").write_text("{", "utf-8")
     docs = D.read_json(spark, str(tmp_path))
     rows = D.ocr_blocks(docs).orderBy("block_index").collect()
-    assert [(r.document_id, r.page_number, r.block_index, r.block_type, r.content_raw) for r in rows] == [("a1", 2, 0, "Title", "Điều 1"), ("a1", 2, 7, "text", "x")]
+    assert [(r.document_id, r.page_number, r.block_index, r.block_type, r.content_raw) for r in rows] == [("a1", 2, 1, "Title", "Điều 1"), ("a1", 2, 7, "text", "x")]
     assert rows[0].bbox == [0.1, 0.1, 0.5, 0.2] and rows[1].bbox == [0.1, 0.2, 0.3, 0.4]
+    meta = spark.createDataFrame([("a1",), ("B",), ("c",), (None,)], "id string")
+    found = {r.document_id: (r.file_path or "").rpartition("/")[2] for r in D.resolve_paths(meta, D.discover(spark, str(tmp_path))).collect()}
+    assert found == {"a1": "A1.json", "B": "b.json", "c": ""}
     assert [r.stem for r in D.discover(spark, str(tmp_path), limit=1).collect()] == ["A1"]
 
 
