@@ -92,6 +92,10 @@ _CELL = rf"regexp_replace(regexp_replace(c, '[{_B}]+', ' ', 'g'), '^ | $', '', '
 SQL = {
     "q_table_cells": rf"""WITH r AS (SELECT block_key, list_filter(regexp_extract_all(content_raw, '<tr>(.*?)</tr>', 1, 's'), lambda x: NOT contains(x, '<th')) rows FROM ({_TABLES})), u AS (SELECT block_key, unnest(rows) row, generate_subscripts(rows, 1) i FROM r)
         SELECT block_key, (row_number() OVER (PARTITION BY block_key ORDER BY i) - 1)::INT AS row_index, array_to_string(list_transform(regexp_extract_all(row, '<td>(.*?)</td>', 1, 's'), lambda c: {_CELL}), '|') AS cells FROM u""",
+    "q_table_row_texts": rf"""WITH r AS (SELECT block_key, list_transform(regexp_extract_all(content_raw, '<th>(.*?)</th>', 1, 's'), lambda c: {_CELL}) heads, list_filter(regexp_extract_all(content_raw, '<tr>(.*?)</tr>', 1, 's'), lambda x: NOT contains(x, '<th')) rows FROM ({_TABLES})),
+        u AS (SELECT block_key, heads, unnest(rows) row, generate_subscripts(rows, 1) i FROM r), c AS (SELECT block_key, i, heads, list_transform(regexp_extract_all(row, '<td>(.*?)</td>', 1, 's'), lambda c: {_CELL}) cells FROM u)
+        SELECT block_key, (row_number() OVER (PARTITION BY block_key ORDER BY i) - 1)::INT AS row_index, array_to_string(list_filter(list_transform(range(1, len(cells) + 1), lambda j: CASE WHEN cells[j] <> '' THEN heads[j] || ': ' || cells[j] END), lambda x: x IS NOT NULL), chr(10)) AS text FROM c""",
+    "q_unreadable_tables": rf"""SELECT error, count(*) AS n FROM (SELECT CASE WHEN NOT contains(coalesce(content_raw, ''), '<table') THEN 'no table' WHEN NOT contains(content_raw, '<tr') THEN 'no rows' END AS error FROM (SELECT DISTINCT ON (block_key) * FROM ocr_block WHERE document_id IS NOT NULL) WHERE lower(trim(block_type)) = 'table') WHERE error IS NOT NULL GROUP BY 1""",
     "q_html_tables": rf"""SELECT block_key, NULL::VARCHAR AS error, len(regexp_extract_all(content_raw, '<th>', 0))::INT AS column_count, len(list_filter(regexp_extract_all(content_raw, '<tr>(.*?)</tr>', 1, 's'), lambda x: NOT contains(x, '<th')))::INT AS n_rows, array_to_string(list_transform(regexp_extract_all(content_raw, '<th>(.*?)</th>', 1, 's'), lambda c: {_CELL}), ' | ') AS headers, 'generic' AS schema_type FROM ({_TABLES})""",
     "q_stored_violations": rf"""WITH c AS (SELECT DISTINCT ON (chunk_key) chunk_id, parent_id, chunk_type, section_path, raw_text, token_count, record_type FROM chunk), k AS (SELECT *, count(*) OVER (PARTITION BY chunk_id) n, parent_id IN (SELECT chunk_id FROM c WHERE record_type = 'parent') AS has, trim(coalesce(raw_text, '')) = '' AS blank, len(regexp_extract_all(coalesce(raw_text, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_B}]')) + 2 AS t FROM c WHERE record_type = 'child'),
         v AS (SELECT unnest([CASE WHEN n > 1 THEN 'repeated id' END, CASE WHEN NOT coalesce(has, false) THEN 'no parent' END, CASE WHEN blank THEN 'no text' END, CASE WHEN NOT blank AND coalesce(token_count, -1) <> t THEN 'wrong count' END, CASE WHEN NOT blank AND t > 256 THEN 'too long' END, CASE WHEN NOT blank AND t < 3 THEN 'too short' END, CASE WHEN chunk_type = 'table_row' AND coalesce(len(section_path), 0) = 0 THEN 'no path' END]) AS rule FROM k) SELECT rule, count(*) AS n FROM v WHERE rule IS NOT NULL GROUP BY 1""",
