@@ -106,11 +106,19 @@ def _mark_recurring(lines: list[Line]) -> None:
             by_key[head].add(line.page)
     keys = list(by_key)
     back = {k for k in keys if len(by_key[k]) > 1}
+    bags = np.zeros((len(keys), 28), dtype=np.int16)
+    for i, key in enumerate(keys):
+        for char in key:
+            bags[i, ord(char) - 97 if "a" <= char <= "z" else 26 if char.isdigit() else 27] += 1
+    lengths = bags.sum(axis=1)
     for i, a in enumerate(keys):
         if a in back:
             continue
-        for b in keys[:i] + keys[i + 1 :]:
-            if len(by_key[a] | by_key[b]) > 1 and _near(a, b, max(1, len(a) // 8)) and sum(c.isdigit() for c in a) == sum(c.isdigit() for c in b):
+        # an edit changes two of the letter counts at most, a question mark stands for any letter
+        most = max(1, len(a) // 8)
+        apart = np.abs(bags - bags[i]).sum(axis=1) <= 2 * (most + bags[i, 27] + bags[:, 27])
+        for j in np.flatnonzero(apart & (np.abs(lengths - lengths[i]) <= most) & (bags[:, 26] == bags[i, 26])).tolist():
+            if j != i and len(by_key[a] | by_key[keys[j]]) > 1 and _near(a, keys[j], most):
                 back.add(a)
                 break
     for line in edge:
