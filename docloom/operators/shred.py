@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,24 +41,33 @@ HEIGHT_NAMES = ("height", "page_height")
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
+_quoted = json.encoder.encode_basestring
+
+
 class _Kind:
-    """What a node of a record can be: an atom, a list, an object."""
+    """What a node of a record can be: an atom, a list, an object; and the chunks of its own atoms and of all leaves from it down."""
 
-    __slots__ = ("atom", "item", "keys")
+    __slots__ = ("atom", "item", "keys", "chunk", "leaves")
 
     def __init__(self) -> None:
         self.atom, self.item, self.keys = False, None, {}
+        self.chunk: tuple | None = None
+        self.leaves: list[tuple] = []
 
 
-def _kinds(value: object, kind: _Kind) -> None:
+def _kinds(value: object, kind: _Kind, skip: frozenset[str]) -> None:
     if isinstance(value, dict):
         for key, child in value.items():
-            _kinds(child, kind.keys.setdefault(key, _Kind()))
+            if key not in skip:
+                below = kind.keys.get(key)
+                if below is None:
+                    below = kind.keys[key] = _Kind()
+                _kinds(child, below, skip)
         kind.atom |= not value
     elif isinstance(value, list):
         kind.item = kind.item or _Kind()
         for child in value:
-            _kinds(child, kind.item)
+            _kinds(child, kind.item, skip)
     elif value is not None:
         kind.atom = True
 
@@ -66,35 +76,55 @@ def _step(key: str) -> str:
     return key.replace("~", "~0").replace(".", "~1").replace("[", "~2")
 
 
-def stripe(value: object) -> dict[str, tuple[list[int], list[int], list[str | None]]]:
-    """All column chunks of one parsed record, in the order of its fields."""
+def stripe(value: object, skip: frozenset[str] = frozenset()) -> dict[str, tuple[list[int], list[int], list[str | None]]]:
+    """The column chunks of one parsed record, in the order of its fields; those of fields to ``skip`` aren't made."""
     top = _Kind()
-    _kinds(value, top)
+    _kinds(value, top, skip)
     out: dict[str, tuple[list[int], list[int], list[str | None]]] = {}
 
-    def put(path: str, rep: int, level: int, leaf: str | None) -> None:
-        chunk = out.get(path)
-        if chunk is None:
-            chunk = out[path] = ([], [], [])
-        chunk[0].append(rep)
-        chunk[1].append(level)
-        chunk[2].append(leaf)
-
-    def walk(node: object, kind: _Kind, path: str, rep: int, level: int, depth: int) -> None:
+    def lay(kind: _Kind, path: str) -> list[tuple]:
         if kind.atom or not (kind.item or kind.keys):
-            atom = node is not None and not isinstance(node, (dict, list))
-            put(path, rep, level, json.dumps(node, ensure_ascii=False) if atom else None)
+            kind.chunk = out[path] = ([], [], [])
+            kind.leaves.append(kind.chunk)
+        if kind.item is not None:
+            kind.leaves += lay(kind.item, path + "[]")
+        for key, child in kind.keys.items():
+            kind.leaves += lay(child, f"{path}.{_step(key)}" if path else _step(key))
+        return kind.leaves
+
+    def nothing(kind: _Kind, rep: int, level: int) -> None:
+        for reps, defs, leaves in kind.leaves:
+            reps.append(rep)
+            defs.append(level)
+            leaves.append(None)
+
+    def walk(node: object, kind: _Kind, rep: int, level: int, depth: int) -> None:
+        if node is None:
+            nothing(kind, rep, level)
+            return
+        if kind.chunk is not None:
+            reps, defs, leaves = kind.chunk
+            reps.append(rep)
+            defs.append(level)
+            leaves.append(None if isinstance(node, (dict, list)) else _quoted(node) if isinstance(node, str) else json.dumps(node))
         if kind.item is not None:
             if isinstance(node, list) and node:
-                for i, child in enumerate(node):
-                    walk(child, kind.item, path + "[]", rep if i == 0 else depth + 1, level + 1, depth + 1)
+                walk(node[0], kind.item, rep, level + 1, depth + 1)
+                for child in node[1:]:
+                    walk(child, kind.item, depth + 1, level + 1, depth + 1)
             else:
-                walk(None, kind.item, path + "[]", rep, level, depth + 1)
-        for key, child in kind.keys.items():
-            got = node.get(key) if isinstance(node, dict) else None
-            walk(got, child, f"{path}.{_step(key)}" if path else _step(key), rep, level + (got is not None), depth)
-
-    walk(value, top, "", 0, 0, 0)
+                nothing(kind.item, rep, level)
+        if kind.keys:
+            get = node.get if isinstance(node, dict) else {}.get
+            for key, child in kind.keys.items():
+                got = get(key)
+                if got is None:
+                    nothing(child, rep, level)
+                else:
+                    walk(got, child, rep, level + 1, depth)
+
+    lay(top, "")
+    walk(value, top, 0, 0, 0)
     return out
 
 
@@ -140,8 +170,8 @@ def _source(df: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.dropDuplicates(["rec_id", "payload"])
 
 
-def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload") -> DataFrame:
-    """One row per valid payload: rec_id and its column chunks.
+def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload", skip: tuple[str, ...] = ()) -> DataFrame:
+    """One row per valid payload: rec_id and its column chunks, without those of the fields named in ``skip``.
 
     A payload that is null, blank, not JSON or not an object gives no row here
     but one in ``unreadable``. A payload sent again (same key, same text) counts
@@ -149,6 +179,8 @@ def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload") -> DataF
     their names. An empty table gives an empty one. Long payloads are taken whole.
     """
 
+    pruned = frozenset(skip)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             recs, chunks = [], []
@@ -156,7 +188,7 @@ def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload") -> DataF
                 good, value = _parse(text)
                 if good and isinstance(value, dict):
                     recs.append(rec)
-                    chunks.append([{"path": p, "reps": r, "defs": d, "leaves": v} for p, (r, d, v) in stripe(value).items()])
+                    chunks.append([{"path": p, "reps": r, "defs": d, "leaves": v} for p, (r, d, v) in stripe(value, pruned).items()])
             yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array(chunks, pa.list_(CHUNK))], names=["rec_id", "chunks"])
 
     return _source(df, key, payload).mapInArrow(run, SHREDDED)
@@ -178,23 +210,74 @@ def unreadable(df: DataFrame, key: str = "rec_id", payload: str = "payload") ->
     return _source(df, key, payload).mapInArrow(run, "rec_id long, reason string")
 
 
+class _Column:
+    """One chunk of a batch; what is asked for is taken out of Arrow then, not before."""
+
+    __slots__ = ("depth", "parts", "low", "high", "_at")
+
+    def __init__(self, depth: int, parts: tuple, low: int, high: int):
+        self.depth, self.parts, self.low, self.high = depth, parts, low, high
+        self._at: np.ndarray | None = None
+
+    @property
+    def at(self) -> np.ndarray:
+        """Ordinals of all entries."""
+        if self._at is None:
+            self._at = positions(self.parts[0][self.low : self.high], self.depth)
+        return self._at
+
+    @property
+    def defs(self) -> np.ndarray:
+        return self.parts[1][self.low : self.high]
+
+    def entries(self, depth: int, level: int | None) -> Iterator[tuple[tuple[int, ...], str | None]]:
+        """Ancestors at ``depth`` and leaf of the entries with a value, or of all that reach a definition level."""
+        leaves = self.parts[2].slice(self.low, self.high - self.low)
+        if level is None:
+            if leaves.null_count == len(leaves):
+                return iter(())
+            taken = np.flatnonzero(leaves.is_valid().to_numpy(zero_copy_only=False)) if leaves.null_count else np.arange(len(leaves))
+        else:
+            taken = np.flatnonzero(self.defs >= level)
+        if not len(taken):
+            return iter(())
+        return zip(map(tuple, self.at[taken, :depth].tolist()), leaves.take(pa.array(taken)).to_pylist())
+
+
 class Chunks:
     """The column chunks of one record, read by ancestor."""
 
-    def __init__(self, chunks: list[dict]):
-        self.columns = {}
-        for c in chunks:
-            reps = np.asarray(c["reps"], dtype=np.int64)
-            self.columns[c["path"]] = (positions(reps, c["path"].count("[]")), c["defs"], c["leaves"])
+    def __init__(self, columns: dict[str, _Column]):
+        self.columns = columns
+
+    @classmethod
+    def of_batch(cls, records: pa.ListArray) -> Iterator[Chunks]:
+        """The records of a batch; only the columns that are read are taken out of Arrow."""
+        held = records.flatten()
+        paths = held.field("path").to_pylist()
+        reps, defs, leaves = held.field("reps"), held.field("defs"), held.field("leaves")
+        begin = reps.offsets.to_numpy()
+        begin = begin - begin[0]
+        parts = (reps.flatten().to_numpy(), defs.flatten().to_numpy(), leaves.flatten())
+        depths = {p: p.count("[]") for p in set(paths)}
+        ends = np.cumsum([n or 0 for n in pc.list_value_length(records).to_pylist()])
+        low = 0
+        for high in ends.tolist():
+            yield cls({paths[i]: _Column(depths[paths[i]], parts, int(begin[i]), int(begin[i + 1])) for i in range(low, high)})
+            low = high
 
     def lists(self, pattern: str) -> list[str]:
         """The list paths (ending in ``[]``) that match, shallow ones first."""
         rule, found = re.compile(pattern), {}
         for path in self.columns:
-            ends = [m.end() for m in re.finditer(r"\[\]", path)]
-            for end in ends:
-                if rule.fullmatch(path[:end]):
-                    found[path[:end]] = None
+            end = path.find("[]")
+            while end >= 0:
+                end += 2
+                head = path[:end]
+                if head not in found:
+                    found[head] = rule.fullmatch(head) is not None
+                end = path.find("[]", end)
+        found = {p: None for p, fits in found.items() if fits}
         return sorted(found, key=lambda p: (p.count("[]"), p))
 
     def elements(self, path: str) -> list[tuple[int, ...]]:
@@ -203,16 +286,22 @@ class Chunks:
         below = next((p for p in self.columns if p == path or p.startswith((path + ".", path + "["))), None)
         if below is None:
             return []
-        at, defs, _ = self.columns[below]
-        return list(dict.fromkeys(tuple(a[:depth].tolist()) for a, d in zip(at, defs) if d >= level))
+        column = self.columns[below]
+        return list(dict.fromkeys(map(tuple, column.at[column.defs >= level, :depth].tolist())))
 
-    def values(self, path: str, depth: int) -> dict[tuple[int, ...], list]:
-        """Values of a leaf path, those of one ancestor at ``depth`` together; a null is kept as None where its element is there."""
+    def values(self, path: str, depth: int, nulls: bool = False) -> dict[tuple[int, ...], list]:
+        """Values of a leaf path, those of one ancestor at ``depth`` together; with ``nulls`` list elements that are null are None."""
         out: dict[tuple[int, ...], list] = {}
-        if path in self.columns:
-            at, _, leaves = self.columns[path]
-            for a, leaf in zip(at, leaves):
-                out.setdefault(tuple(a[:depth].tolist()), []).append(None if leaf is None else json.loads(leaf))
+        column = self.columns.get(path)
+        if column is not None:
+            level = path.count("[]") + len(re.findall(r"[^.\[\]]+", path)) if nulls else None
+            for key, leaf in column.entries(depth, level):
+                found = None if leaf is None else leaf[1:-1] if leaf[0] == '"' and "\\" not in leaf else json.loads(leaf)
+                held = out.get(key)
+                if held is None:
+                    out[key] = [found]
+                else:
+                    held.append(found)
         return out
 
     def first(self, path: str, names: tuple[str, ...], depth: int, good: Callable[[object], bool]) -> dict[tuple[int, ...], object]:
@@ -248,10 +337,10 @@ def boxes(chunks: Chunks, path: str, depth: int) -> dict[tuple[int, ...], list[f
         for key, (text, *_) in chunks.values(base, depth).items():
             if isinstance(text, str) and key not in out and (box := _box(re.split(r"[\s,;]+", text.strip(" []()")))):
                 out[key] = box
-        for key, flat in chunks.values(base + "[]", depth).items():
+        for key, flat in chunks.values(base + "[]", depth, nulls=True).items():
             if key not in out and (box := _box(flat)):
                 out[key] = box
-        for key, flat in chunks.values(base + "[][]", depth).items():
+        for key, flat in chunks.values(base + "[][]", depth, nulls=True).items():
             numbers = [_number(v) for v in flat]
             if key not in out and len(numbers) >= 4 and len(numbers) % 2 == 0 and None not in numbers:
                 xs, ys = numbers[0::2], numbers[1::2]
@@ -303,8 +392,8 @@ def _assemble(shredded: DataFrame, rows: Callable[[Chunks], Iterator[tuple]], sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for rec, chunks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(rec, *row) for row in rows(Chunks(chunks))]
+            for rec, chunks in zip(batch.column(0).to_pylist(), Chunks.of_batch(batch.column(1))):
+                out += [(rec, *row) for row in rows(chunks)]
             columns = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 

@@ -10,7 +10,8 @@ from docloom.session import spread, table
 
 
 def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.shred(spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload")))
+    # no table here holds single words, so their columns aren't made
+    return S.shred(spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload")), skip=("words",))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
