@@ -82,16 +82,16 @@ nodes AS (SELECT d, o, arg_min(n, seq) n, arg_min(coalesce(lab, CASE n WHEN 'dec
     UNION ALL SELECT d, pat, 'preamble', 'Phần căn cứ', '', page, page, NULL, 1, 'Phần căn cứ' FROM s11 WHERE seq = pre UNION ALL SELECT d, mat, 'metadata', 'Thông tin văn bản', '', page, page, NULL, 1, 'Thông tin văn bản' FROM s11 WHERE seq = met),
 h AS (SELECT *, sha1(from_hex(replace(d, '-', '')) || encode('v2:node:' || n || ':' || coalesce(bid, 'virtual-' || o::BIGINT) || ':' || o::BIGINT)) u FROM nodes)
 """
-_TREE_ROWS = """SELECT d AS document_id, o::INT AS ordinal, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || translate(substr(u, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(u, 18, 3) || '-' || substr(u, 21, 12) AS node_id, n AS node_type, title, par::INT AS parent_ordinal, path AS section_path, md5(x) AS text_md5, p0 AS page_start, p1 AS page_end FROM h
+_TREE_ROWS = """SELECT d AS document_id, o::BIGINT AS ordinal, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-5' || substr(u, 14, 3) || '-' || translate(substr(u, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(u, 18, 3) || '-' || substr(u, 21, 12) AS node_id, n AS node_type, title, par::BIGINT AS parent_ordinal, path AS section_path, md5(x) AS text_md5, p0 AS page_start, p1 AS page_end FROM h
 """
 _UP = ", up AS (SELECT d, o, o AS a, 0 AS lv FROM h UNION ALL SELECT up.d, up.o, t.par, up.lv + 1 FROM up JOIN h t ON t.d = up.d AND t.o = up.a)"
 SQL = {
     "q_document_tree": _TREE + _TREE_ROWS,
     "q_forward_fill_tree": _TREE + "SELECT d AS document_id, path, count(*) AS n FROM h WHERE n IN ('clause', 'point', 'paragraph') GROUP BY 1, 2",
-    "q_rolled_up_pages": _TREE + _UP + ", w AS (SELECT DISTINCT d, o, bid FROM s11) SELECT up.d AS document_id, a::INT AS ordinal, min(p0) AS first_page, max(p1) AS last_page, count(DISTINCT w.bid)::INT AS sources FROM up JOIN h ON h.d = up.d AND h.o = up.o LEFT JOIN w ON w.d = up.d AND w.o = up.o GROUP BY 1, 2",
+    "q_rolled_up_pages": _TREE + _UP + ", w AS (SELECT DISTINCT d, o, bid FROM s11) SELECT up.d AS document_id, a::BIGINT AS ordinal, min(p0) AS first_page, max(p1) AS last_page, count(DISTINCT w.bid)::INT AS sources FROM up JOIN h ON h.d = up.d AND h.o = up.o LEFT JOIN w ON w.d = up.d AND w.o = up.o GROUP BY 1, 2",
     "q_text_units": _TREE + _UP + """, c AS (SELECT up.d, up.o, arg_min(a, lv) pr, arg_min(CASE WHEN a = 1 THEN 'document' ELSE t.n END, lv) pt FROM up LEFT JOIN h t ON t.d = up.d AND t.o = up.a WHERE a = 1 OR t.n IN ('article', 'preamble', 'recipients', 'signature', 'metadata', 'decision_heading') GROUP BY 1, 2)
-        SELECT h.d AS document_id, h.o::INT AS ordinal, CASE h.n WHEN 'article' THEN 'article_intro' WHEN 'recipients' THEN 'recipient_item' ELSE h.n END AS unit_type, pr::INT AS primary, pt AS parent_type, path AS section_path FROM h JOIN c ON c.d = h.d AND c.o = h.o WHERE h.n NOT IN ('table', 'preamble', 'metadata') AND trim(x) <> ''""",
-    "q_source_nodes": _TREE + ", an AS (SELECT d, o, [1, o::INT] AS li FROM h WHERE par = 1 UNION ALL SELECT k.d, k.o, list_append(an.li, k.o::INT) FROM h k JOIN an ON an.d = k.d AND an.o = k.par), w AS (SELECT DISTINCT d, o, bid FROM s11) SELECT document_id, block_id, ordinal FROM (SELECT w.d AS document_id, w.bid AS block_id, w.o::INT AS ordinal, row_number() OVER (PARTITION BY w.d, w.bid ORDER BY li DESC) r FROM w JOIN an ON an.d = w.d AND an.o = w.o) WHERE r = 1",
+        SELECT h.d AS document_id, h.o::BIGINT AS ordinal, CASE h.n WHEN 'article' THEN 'article_intro' WHEN 'recipients' THEN 'recipient_item' ELSE h.n END AS unit_type, pr::BIGINT AS primary, pt AS parent_type, path AS section_path FROM h JOIN c ON c.d = h.d AND c.o = h.o WHERE h.n NOT IN ('table', 'preamble', 'metadata') AND trim(x) <> ''""",
+    "q_source_nodes": _TREE + ", an AS (SELECT d, o, [1, o::INT] AS li FROM h WHERE par = 1 UNION ALL SELECT k.d, k.o, list_append(an.li, k.o::INT) FROM h k JOIN an ON an.d = k.d AND an.o = k.par), w AS (SELECT DISTINCT d, o, bid FROM s11) SELECT document_id, block_id, ordinal FROM (SELECT w.d AS document_id, w.bid AS block_id, w.o::BIGINT AS ordinal, row_number() OVER (PARTITION BY w.d, w.bid ORDER BY li DESC) r FROM w JOIN an ON an.d = w.d AND an.o = w.o) WHERE r = 1",
     "q_indexable_blocks": rf"""SELECT k AS block_type, count(*) AS n FROM (SELECT {_KIND} k, {_NORM} t FROM ({_DISTINCT})) WHERE CASE WHEN trim(t) = '' THEN false WHEN regexp_matches(t, '(?i)^\s*(?:trang\s*)?\d{{1,4}}\s*$') THEN false
         WHEN k = 'table_footnote' AND regexp_matches(t, '^\s*[A-ZÀ-Ỹ][\p{{L}}\p{{N}}_ .''-]{{0,28}}\s*\((?:ĐT|DT|đt|dt)\)\s*$') THEN false WHEN regexp_matches(t, '(?i)^(?:ký bởi|signed by|signature valid|digitally signed)(?:[^\p{{L}}\p{{N}}_]|$)') THEN false WHEN k = 'figure' THEN false
         WHEN k = 'abandon' THEN regexp_matches(t, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:BỘ|TRƯỜNG|ỦY BAN|CỘNG HÒA|Số\s*:|QUYẾT ĐỊNH|Căn cứ|Điều\s+\d+)(?:[^\p{{L}}\p{{N}}_]|$)') WHEN length(t) <= 2 AND NOT regexp_matches(t, '[\p{{L}}\p{{N}}_]') THEN false ELSE true END GROUP BY 1""",
