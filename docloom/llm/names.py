@@ -243,10 +243,10 @@ def pick_pivots(points: DataFrame, size: int = PIVOTS, sample: int = 400) -> lis
 
 
 def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None) -> DataFrame:
-    """All points (recordid, point, support) of a record within the radius of each other.
+    """All points (recordid, point) of a record within the radius of each other.
 
     Rows: recordid, a, b, d, slips (1: one slip of the pen, 2: one each in two
-    words, 3: more), and the lesser and greater support of the two.
+    words, 3: more).
 
     Exact: points x, y within r have |d(x, p) - d(y, p)| <= r for every pivot,
     so the nearest pivot of one is at most 2r farther from the other than its own.
@@ -257,17 +257,16 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
     if not pivots:
         pivots = [""]
     places = F.array(*(F.struct(F.levenshtein("point", F.lit(p)).alias("d"), F.lit(i).alias("cell")) for i, p in enumerate(pivots)))
-    placed = points.select("recordid", "point", "support", places.alias("at")).withColumn("own", F.array_min("at"))
-    cells = placed.select("recordid", "point", "support", F.explode(F.filter("at", lambda x: (x["d"] <= F.col("own.d") + 2 * radius) & (x["cell"] <= F.col("own.cell")))).alias("x")).select("recordid", "point", "support", F.col("x.cell").alias("cell"))
-    schema = pa.schema([("recordid", pa.string()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int32()), ("slips", pa.int32()), ("least", pa.int64()), ("most", pa.int64())])
+    placed = points.select("recordid", "point", places.alias("at")).withColumn("own", F.array_min("at"))
+    cells = placed.select("recordid", "point", F.explode(F.filter("at", lambda x: (x["d"] <= F.col("own.d") + 2 * radius) & (x["cell"] <= F.col("own.cell")))).alias("x")).select("recordid", "point", F.col("x.cell").alias("cell"))
+    schema = pa.schema([("recordid", pa.string()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int32()), ("slips", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple, group: list[tuple[str, int]]) -> list[tuple]:
-            names = [p for p, _ in group]
+        def close(key: tuple, names: list[str]) -> list[tuple]:
             rows = []
             for i, j, d in pairs_within(names, radius):
                 slips = 1 if _one_slip(names[i], names[j]) else 2 if _slip_by_word(names[i], names[j]) else 3
-                rows.append((key[0], names[i], names[j], d, slips, min(group[i][1], group[j][1]), max(group[i][1], group[j][1])))
+                rows.append((key[0], names[i], names[j], d, slips))
             return rows
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -276,7 +275,7 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
 
         current, group, found = None, [], []
         for batch in batches:
-            for record, point, support, cell in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for record, point, cell in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if (record, cell) != current:
                     if len(group) > 1:
                         found += close(current, group)
@@ -284,14 +283,14 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
                     if len(found) > 20_000:
                         yield out(found)
                         found = []
-                group.append((point, support))
+                group.append(point)
         if len(group) > 1:
             found += close(current, group)
         yield out(found)
 
     width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spreaded = cells.repartition(width, "recordid", "cell").sortWithinPartitions("recordid", "cell", "point")
-    return spreaded.mapInArrow(run, "recordid string, a string, b string, d int, slips int, least long, most long").distinct()
+    return spreaded.mapInArrow(run, "recordid string, a string, b string, d int, slips int").distinct()
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -336,14 +335,14 @@ def link(rows: DataFrame) -> DataFrame:
     ``rows`` has recordid and name. A null, blank or ``N/A`` name means nobody
     and a null record is no record: both give no row. Equal strings count once.
     A short form ("anh Tường", "T. T. An", "VNCĐH") joins a class only if it can
-    stand for exactly one class of its record.
+    stand for exactly one class of its record. Whether two points within the
+    radius are one name is settled by the two strings alone: one slip, or one
+    each in two words.
     """
     forms = rows.select(F.col("recordid").cast("string").alias("recordid"), F.col("name").cast("string").alias("name")).where("recordid is not null and name is not null").distinct()
     parsed = cut(_parsed(forms))
-    points = parsed.select("recordid", "name", F.explode("points").alias("point")).groupBy("recordid", "point").agg(F.count(F.lit(1)).alias("support"))
-    near = radius_join(points)
-    # two forms that are both written in several ways are two names, not one and its misspelling
-    near = near.where("slips = 1 and least < 2 or slips = 2 and most < 2")
+    points = parsed.select("recordid", "name", F.explode("points").alias("point")).distinct()
+    near = radius_join(points).where("slips < 3")
     stars = parsed.where(F.size("points") > 1).select("recordid", F.col("node").alias("a"), F.explode(F.slice("points", 2, 9)).alias("b"))
     found = classes(near.select("recordid", "a", "b").unionByName(stars))
     nodes = parsed.select("recordid", "node").distinct()

@@ -57,3 +57,12 @@ def test_links(spark):
     assert N.pairs(df.limit(0)).count() == 0
     two = spark.createDataFrame([("1", "r", "Lê An Tường"), ("2", "r", "Phan Hải Tường"), ("3", "r", "anh Tường")], "key string, recordid string, name string")
     assert N.pairs(two).count() == 0  # the short form may stand for either
+
+
+def test_misspellings_of_several_spellings(spark):
+    same = [("Phạm Diễm Oanh", "PHAM DIEM OANH", "Pham Diem Oanh"), ("Phhạm Diễm Oanh", "PHHAM DIEM OANH"), ("Hồ Imnh Hiền", "HO IMNH HIEN"), ("Hồ Minh Hền", "HO MINH HEN")]
+    rows = [(f"{i}{j}", "r", name) for i, names in enumerate(same) for j, name in enumerate(names)] + [("90", "r", "Phạm Diễm Yên"), ("91", "r", "PHAM DIEM YEN")]
+    labels = {x.name: x.label for x in N.link(spark.createDataFrame(rows, "key string, recordid string, name string")).collect()}
+    assert len({labels[n] for n in same[0] + same[1]}) == 1  # one slip
+    assert len({labels[n] for n in same[2] + same[3]}) == 1  # one slip each in two words
+    assert len(set(labels.values())) == 3  # a longer difference is another name
