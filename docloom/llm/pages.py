@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm import crf, misread
 from docloom.llm.lookalike import canonical
+from docloom.session import cut
 
 LABELS = ["O", "break", "running", "pageno"]
 MOTTO = "conghoaxahoi"
-#: pages of a document, and blocks of a page, that are worked on together; only a document beyond that is cut
-PAGES_TOGETHER, INDEXES_TOGETHER = 64, 1000
+#: pages of a document, blocks of a page, and lines that are labelled together; heads are compared over the whole document
+PAGES_TOGETHER, INDEXES_TOGETHER, FLUSH = 64, 1000, 60_000
+#: head keys of a document beyond which they are compared in cells
+KEYS_TOGETHER = 4000
 _PAGENO = re.compile(r"[\s.\-–—\[(|]*(?:(?:trang|page|tr\.?|p\.?)\s*)?(\d{1,4})(?:\s*(?:/|of|trên)\s*(\d{1,4}))?[\s.\-–—\])|]*", re.IGNORECASE)
 _SUFFIX = re.compile(r"(?:\s*[-–|•/]\s*|\s+)(?:(?:trang|page)\s*)?(\d{1,4})(?:\s*(?:/|of)\s*\d{1,4})?[\s.'~\-–]*$", re.IGNORECASE)
 _HYPHENS = "-‐‑¬"
@@ -88,41 +91,49 @@ def _near(a: str, b: str, most: int) -> bool:
     return row[-1] <= most
 
 
-def _mark_recurring(lines: list[Line]) -> None:
-    """Sets ``recurs`` for lines at the edges of pages that come back on other pages."""
+def _edges(lines: list[Line]) -> list[Line]:
+    """The lines at the edges of pages, in which heads and feet are looked for."""
     pages: dict[int, list[Line]] = defaultdict(list)
     for line in lines:
         pages[line.page].append(line)
-    if len(pages) < 2:
-        return
-    edge: list[Line] = []
+    out: list[Line] = []
     for page in pages.values():
         chosen = {id(x): x for x in page[:4] + page[-4:]} | {id(x): x for x in page if x.top is None or x.top < 0.1 or x.top > 0.9}
-        edge += [x for x in chosen.values() if len(x.plain) <= 160 and not _PAGENO.fullmatch(x.plain)]
-    by_key: dict[str, set[int]] = defaultdict(set)
-    for line in edge:
-        line.heads = head_keys(line.plain, line.page)
-        for head in line.heads:
-            by_key[head].add(line.page)
-    keys = list(by_key)
-    back = {k for k in keys if len(by_key[k]) > 1}
+        out += chosen.values()
+    return out
+
+
+def _set_heads(line: Line) -> None:
+    line.heads = head_keys(line.plain, line.page) if len(line.plain) <= 160 and not _PAGENO.fullmatch(line.plain) else ()
+
+
+def near_keys(keys: list[str], spans: list[tuple[int, int]], asked: list[bool]) -> list[str]:
+    """The asked keys that stand on one page only and are near to a key of another page. ``spans``: least and greatest page of each key."""
+    if len({x for span in spans for x in span}) < 2:
+        return []
     bags = np.zeros((len(keys), 28), dtype=np.int16)
     for i, key in enumerate(keys):
         for char in key:
             bags[i, ord(char) - 97 if "a" <= char <= "z" else 26 if char.isdigit() else 27] += 1
     lengths = bags.sum(axis=1)
+    out = []
     for i, a in enumerate(keys):
-        if a in back:
+        low, high = spans[i]
+        if low != high or not asked[i]:
             continue
         # an edit changes two of the letter counts at most, a question mark stands for any letter
-        most = max(1, len(a) // 8)
+        most = edits_of(len(a))
         apart = np.abs(bags - bags[i]).sum(axis=1) <= 2 * (most + bags[i, 27] + bags[:, 27])
         for j in np.flatnonzero(apart & (np.abs(lengths - lengths[i]) <= most) & (bags[:, 26] == bags[i, 26])).tolist():
-            if j != i and len(by_key[a] | by_key[keys[j]]) > 1 and _near(a, keys[j], most):
-                back.add(a)
+            if j != i and spans[j] != (low, high) and _near(a, keys[j], most):
+                out.append(a)
                 break
-    for line in edge:
-        line.recurs = any(h in back for h in line.heads)
+    return out
+
+
+def edits_of(length: int) -> int:
+    """In how many edits a key of this length may differ from one it is near to."""
+    return max(1, length // 8)
 
 
 def observe(page: list[Line], total: int) -> list[str]:
@@ -309,12 +320,13 @@ def _is_broken(left: str, blank: bool, right: str, before: str, lexicon: misread
     return not (a and b) and not upper
 
 
-def work(lines: list[Line], lexicon: misread.Lexicon, made: crf.Model, one_block: bool) -> None:
-    """Labels all lines of a document, ordered by page, index and place. ``one_block``: the lines of a page run on."""
+def work(lines: list[Line], back: set[str], total: int, lexicon: misread.Lexicon, made: crf.Model, one_block: bool) -> None:
+    """Labels lines of a document, ordered by page, index and place. ``back``, ``total``: the heads that come back in the whole document, its last page. ``one_block``: the lines of a page run on."""
     for line in lines:
         line.plain = canonical(line.text)
-    _mark_recurring(lines)
-    total = max((x.page for x in lines), default=0)
+    for line in _edges(lines):
+        _set_heads(line)
+        line.recurs = any(h in back for h in line.heads)
     pages: list[list[Line]] = []
     for line in lines:
         if line.plain.strip():
@@ -383,16 +395,22 @@ def line_rows(lines: DataFrame, height: float = 3508.0) -> DataFrame:
     ).where("text is not null")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], flush: int = 60_000) -> Iterator[tuple[str, str, list[Line]]]:
-    """Documents from sorted rows, one after the other; a document beyond ``flush`` lines comes in parts."""
-    current, lines, last = None, [], None
+def _documents(batches: Iterator[pa.RecordBatch], flush: int = FLUSH) -> Iterator[tuple[str, str, list[Line], set[str], int]]:
+    """Parts of documents from sorted rows, one after the other, each with the heads that come back in its document and the document's last page; a part beyond ``flush`` lines is cut again."""
+    current, lines, last, back, total = None, [], None, set(), 0
     for batch in batches:
-        for src, doc, page, idx, key, text, top in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            here = (src, doc, page // PAGES_TOGETHER, idx // INDEXES_TOGETHER)
+        for src, doc, page, idx, key, text, top, told, *part in zip(*(batch.column(i).to_pylist() for i in range(10))):
+            here = (src, doc, *part)
             if here != current or len(lines) > flush:
                 if lines:
-                    yield current[0], current[1], lines
+                    yield current[0], current[1], lines, back, total
+                if here != current:
+                    back, total = set(), 0
                 current, lines = here, []
+            if told:  # stands before the lines of its part
+                total = max(total, page)
+                back.add(text)
+                continue
             if (page, idx, key, text) == last:
                 continue  # sent again
             last = (page, idx, key, text)
@@ -401,13 +419,106 @@ def _documents(batches: Iterator[pa.RecordBatch], flush: int = 60_000) -> Iterat
             else:
                 lines.append(Line(key, 0, page, idx, text, top, idx))
     if lines:
-        yield current[0], current[1], lines
+        yield current[0], current[1], lines, back, total
+
+
+_PART = ["pages", "indexes"]
+
+
+def _width(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    return rows.select("src_table", "doc", "page", "idx", "row_key", "text", "top", F.lit(False).alias("told"), F.floor(F.col("page") / PAGES_TOGETHER).alias("pages"), F.floor(F.col("idx") / INDEXES_TOGETHER).alias("indexes"))
+
 
+def _sorted(parts: DataFrame) -> DataFrame:
+    return parts.repartition(_width(parts), "src_table", "doc", *_PART).sortWithinPartitions("src_table", "doc", *_PART, F.col("told").desc(), "page", "idx", "row_key", "text")
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    part = [F.col("src_table"), F.col("doc"), (F.col("page") / PAGES_TOGETHER).cast("int"), (F.col("idx") / INDEXES_TOGETHER).cast("int")]
-    width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(width, *part).sortWithinPartitions("src_table", "doc", *part[2:], "page", "idx", "row_key")
+
+def _heads(parts: DataFrame) -> DataFrame:
+    """src_table, doc, pages, indexes, page, key: each head key at the edges of the pages of each part; for each part also an empty key with its last page."""
+    schema = pa.schema([("src_table", pa.string()), ("doc", pa.string()), ("pages", pa.int64()), ("indexes", pa.int64()), ("page", pa.int32()), ("key", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple] = set()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*found)) if found else [[] for _ in schema]
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+            found.clear()
+            return out
+
+        for src, doc, lines, _, _ in _documents(batches):
+            for line in _edges(lines):
+                line.plain = canonical(line.text)
+                _set_heads(line)
+                part = (src, doc, line.page // PAGES_TOGETHER, line.index // INDEXES_TOGETHER)
+                found.update((*part, line.page, key) for key in line.heads)
+            found.add((*part, max(x.page for x in lines), ""))
+            if len(found) > 20_000:
+                yield batch()
+        yield batch()
+
+    return _sorted(parts).mapInArrow(run, "src_table string, doc string, pages long, indexes long, page int, key string")
+
+
+def recurring(heads: DataFrame, together: int = KEYS_TOGETHER) -> DataFrame:
+    """src_table, doc, key: the head keys that come back on another page of the whole document, exactly or nearly.
+
+    The keys of a document are compared with each other at once; where there are
+    more than ``together``, by length and number of digits, a key going to all
+    lengths that may be near to it. That spreads the work and changes no result.
+    """
+    keys = cut(heads.where("key != ''").groupBy("src_table", "doc", "key").agg(F.min("page").alias("low"), F.max("page").alias("high")))
+    large = keys.groupBy("src_table", "doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("src_table", "doc", F.lit(True).alias("large"))
+    size = F.length("key")
+    # lengths L with |L - size| <= edits_of(L)
+    lengths = F.filter(F.sequence(size - F.floor(size / 8).cast("int") - 2, size + F.floor(size / 6).cast("int") + 2), lambda x: F.abs(x - size) <= F.greatest(F.lit(1), F.floor(x / 8)))
+    digits = F.length(F.regexp_replace("key", r"\D", ""))
+    marked = keys.join(large, ["src_table", "doc"], "left")
+    cells = marked.select("src_table", "doc", "key", "low", "high", F.when(F.col("large"), digits).otherwise(-1).alias("digits"), F.explode(F.when(F.col("large"), lengths).otherwise(F.array(F.lit(-1)))).alias("length"))
+    spreaded = cells.repartition(_width(cells), "src_table", "doc", "digits", "length").sortWithinPartitions("src_table", "doc", "digits", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(cell: tuple, group: list[tuple[str, int, int]]) -> list[tuple[str, str, str]]:
+            names = [x[0] for x in group]
+            return [(cell[0], cell[1], key) for key in near_keys(names, [x[1:] for x in group], [cell[3] in (-1, len(x)) for x in names])]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["src_table", "doc", "key"])
+
+        current, group, found = None, [], []
+        for batch in batches:
+            for src, doc, key, low, high, digits, length in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (src, doc, digits, length) != current:
+                    if len(group) > 1:
+                        found += close(current, group)
+                    current, group = (src, doc, digits, length), []
+                    if len(found) > 20_000:
+                        yield out(found)
+                        found = []
+                group.append((key, low, high))
+        if len(group) > 1:
+            found += close(current, group)
+        yield out(found)
+
+    near = spreaded.mapInArrow(run, "src_table string, doc string, key string")
+    return keys.where("low != high").select("src_table", "doc", "key").unionByName(near)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The rows in parts, each part led by what the whole document tells it: the heads that come back and the last page."""
+    parts = _parts(rows)
+    heads = cut(_heads(parts).distinct())
+    back = recurring(heads).join(heads.select("src_table", "doc", *_PART, "key").distinct(), ["src_table", "doc", "key"]).select("src_table", "doc", *_PART, F.lit(0).alias("page"), F.col("key").alias("text"))
+    last = heads.where("key = ''")
+    total = last.groupBy("src_table", "doc").agg(F.max("page").alias("page"))
+    total = last.select("src_table", "doc", *_PART).distinct().join(total, ["src_table", "doc"]).select("src_table", "doc", *_PART, "page", F.lit("").alias("text"))
+    told = back.unionByName(total).select("src_table", "doc", "page", F.lit(0).alias("idx"), F.lit(None).cast("long").alias("row_key"), "text", F.lit(None).cast("double").alias("top"), F.lit(True).alias("told"), *_PART)
+    return _sorted(parts.unionByName(told))
 
 
 def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
@@ -415,9 +526,10 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
 
     ``rows`` is as from ``block_rows`` and ``line_rows``. Null texts are left
     out, empty ones have no noise; a null page or place counts as 0, a null
-    document as one of its own; rows sent again count once. Documents are
-    worked on whole, but in parts of 64 pages, so a document of a third of all
-    rows is spread. The lexicon is counted from all rows if none is given.
+    document as one of its own; rows sent again count once. Heads and the last
+    page are settled over the whole document; its lines are then labelled in
+    parts of 64 pages and 1 000 indexes, so a document of a third of all rows is
+    spread. The lexicon is counted from all rows if none is given.
     """
     known = rows.sparkSession.sparkContext.broadcast(lexicon or misread.count(rows))
     made = model()
@@ -431,14 +543,14 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
             found.clear()
             return out
 
-        for src, _, lines in _documents(batches):
-            work(lines, known.value, made, src != "ocr_block")
+        for src, _, lines, back, total in _documents(batches):
+            work(lines, back, total, known.value, made, src != "ocr_block")
             found += [(src, x.key, x.pos, kind) for x in lines for kind in x.kinds]
             if len(found) > 20_000:
                 yield batch()
         yield batch()
 
-    return _sorted(rows).mapInArrow(run, "src_table string, row_key long, line_pos int, noise_kind string").distinct()
+    return _told(rows).mapInArrow(run, "src_table string, row_key long, line_pos int, noise_kind string").distinct()
 
 
 def repair(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
@@ -447,8 +559,8 @@ def repair(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame
     made = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for src, doc, lines in _documents(batches):
-            work(lines, known.value, made, src != "ocr_block")
+        for src, doc, lines, back, total in _documents(batches):
+            work(lines, back, total, known.value, made, src != "ocr_block")
             counts: Counter = Counter()
             found = []
             for page, text in paragraphs(lines):
@@ -457,4 +569,4 @@ def repair(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame
             columns = list(zip(*found)) if found else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["src_table", "document_id", "page_number", "para_index", "paragraph"])
 
-    return _sorted(rows).mapInArrow(run, "src_table string, document_id string, page_number int, para_index int, paragraph string")
+    return _told(rows).mapInArrow(run, "src_table string, document_id string, page_number int, para_index int, paragraph string")

@@ -1,3 +1,5 @@
+import random
+
 from docloom.llm import misread as M
 from docloom.llm import pages as P
 
@@ -45,3 +47,27 @@ def test_pages_and_paragraphs(spark):
 def test_line_rows(spark):
     df = spark.createDataFrame([(1, "D", 1, 0, [[1.0, 2.0], [3.0, 2.0], [3.0, 9.0], [1.0, 9.0]], "a"), (2, "d", 1, 1, None, "b"), (3, "d", None, None, None, None)], "line_key long, document_id string, page_number int, line_id int, poly array<array<double>>, text string")
     assert [(r.row_key, r.doc, r.top) for r in P.line_rows(df).orderBy("row_key").collect()] == [(1, "D", 2 / 3508), (2, "D", None)]
+
+
+def test_heads_come_back_over_the_parts_of_a_document(spark):
+    rows, key = [], 0
+    for page in range(1, 131):
+        parts = [(0.2, f"Nhằm bảo đảm tiến độ phòng đào tạo tiếp tục rà soát hồ sơ {'abcdefghij'[page % 10] * (page // 10 + 3)}."), (0.975, f"Trang {page}/130")]
+        if page in (1, 64, 129):
+            parts.insert(0, (0.035, "Thư viện / Hộp tài liệu" if page < 129 else "Thư viộn / Hộp tài liệu"))
+        for i, (top, text) in enumerate(parts):
+            key += 1
+            rows.append((key, "Doc", page, i if i + 1 < len(parts) else 1500, [0.1, top, 0.9, top + 0.02], text))
+    df = spark.createDataFrame(rows, "block_key long, document_id string, page_number int, block_index int, bbox array<double>, content_raw string")
+    got = {(r.row_key, r.noise_kind) for r in P.find(P.block_rows(df), lexicon()).collect()}
+    assert {k for k, kind in got if kind == "running"} == {r[0] for r in rows if "Hộp" in r[5]}
+    assert {k for k, kind in got if kind == "pageno"} == {r[0] for r in rows if r[5].startswith("Trang")}
+
+
+def test_cells_of_head_keys_change_nothing(spark):
+    r = random.Random(3)
+    made = [("".join(r.choice("ab1?") for _ in range(r.randint(4, 40))), page) for page in range(1, 40) for _ in range(3)]
+    made += [(k[:2] + "c" + k[3:], page + 1) for k, page in made[::2]] + [(k[1:], page + 2) for k, page in made[::3]] + [(k + "b", page) for k, page in made[::5]]
+    heads = spark.createDataFrame([("t", "D", 0, 0, page, k) for k, page in made], "src_table string, doc string, pages long, indexes long, page int, key string")
+    rows = [{x.key for x in P.recurring(heads, together).collect()} for together in (10_000, 1)]
+    assert rows[0] == rows[1] and rows[0]
