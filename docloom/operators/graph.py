@@ -84,17 +84,20 @@ def event_type(question: Column) -> Column:
     return out
 
 
-def longest_name(questions: DataFrame, names: DataFrame, key: str, text: str, most_words: int = 12) -> DataFrame:
+def longest_name(questions: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """key and the longest of the names each question holds as whole words; ties by the lesser name.
 
-    Runs of words of the question are looked up among the names, so the join is
-    on equal strings; names of more than ``most_words`` words aren't found.
+    Names are found by their first word, the join is on equal strings; the rest
+    of a name is then held against the words that follow, however many.
     """
-    split = questions.select(key, F.filter(F.split(F.col(text), r"[^\p{L}\p{N}_.']+"), lambda w: w != "").alias("w"))
-    runs = split.select(key, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.greatest(F.size("w") - i + 1, F.lit(1)))), lambda n: F.array_join(F.slice("w", i, n), " "))))).alias("name")).distinct()
-    known = names.select(F.col("name")).where("name is not null").distinct()
-    best = Window.partitionBy(key).orderBy(F.length("name").desc(), "name")
-    return runs.join(known, "name").withColumn("_n", F.row_number().over(best)).where("_n = 1").select(key, "name")
+    words = F.filter(F.split(F.col(text), r"[^\p{L}\p{N}_.']+"), lambda w: w != "")
+    known = names.select(F.col("name")).where("name is not null").distinct().withColumn("_w", F.split("name", " ")).withColumn("_first", F.get("_w", F.lit(0))).where("_first != ''")
+    places = questions.select(key, words.alias("_q")).select(key, F.posexplode("_q").alias("_at", "_first"), "_q")
+    firsts = known.select("_first").distinct()
+    starts = places.join(firsts, "_first", "left_semi").select(key, "_first", F.array_join(F.slice("_q", F.col("_at") + 1, F.size("_q")), " ").alias("_rest"))
+    fits = starts.join(known.select("_first", "name"), "_first").where(F.startswith(F.concat("_rest", F.lit(" ")), F.concat("name", F.lit(" "))))
+    best = F.min_by("name", F.struct(-F.length("name"), F.col("name")))
+    return fits.groupBy(key).agg(best.alias("name"))
 
 
 def routes(questions: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:

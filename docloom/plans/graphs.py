@@ -58,7 +58,7 @@ def event_types(s: SparkSession, d: str) -> DataFrame:
 
 def longest_match(s: SparkSession, d: str) -> DataFrame:
     names = t(s, d, "extract_entites", "name").select(F.trim("name").alias("name"))
-    questions = t(s, d, "ocr_block", "block_key", "content_raw").distinct().where("content_raw is not null and length(content_raw) < 120")
+    questions = t(s, d, "ocr_block", "block_key", "content_raw").distinct().where("content_raw is not null")
     return G.longest_name(questions, names, "block_key", "content_raw")
 
 

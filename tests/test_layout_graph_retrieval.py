@@ -133,3 +133,12 @@ def test_models(spark):
         models.generate(df, "k", "t", "echo", lambda: lambda texts: texts, most=1).collect()
     pages = models.page_images(spark.createDataFrame([("p", bytearray(b"ab"))], "path string, content binary"), lambda b: [bytes([x]) for x in b])
     assert models.recognise(pages, lambda b: [{"id": 1, "poly": None, "text": b.decode(), "score": 0.5}], "fake").count() == 2
+
+
+def test_longest_name_of_long_texts_and_names(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(15))
+    spark.createDataFrame([(1, "x " * 90 + "gửi Lê Nhã Tường, Hà Nội"), (2, f"a {long} b"), (3, "Lê, Nhã và w0 w1"), (4, None)], "block_key long, content_raw string").write.parquet(f"{tmp_path}/ocr_block.parquet")
+    spark.createDataFrame([("Lê Nhã Tường",), ("Lê Nhã",), (f" {long}",), ("w0",), (" ",), (None,)], "name string").write.parquet(f"{tmp_path}/extract_entites.parquet")
+    from docloom.plans import graphs
+
+    assert {r.block_key: r.name for r in graphs.longest_match(spark, str(tmp_path)).collect()} == {1: "Lê Nhã Tường", 2: long, 3: "Lê Nhã"}
