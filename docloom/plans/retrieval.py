@@ -53,10 +53,9 @@ def rank_metrics(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
-    """Stand-in hits with a rank: the first 200 children, as an index would return them."""
-    rows = t(s, d, "chunk", "chunk_key", "chunk_id", "parent_id", "chunk_type", "record_type").distinct().where("record_type = 'child'")
-    first = rows.orderBy("chunk_key").limit(200)  # a top-k report
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("chunk_key"))).drop("record_type")
+    """All children as hits, ranked within each document."""
+    rows = t(s, d, "chunk", "chunk_key", "document_id", "chunk_id", "parent_id", "chunk_type", "record_type").where("record_type = 'child'").withColumn("document_id", F.lower("document_id")).distinct()
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_key", "chunk_id"))).drop("record_type")
 
 
 def _flat(df: DataFrame) -> DataFrame:
