@@ -25,7 +25,7 @@ def nfc(s: SparkSession, d: str) -> DataFrame:
 
 
 def clean_v1(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).where("lang in ('en', 'EN')").select("doc_id", F.md5(X.clean_v1("text")).alias("h"))
+    return _docs(s, d).select("doc_id", F.md5(X.clean_v1("text")).alias("h"))
 
 
 def quality(s: SparkSession, d: str) -> DataFrame:
