@@ -87,8 +87,7 @@ def props_json(s: SparkSession, d: str) -> DataFrame:
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     rows = t(s, d, "ocr_block", "block_key", "content_raw", "content_normalized", "block_type").distinct().where("content_raw is not null and content_normalized is not null")
-    ascii_of = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "_")
-    return rows.select(X.block_type("block_type").alias("block_type"), ascii_of("content_raw").alias("truth"), ascii_of("content_normalized").alias("read"))
+    return rows.select(X.block_type("block_type").alias("block_type"), X.compare_form("content_raw").alias("truth"), X.compare_form("content_normalized").alias("read"))
 
 
 def recognition(s: SparkSession, d: str) -> DataFrame:
@@ -101,7 +100,7 @@ def cer(s: SparkSession, d: str) -> DataFrame:
 
 def jaccard(s: SparkSession, d: str) -> DataFrame:
     rows = t(s, d, "ocr_block", "block_key", "content_raw", "content_normalized").distinct().where("content_raw is not null and content_normalized is not null")
-    flat = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9_]+)"), F.lit(1)))
+    flat = lambda c: F.array_distinct(X.words(X.compare_form(c)))
     return rows.select("block_key", F.round(E.jaccard(flat("content_raw"), flat("content_normalized")), 6).alias("jaccard"))
 
 
