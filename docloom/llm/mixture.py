@@ -5,7 +5,9 @@ Efraimidis-Spirakis sampling: a document of quality weight w gets the key
 the largest mixture that the caps on repeats allow; it is filled by complete
 epochs of the source and then by the documents of least key until the budget is
 met. Prefix sums are taken in two steps, over ranges of keys and within one
-range, so no source is ever sorted in one task.
+range, so no source is ever sorted in one task. Ranges have equal width in
+log(key) = log(-ln u) - log w: a weight only moves a document along, so no
+weight crowds the documents of a source into one range.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def budgets(documents: DataFrame, weights: DataFrame, total: int | None = None)
     return rows.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0)))
 
 
-def mix(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: int | None = None, seed: int = 17, ranges: int = 1024) -> DataFrame:
+def mix(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", total: int | None = None, seed: int = 17, ranges: int = 4096) -> DataFrame:
     """The selection: key, source, n_tokens, times (how often the document is used, at least 1).
 
     ``weights`` has source, target_share and max_repeats. Documents without
@@ -76,11 +78,11 @@ def mix(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str = "tex
     return select(documents, plan, key, seed, ranges)
 
 
-def select(documents: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 17, ranges: int = 1024) -> DataFrame:
-    """Documents of ``sized`` by the ``budgets``; see ``mix``. A range holds about one part in ``ranges`` of a source."""
+def select(documents: DataFrame, plan: DataFrame, key: str = "doc_id", seed: int = 17, ranges: int = 4096) -> DataFrame:
+    """Documents of ``sized`` by the ``budgets``; see ``mix``. A range is 32 / ``ranges`` wide in log(key) and holds at most 12 / ``ranges`` of a source, whatever the weights."""
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + F.lit(1)) / F.lit(float((1 << 52) + 1))
     keyed = documents.withColumn("es_key", -F.log(u) / F.col("weight"))
-    keyed = keyed.withColumn("range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("es_key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    keyed = keyed.withColumn("range", F.greatest(F.lit(0), F.least(F.floor((F.log("es_key") + F.lit(26.0)) * (ranges / 32)), F.lit(ranges - 1))).cast("int"))
     sums = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("held"))
     before = sums.withColumn("before", F.sum("held").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)))
     spent = before.join(plan.select("source", "epochs", "rest"), "source").select("source", "range", F.coalesce("before", F.lit(0)).alias("before"), "epochs", "rest")
