@@ -2,9 +2,11 @@
 
 A pushdown automaton runs over the marks of a text only: terminators, quotation
 marks, brackets, line ends that start a list item, blank lines and, in Thai,
-blanks. Its stack holds the open quotations and brackets, its state the start of
-the unit and whether the last thing inside a quotation was a terminator. An
-abbreviation trie, read backwards from a full stop, tells stops that end nothing.
+blanks. Its stacks hold the open quotations and brackets and the open list
+levels, its state the start of the unit and whether the last thing inside a
+quotation was a terminator. An abbreviation trie, read backwards from a full
+stop, tells stops that end nothing. A line that goes on with the next number,
+letter or bullet of an open list level is an item, however the line before ends.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ _LIST = r"(?:\d{1,3}[.)]|[^\W\d_A-Z]\)|[A-Z]\)|[-–—•+*◦▪]|\(\w{1,3}\)|
 _COMMON = (
     r"(?P<para>\n[^\S\n]*\n\s*)"
     rf"|(?P<item>\n[^\S\n]*(?={_LIST}))"
-    rf"|(?P<end>(?:[{_ENDERS}]|[.．](?![\w．]))+)"
+    rf"|(?P<end>(?:[{_ENDERS}]|[.．](?:(?![\w．])|(?<=[^\W\d_][^\W\d_][.．])(?=[^\W\d_])))+)"
     rf"|(?P<mark>[\"{re.escape(''.join(_PAIRS))}{re.escape(_CLOSERS)}])"
 )
 _MARKS = re.compile(_COMMON)
@@ -46,6 +48,8 @@ _PARA = re.compile(r"\n[^\S\n]*\n")
 _LABEL = re.compile(r"\s*(?:[^\s.,;:]{1,14}\s+)?(?:\d{1,4}(?:\.\d{1,3})*|[IVXLC]{1,6}|[^\W\d_])\s*")
 _ZH_SAID = re.compile(r"[^，。！？“”\s]{1,10}?(?:说道|说|道|回答|表示|指出|强调|问道|写道)[。，]")
 _NEXT = re.compile(r"\S")
+_MARKER = re.compile(r"(?P<open>\(?)(?:(?P<number>\d{1,3})|(?P<letter>[^\W\d_](?=[.)]))|(?P<roman>[IVXLC]{2,6}))(?P<close>[.)])[^\S\n]|(?P<bullet>[-–—•+*◦▪])[^\S\n]")
+_ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
 PARA, ITEM, END, MARK, THAI = 1, 2, 3, 4, 5
 
 
@@ -90,16 +94,17 @@ def _ends_here(text: str, start: int, s: int, e: int) -> bool:
     following = text[found.start()]
     only_dots = not marks.strip(".．")
     if only_dots and len(marks) == 1:
-        if not after.isspace() and after.isascii() and after not in "\"'":
-            return False
         before = text[s - 1] if s else ""
+        joined = before.isalpha() and before.islower() and after.isupper()  # the blank between two sentences was left out
+        if not joined and not after.isspace() and (after.isascii() or after.isalpha()) and after not in "\"'":
+            return False
         if _THAI.match(before):
             return False
         if before.isalpha() and before.isupper() and (s < 2 or not text[s - 2].isalnum() and text[s - 2] != "."):
             return False
         if _in_trie(_NEVER, text, start, s):
             return False
-        if s - start <= 24 and _LABEL.fullmatch(text, start, s):
+        if _LABEL.fullmatch(text, start, s):
             return False
         if _in_trie(_MAYBE, text, start, s):
             return following.isupper() or following.isdigit() or following in _PAIRS or following == '"' or not (following.isalpha() and following.islower())
@@ -132,6 +137,51 @@ def _ends_after_quote(text: str, e: int) -> bool:
     return True
 
 
+def _level(text: str, at: int) -> tuple[str, int] | None:
+    """The list level whose mark stands at a place, and its count there; bullets all count 0."""
+    m = _MARKER.match(text, at)
+    if m is None:
+        return None
+    if m["bullet"]:
+        return m["bullet"], 0
+    if m["number"]:
+        count, kind = int(m["number"]), "1"
+    elif m["letter"] and m["letter"] != "I":
+        count, kind = ord(m["letter"]), "a" if m["letter"].islower() else "A"
+    else:
+        digits = [_ROMAN[c] for c in m["roman"] or "I"]
+        count, kind = sum(-a if a < b else a for a, b in zip(digits, [*digits[1:], 0])), "I"
+    return m["open"] + kind + m["close"], count
+
+
+def _goes_on(levels: list[tuple[str, int]], here: tuple[str, int] | None) -> bool:
+    """Whether a mark is the next of an open level."""
+    return here is not None and any(kind == here[0] and here[1] == count + (count > 0) for kind, count in levels)
+
+
+def _enter(levels: list[tuple[str, int]], here: tuple[str, int] | None) -> None:
+    """Puts a mark on the stack of levels; levels below its own are closed."""
+    if here is not None:
+        for i, (kind, _) in enumerate(levels):
+            if kind == here[0]:
+                del levels[i:]
+                break
+        levels.append(here)
+
+
+def _closes(text: str, partner: str, at: int, ahead: dict[str, int]) -> bool:
+    """Whether the closing mark comes before the next blank line. Each mark is looked for once, from left to right."""
+    close = ahead.get(partner, 0)
+    if close < at:
+        found = text.find(partner, at)
+        close = ahead[partner] = found if found >= 0 else len(text) + 1
+    para = ahead.get("", 0)
+    if para < at:
+        m = _PARA.search(text, at)
+        para = ahead[""] = m.start() if m else len(text)
+    return close <= len(text) and close < para
+
+
 def units(text: str) -> list[tuple[int, int]]:
     """start and end (exclusive) of each sentence unit, in code points."""
     out: list[tuple[int, int]] = []
@@ -140,8 +190,10 @@ def units(text: str) -> list[tuple[int, int]]:
         return out
     start = first.start()
     stack: list[str] = []
-    opened = False  # whether an open quotation is on the stack
+    levels: list[tuple[str, int]] = []  # the open list levels with the count of their last item
+    entered = -1  # the start of the unit whose mark was last put there
     last_end = -1  # end of the last terminator inside a pair
+    ahead: dict[str, int] = {}  # where each closing mark and the next blank line were last seen
     rules = _THAI_MARKS if _THAI.search(text) else _MARKS
 
     def emit(stop: int) -> None:
@@ -158,7 +210,6 @@ def units(text: str) -> list[tuple[int, int]]:
         if kind == PARA:
             emit(s)
             stack.clear()
-            opened = False
         elif kind == ITEM:
             if stack:
                 continue
@@ -166,8 +217,14 @@ def units(text: str) -> list[tuple[int, int]]:
             while before > start and text[before].isspace():
                 before -= 1
             mark = text[before]
-            if before >= start and (mark in ".;:!?…”»\"」』。！？।॥។៕؟؛；：)" and not (mark == "." and _in_trie(_NEVER, text, start, before))):
+            here = _level(text, e)
+            if not levels or start != entered:
+                _enter(levels, _level(text, start))
+                entered = start
+            if before >= start and (_goes_on(levels, here) or mark in ".;:!?…”»\"」』。！？।॥។៕؟؛；：)" and not (mark == "." and _in_trie(_NEVER, text, start, before))):
                 emit(s)
+                _enter(levels, here)
+                entered = start
         elif kind == END:
             if stack:
                 last_end = e
@@ -182,7 +239,6 @@ def units(text: str) -> list[tuple[int, int]]:
             if closing:
                 while stack.pop() != char:
                     pass
-                opened = any(c == '"' or c not in ")]}）］】〕｝" for c in stack)
                 if not stack and char not in ")]}）］】〕｝":
                     inside = s
                     while inside > start and text[inside - 1].isspace():
@@ -193,8 +249,7 @@ def units(text: str) -> list[tuple[int, int]]:
                 partner = '"' if char == '"' else _PAIRS.get(char)
                 if partner is None:
                     continue
-                close = text.find(partner, e)
-                if close >= 0 and _PARA.search(text, e, close) is None:
+                if _closes(text, partner, e, ahead):
                     stack.append(partner)
         elif not stack:
             emit(s)

@@ -44,3 +44,14 @@ def test_operator(spark):
     assert {g[0] for g in got} == {1, 2, 5, None}
     assert [r.unit for r in S.texts(df).where("doc_id = 1").orderBy("unit_index").collect()] == ["Một.", "Hai."]
     assert S.split(df.limit(0)).count() == 0
+
+
+def test_list_levels_joined_sentences_and_partners():
+    cases = {
+        "1. Mở đầu\n2. Kết luận\n3. Hết": 3, "a) một\nb) hai:\n- ba\n- bốn\nc) năm": 5, "I) một\nII) hai\nIII) ba": 3, "Số hồ sơ là\n2 tập. Hết": 2, "1) Một\n5) Năm": 1, "- một\n- hai": 2,
+        "Kế hoạch được duyệt tại phòng.Theo đó, tất cả có mặt.": 2, "It was filed.The office agreed.": 2, "Xem www.songvang.example tại ThS.Nguyễn An.": 1, "Danh mục (a). Sau đó.": 2,
+        "“ “ “ " * 200: 1, "(mở\n\nđóng). Hết.": 3,
+    }
+    for text, n in cases.items():
+        made = S.units(text)
+        assert len(made) == n, (text[:60], [text[a:b] for a, b in made])
