@@ -80,6 +80,25 @@ def model(size: int = TABLE_SIZE, seed: int = 11) -> crf.Model:
     return crf.train(table, features, LABELS, _allowed)
 
 
+def model_of(labelled: DataFrame, size: int = TABLE_SIZE) -> crf.Model:
+    """A model trained on one's own labelled table instead: text, and marks as array<struct<start int, end int, type string>>.
+
+    At most ``size`` rows are taken, those of least hash, so the driver holds a
+    bounded sample. A null text is left out, null marks mark nothing; marks
+    that overlap an earlier one or are of no known type are left out.
+    """
+    rows = labelled.where("text is not null").select("text", "marks").orderBy(F.xxhash64("text"), "text").limit(size).collect()
+    table = []
+    for text, marks in rows:
+        parts, at = [], 0
+        for start, end, kind in sorted((m["start"], m["end"], m["type"]) for m in marks or () if m["type"] in TYPES):
+            if at <= start < end <= len(text):
+                parts += [(text[at:start], ""), (text[start:end], kind)]
+                at = end
+        table.append(label_tokens([x for x in [*parts, (text[at:], "")] if x[0]]))
+    return crf.train([x for x in table if x[0]], features, LABELS, _allowed)
+
+
 _DECODERS: dict[tuple, crf.Decoder] = {}
 
 
@@ -92,7 +111,7 @@ def _decoder(made: crf.Model) -> crf.Decoder:
 
 
 _LOCAL_PART = re.compile(rf"[\w.+%{_GLUE}-]+\s*\Z")
-_LOCAL = re.compile(rf"[\w.+%{_GLUE}-]*\Z")
+_LOCAL = re.compile(rf"[\w.+%{_GLUE}-]")
 _BEFORE = re.compile(
     r"(?:(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?(?:/\d+[A-Za-z]?)*\s+(?:đường\s+)?|(?:(?:số nhà|số|so)\s+)?\d+[A-Za-z]?/"
     r"|(?:số nhà|số|so|ấp|thôn|xóm|bản|tổ|khóm|lô)\s+|(?:ấp|thôn|xóm|bản|tổ|khóm|khu phố|tổ dân phố|xã|phường)\s+\w[\w ]{0,18},\s*|xã\s+|phường\s+)\Z",
@@ -129,7 +148,7 @@ def _in_title(text: str, start: int) -> bool:
     """Whether a capitalised word that is no title stands right before, on the same line: part of a longer proper name."""
     if start and (text[start - 1] in _STRAY and text[start] not in _STRAY or text[start - 1] in "/-_" and text[start - 2 : start - 1].strip()):
         return True
-    word = _WORD_BEFORE.search(text[max(0, start - 24) : start])
+    word = _word_before(text, start)
     if word is None:
         return False
     before = canonical(word.group(1))
@@ -138,16 +157,36 @@ def _in_title(text: str, start: int) -> bool:
     return before[-1:].isalnum() and before[:1].isupper() and before.lower() not in _TITLES and len(before) > 1
 
 
+def _before(text: str, start: int) -> re.Match | None:
+    """What belongs to an address right before it. The stretch that is read grows until a find doesn't fill it."""
+    size = 40
+    while True:
+        low = max(0, start - size)
+        found = _BEFORE.search(unicodedata.normalize("NFC", text[low:start]))
+        if found is None or found.start() > 1 or low == 0:
+            return found if found and text[low:start].endswith(found.group()) else None
+        size *= 2
+
+
+def _word_before(text: str, start: int) -> re.Match | None:
+    """The word before a place on the same line, whole however long."""
+    size = 24
+    while True:
+        low = max(0, start - size)
+        found = _WORD_BEFORE.search(text[low:start])
+        if low == 0 or (found is None and not text[low:start].isspace()) or (found is not None and found.start() > 0):
+            return found
+        size *= 2
+
+
 def _begin(kind: str, text: str, start: int) -> int:
     """The exact beginning: a mail address has its whole local part, a house number its own word for "number"."""
     if kind == "email":
-        return start - len(_LOCAL.search(text[max(0, start - 64) : start]).group())
+        while start and _LOCAL.match(text[start - 1]):
+            start -= 1
+        return start
     if kind == "address":
-        for _ in range(4):
-            low = max(0, start - 40)
-            found = _BEFORE.search(unicodedata.normalize("NFC", text[low:start]))
-            if not found or not text[low:start].endswith(found.group()):
-                break
+        while found := _before(text, start):
             at = start - len(found.group())
             if at and text[at - 1].isalnum() or found.group().rstrip()[-1].isalpha() and found.group()[0] not in "0123456789xXpP" and not text[start].isdigit() and "," not in found.group():
                 break
@@ -158,8 +197,7 @@ def _begin(kind: str, text: str, start: int) -> int:
         lead = _WORD_AFTER.match(text, start)
         if lead and canonical(lead.group(1)).rstrip(".").lower() in _TITLES:
             return lead.end()
-        line = text[max(0, start - 24) : start]
-        word = _WORD_BEFORE.search(line)
+        word = _word_before(text, start)
         if word and pii_table.unaccented(canonical(word.group(1)).lower()) in _FAMILY and word.group(1)[0].isupper():
             return start - len(word.group())
     return start
@@ -212,14 +250,15 @@ def _spans_of(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
     return found
 
 
-def find(df: DataFrame, key: str, text: str, size: int = TABLE_SIZE) -> DataFrame:
+def find(df: DataFrame, key: str, text: str, size: int = TABLE_SIZE, made: crf.Model | None = None) -> DataFrame:
     """Every piece of personal data: key, pii_type, start_pos, end_pos (exclusive), in the text as stored.
 
     A null, empty or blank text holds nothing. A row that stands twice counts
     once. Other columns are dropped, whatever their names. Texts are taken
     whole, whatever their length, and each alone; only the result is shuffled.
+    ``made`` is a model of one's own (``model_of``), else that of the made-up table.
     """
-    made = model(size)
+    made = made or model(size)
     kind = df.select(F.col(key)).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,13 +275,13 @@ def find(df: DataFrame, key: str, text: str, size: int = TABLE_SIZE) -> DataFram
     return source.mapInArrow(run, f"key {kind}, pii_type string, start_pos int, end_pos int").distinct().withColumnRenamed("key", key)
 
 
-def redact(df: DataFrame, key: str, text: str, size: int = TABLE_SIZE) -> DataFrame:
+def redact(df: DataFrame, key: str, text: str, size: int = TABLE_SIZE, made: crf.Model | None = None) -> DataFrame:
     """key, the text with ``[NAME]``, ``[EMAIL]``, ``[PHONE]``, ``[IDNO]``, ``[ADDRESS]`` in place of personal data, and n_replaced.
 
     A null text stays null, everything outside the replaced pieces is kept as
     it was. A row that stands twice (same key and text) comes once.
     """
-    made = model(size)
+    made = made or model(size)
     kind = df.select(F.col(key)).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

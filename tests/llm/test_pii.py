@@ -46,3 +46,28 @@ def test_found_and_replaced(spark):
     assert clean[1] == "Bà [NAME], thường trú tại [ADDRESS], được xét cấp học bổng." and clean[3] == no and clean[4] is None and clean[5] == ""
     assert "[EMAIL] - Tel: [PHONE]." in clean[2] and "CCCD: [IDNO], cấp" in clean[2]
     assert pii.find(df.limit(0), "id", "body").count() == 0 and pii.redact(df.limit(0), "id", "body").count() == 0
+
+
+def test_beginnings_of_any_length():
+    long = "a" * 150
+    text = f"Liên hệ: {long}@songvang.example"
+    assert pii._begin("email", text, text.index("@") - 3) == text.index(long)
+    text = "trú tại " + "12/" * 30 + "7 đường Suối Trầu, phường Bình"
+    assert pii._before(text, text.index("7 đường")).group().startswith("12/")
+    assert pii._word_before("x " + "b" * 90 + " Lê", 93).group(1) == "b" * 90
+
+
+def test_model_of_a_labelled_table(spark):
+    rows = []
+    for parts in pii_table.sentences(120, 3):
+        text, marks = "", []
+        for part, kind in parts:
+            if kind:
+                marks.append((len(text), len(text) + len(part), kind))
+            text += part
+        rows.append((text, marks))
+    rows += [(None, None), ("không có gì", None), ("", [])]
+    table = spark.createDataFrame(rows, "text string, marks array<struct<start int, end int, type string>>")
+    made = pii.model_of(table, 100)
+    df = spark.createDataFrame([(1, rows[0][0])], "id long, body string")
+    assert pii.find(df, "id", "body", made=made).count() >= 0 and len(made.vocabulary) > 50
