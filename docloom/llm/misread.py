@@ -12,7 +12,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -37,7 +37,7 @@ def words(text: str) -> list[str]:
     return [w for w in (t.strip(_EDGE).lower() for t in WORD.findall(_TAG.sub(" . ", text))) if w]
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     marks = unicodedata.normalize("NFD", word.replace("đ", "d"))
     return "".join(c for c in marks if not unicodedata.combining(c))
@@ -72,6 +72,7 @@ class Lexicon:
             if n >= self.least and word.isalpha():
                 self.by_fold[fold(word)].append(word)
                 self.by_length[len(word)].append(word)
+        self.longest = max(map(len, counts), default=0)
         self.verdicts: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
@@ -84,7 +85,9 @@ class Lexicon:
         return self.counts.get(word, 0) >= self.least
 
     def _undone(self, word: str) -> list[str]:
-        """Words from undoing one or two confusions of letters."""
+        """Kept words from undoing one or two confusions of letters, wherever they are in the word."""
+        if len(word) > self.longest + 2:
+            return []  # each undoing takes one letter away at most
         places = []
         for seen, meant in CONFUSED:
             at = word.find(seen)
@@ -93,7 +96,7 @@ class Lexicon:
                 at = word.find(seen, at + 1)
         out = []
         for size in (1, 2):
-            for chosen in combinations(sorted(places)[:8], size):
+            for chosen in combinations(sorted(places), size):
                 if size == 2 and chosen[0][1] > chosen[1][0]:
                     continue
                 made, at = [], 0

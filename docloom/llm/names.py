@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,7 @@ def _kind(words: list[str]) -> tuple[str, int]:
     return "", 0
 
 
-@cache
+@lru_cache(maxsize=200_000)
 def parse(name: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
     """points, keys of what the form may stand for, keys of the short forms of a whole name.
 
@@ -343,7 +343,7 @@ def link(rows: DataFrame) -> DataFrame:
     parsed = cut(_parsed(forms))
     points = parsed.select("recordid", "name", F.explode("points").alias("point")).distinct()
     near = radius_join(points).where("slips < 3")
-    stars = parsed.where(F.size("points") > 1).select("recordid", F.col("node").alias("a"), F.explode(F.slice("points", 2, 9)).alias("b"))
+    stars = parsed.where(F.size("points") > 1).select("recordid", F.col("node").alias("a"), F.explode(F.slice("points", 2, F.size("points"))).alias("b"))
     found = classes(near.select("recordid", "a", "b").unionByName(stars))
     nodes = parsed.select("recordid", "node").distinct()
     labels = cut(nodes.join(found, ["recordid", "node"], "left").select("recordid", "node", F.coalesce("label", "node").alias("label")))

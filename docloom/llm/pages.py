@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -27,8 +27,10 @@ from docloom.session import cut
 
 LABELS = ["O", "break", "running", "pageno"]
 MOTTO = "conghoaxahoi"
-#: pages of a document, blocks of a page, and lines that are labelled together; heads are compared over the whole document
-PAGES_TOGETHER, INDEXES_TOGETHER, FLUSH = 64, 1000, 60_000
+#: pages of a document that go to one task; heads are compared over the whole document, all else within a page
+PAGES_TOGETHER = 64
+#: lines held at a time, cut between pages; a single page of more is read through a window that overlaps by ``MARGIN`` lines
+FLUSH, MARGIN = 60_000, 256
 #: head keys of a document beyond which they are compared in cells
 KEYS_TOGETHER = 4000
 _PAGENO = re.compile(r"[\s.\-–—\[(|]*(?:(?:trang|page|tr\.?|p\.?)\s*)?(\d{1,4})(?:\s*(?:/|of|trên)\s*(\d{1,4}))?[\s.\-–—\])|]*", re.IGNORECASE)
@@ -104,7 +106,7 @@ def _edges(lines: list[Line]) -> list[Line]:
 
 
 def _set_heads(line: Line) -> None:
-    line.heads = head_keys(line.plain, line.page) if len(line.plain) <= 160 and not _PAGENO.fullmatch(line.plain) else ()
+    line.heads = () if _PAGENO.fullmatch(line.plain) else head_keys(line.plain, line.page)
 
 
 def near_keys(keys: list[str], spans: list[tuple[int, int]], asked: list[bool]) -> list[str]:
@@ -136,10 +138,14 @@ def edits_of(length: int) -> int:
     return max(1, length // 8)
 
 
-def observe(page: list[Line], total: int) -> list[str]:
-    """What the model sees of each line of a page, as one token a line."""
-    out, after, n = [], False, len(page)
-    mottos = [MOTTO in misread.fold(x.plain.lower()).replace(" ", "") for x in page]
+def _is_motto(line: Line) -> bool:
+    return MOTTO in misread.fold(line.plain.lower()).replace(" ", "")
+
+
+def observe(page: list[Line], total: int, after: bool = False) -> list[str]:
+    """What the model sees of each line of a page, as one token a line. ``after``: the letterhead stands before these lines."""
+    out, n = [], len(page)
+    mottos = [_is_motto(x) for x in page]
     tops = [x.top for x in page]
     gaps = [b - a for a, b in zip(tops, tops[1:]) if a is not None and b is not None and b > a]
     usual = sorted(gaps)[len(gaps) // 2] if gaps else 0
@@ -199,12 +205,12 @@ def made_up_pages(size: int = 700, seed: int = 5) -> list[tuple[list[str], list[
             for _ in range(r.randint(1, 5)):
                 size_of = r.randint(1, 5)
                 for k in range(size_of):
-                    last = k == size_of - 1
+                    last, again = k == size_of - 1, several and r.random() < 0.08  # body text may come back too
                     if as_lines:
-                        put(top, "dòng văn bản" + ("." if last or r.random() < 0.1 else ""), "break" if last else "O")
+                        put(top, "dòng văn bản" + ("." if last or r.random() < 0.1 else ""), "break" if last else "O", again)
                         top += 0.036 if last else 0.021
                     else:
-                        put(top, "dòng văn bản" + ("." if last or r.random() < 0.1 else ""), "break" if last else "O", False, k == 0)
+                        put(top, "dòng văn bản" + ("." if last or r.random() < 0.1 else ""), "break" if last else "O", again, k == 0)
                 top += 0.0 if as_lines else 0.12
             if r.random() < 0.2:
                 put(0.6 + r.random() * 0.01, r.choice([f"{r.randint(1, 9)}/{r.randint(9, 12)}", f"[{r.randint(1, 9)}]", str(r.randint(1, 40))]), "break")
@@ -214,7 +220,7 @@ def made_up_pages(size: int = 700, seed: int = 5) -> list[tuple[list[str], list[
                 put(0.82 + r.random() * 0.01, "GIÁM ĐỐC", "break")
                 put(0.9 + r.random() * 0.011, "TS. Trần An", "break")
             if foot and r.random() < 0.93:
-                put(0.95 + r.random() * 0.009, "Mã hồ sơ", "running" if several else "break", several)
+                put(0.942 + r.random() * 0.017, "Mã hồ sơ", "running" if several else "break", several)
             if r.random() < 0.6:
                 text = r.choice([f"{number}", f"- {number} -", f"[{number}]", f"Trang {number}/{total}", f"{number}/{total}", f"Page {number} of {total}", f". {number}"])
                 if r.random() < 0.35:
@@ -320,10 +326,10 @@ def _is_broken(left: str, blank: bool, right: str, before: str, lexicon: misread
     return not (a and b) and not upper
 
 
-def work(lines: list[Line], back: set[str], total: int, lexicon: misread.Lexicon, made: crf.Model, one_block: bool) -> None:
-    """Labels lines of a document, ordered by page, index and place. ``back``, ``total``: the heads that come back in the whole document, its last page. ``one_block``: the lines of a page run on."""
+def work(lines: list[Line], back: set[str], total: int, lexicon: misread.Lexicon, made: crf.Model, one_block: bool, after: bool = False) -> None:
+    """Labels lines of a document, ordered by page, index and place. ``back``, ``total``: the heads that come back in the whole document, its last page. ``one_block``: the lines of a page run on. ``after``: the first page's letterhead stands before its lines."""
     for line in lines:
-        line.plain = canonical(line.text)
+        line.plain, line.kinds, line.label, line.recurs = canonical(line.text), [], "O", False
     for line in _edges(lines):
         _set_heads(line)
         line.recurs = any(h in back for h in line.heads)
@@ -335,13 +341,12 @@ def work(lines: list[Line], back: set[str], total: int, lexicon: misread.Lexicon
             pages[-1].append(line)
     if not pages:
         return
-    labels, begins = _decoder(made).decode([observe(p, total) for p in pages])
+    labels, begins = _decoder(made).decode([observe(p, total, after and not i) for i, p in enumerate(pages)])
     for page, at in zip(pages, begins):
         for k, line in enumerate(page):
             line.label = LABELS[labels[at + k]]
             m = _PAGENO.fullmatch(line.plain)
-            inner = line.top is not None and 0.05 <= line.top <= 0.93
-            if line.label == "running" and (not line.recurs or inner) or line.label == "pageno" and (not m or int(m.group(1)) != line.page):
+            if line.label == "running" and not line.recurs or line.label == "pageno" and (not m or int(m.group(1)) != line.page):
                 line.label = "break"  # an exact check: a head comes back, a page number is that of its page
             if line.label in ("running", "pageno"):
                 line.kinds.append(line.label)
@@ -353,6 +358,10 @@ def work(lines: list[Line], back: set[str], total: int, lexicon: misread.Lexicon
             _words(run, lexicon)
 
 
+def label(part: Part, lexicon: misread.Lexicon, made: crf.Model) -> None:
+    work(part.lines, part.back, part.total, lexicon, made, part.src != "ocr_block", part.after)
+
+
 def paragraphs(lines: list[Line]) -> list[tuple[int, str]]:
     """page and text of each paragraph: noise lines left out, broken words joined, misread words mended."""
     out: list[tuple[int, str]] = []
@@ -395,34 +404,81 @@ def line_rows(lines: DataFrame, height: float = 3508.0) -> DataFrame:
     ).where("text is not null")
 
 
-def _documents(batches: Iterator[pa.RecordBatch], flush: int = FLUSH) -> Iterator[tuple[str, str, list[Line], set[str], int]]:
-    """Parts of documents from sorted rows, one after the other, each with the heads that come back in its document and the document's last page; a part beyond ``flush`` lines is cut again."""
-    current, lines, last, back, total = None, [], None, set(), 0
+@dataclass
+class Part:
+    """Whole pages of a document, or a window of one page: lines before ``low`` were given out with the window before; ``more``: the page goes on."""
+
+    src: str
+    doc: str
+    lines: list[Line]
+    back: set[str]
+    total: int
+    low: int = 0
+    more: bool = False
+    after: bool = False
+
+    @property
+    def high(self) -> int:
+        """Where to cut: after the last line that ends a paragraph and has ``MARGIN`` lines of its page behind it."""
+        if not self.more:
+            return len(self.lines)
+        last = len(self.lines) - MARGIN
+        return next((i + 1 for i in range(last - 1, self.low, -1) if self.lines[i].label == "break"), last)
+
+
+def _documents(batches: Iterator[pa.RecordBatch], label: Callable[[Part], None], flush: int = FLUSH) -> Iterator[tuple[Part, list[Line]]]:
+    """Parts of documents from sorted rows with their lines, each line once, after ``label`` has seen it amid its neighbours.
+
+    Each part has the heads that come back in its document and the document's
+    last page. At most some ``flush`` lines are held, unless one row has more.
+    """
+    part: Part | None = None
+    last = None
     for batch in batches:
-        for src, doc, page, idx, key, text, top, told, *part in zip(*(batch.column(i).to_pylist() for i in range(10))):
-            here = (src, doc, *part)
-            if here != current or len(lines) > flush:
-                if lines:
-                    yield current[0], current[1], lines, back, total
-                if here != current:
-                    back, total = set(), 0
-                current, lines = here, []
+        for src, doc, page, idx, key, text, top, told, where in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            if part is None or (src, doc, where) != here:
+                if part and part.lines:
+                    label(part)
+                    yield part, part.lines[part.low :]
+                here, last = (src, doc, where), None
+                part = Part(src, doc, [], set(), 0)
             if told:  # stands before the lines of its part
-                total = max(total, page)
-                back.add(text)
+                part.total = max(part.total, page)
+                part.back.add(text)
                 continue
             if (page, idx, key, text) == last:
                 continue  # sent again
             last = (page, idx, key, text)
+            if len(part.lines) > flush:
+                if page != part.lines[-1].page:
+                    label(part)
+                    yield part, part.lines[part.low :]
+                    part = Part(src, doc, [], part.back, part.total)
+                elif len(part.lines) > max(2 * flush, 4 * MARGIN):
+                    begin = next((i + 1 for i in range(len(part.lines) - 1, -1, -1) if part.lines[i].page != page), 0)
+                    if begin:
+                        rest = part.lines[begin:]
+                        del part.lines[begin:]
+                        label(part)
+                        yield part, part.lines[part.low :]
+                        part = Part(src, doc, rest, part.back, part.total)
+                    else:
+                        part.more = True
+                        label(part)
+                        high = part.high
+                        yield part, part.lines[part.low : high]
+                        keep = max(0, high - MARGIN)
+                        part = Part(src, doc, part.lines[keep:], part.back, part.total, high - keep, False, part.after or any(map(_is_motto, part.lines[part.low : high])))
             if src == "ocr_block":
-                lines += [Line(key, i, page, idx, piece, top, idx) for i, piece in enumerate(text.split("\n"))]
+                part.lines += [Line(key, i, page, idx, piece, top, idx) for i, piece in enumerate(text.split("\n"))]
             else:
-                lines.append(Line(key, 0, page, idx, text, top, idx))
-    if lines:
-        yield current[0], current[1], lines, back, total
+                part.lines.append(Line(key, 0, page, idx, text, top, idx))
+    if part and part.lines:
+        label(part)
+        yield part, part.lines[part.low :]
 
 
-_PART = ["pages", "indexes"]
+_PART = ["pages"]
 
 
 def _width(df: DataFrame) -> int:
@@ -430,7 +486,7 @@ def _width(df: DataFrame) -> int:
 
 
 def _parts(rows: DataFrame) -> DataFrame:
-    return rows.select("src_table", "doc", "page", "idx", "row_key", "text", "top", F.lit(False).alias("told"), F.floor(F.col("page") / PAGES_TOGETHER).alias("pages"), F.floor(F.col("idx") / INDEXES_TOGETHER).alias("indexes"))
+    return rows.select("src_table", "doc", "page", "idx", "row_key", "text", "top", F.lit(False).alias("told"), F.floor(F.col("page") / PAGES_TOGETHER).alias("pages"))
 
 
 def _sorted(parts: DataFrame) -> DataFrame:
@@ -438,8 +494,8 @@ def _sorted(parts: DataFrame) -> DataFrame:
 
 
 def _heads(parts: DataFrame) -> DataFrame:
-    """src_table, doc, pages, indexes, page, key: each head key at the edges of the pages of each part; for each part also an empty key with its last page."""
-    schema = pa.schema([("src_table", pa.string()), ("doc", pa.string()), ("pages", pa.int64()), ("indexes", pa.int64()), ("page", pa.int32()), ("key", pa.string())])
+    """src_table, doc, pages, page, key: each head key at the edges of the pages of each part; for each part also an empty key with its last page."""
+    schema = pa.schema([("src_table", pa.string()), ("doc", pa.string()), ("pages", pa.int64()), ("page", pa.int32()), ("key", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple] = set()
@@ -450,18 +506,20 @@ def _heads(parts: DataFrame) -> DataFrame:
             found.clear()
             return out
 
-        for src, doc, lines, _, _ in _documents(batches):
-            for line in _edges(lines):
-                line.plain = canonical(line.text)
-                _set_heads(line)
-                part = (src, doc, line.page // PAGES_TOGETHER, line.index // INDEXES_TOGETHER)
-                found.update((*part, line.page, key) for key in line.heads)
-            found.add((*part, max(x.page for x in lines), ""))
+        for part, lines in _documents(batches, lambda part: None):
+            where = (part.src, part.doc, lines[0].page // PAGES_TOGETHER)
+            inside = set(map(id, lines))
+            for line in _edges(part.lines):
+                if id(line) in inside:
+                    line.plain = canonical(line.text)
+                    _set_heads(line)
+                    found.update((*where, line.page, key) for key in line.heads)
+            found.add((*where, max(x.page for x in lines), ""))
             if len(found) > 20_000:
                 yield batch()
         yield batch()
 
-    return _sorted(parts).mapInArrow(run, "src_table string, doc string, pages long, indexes long, page int, key string")
+    return _sorted(parts).mapInArrow(run, "src_table string, doc string, pages long, page int, key string")
 
 
 def recurring(heads: DataFrame, together: int = KEYS_TOGETHER) -> DataFrame:
@@ -528,8 +586,8 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
     out, empty ones have no noise; a null page or place counts as 0, a null
     document as one of its own; rows sent again count once. Heads and the last
     page are settled over the whole document; its lines are then labelled in
-    parts of 64 pages and 1 000 indexes, so a document of a third of all rows is
-    spread. The lexicon is counted from all rows if none is given.
+    parts of 64 whole pages, so a document of a third of all rows is spread. The
+    lexicon is counted from all rows if none is given.
     """
     known = rows.sparkSession.sparkContext.broadcast(lexicon or misread.count(rows))
     made = model()
@@ -543,9 +601,8 @@ def find(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame:
             found.clear()
             return out
 
-        for src, _, lines, back, total in _documents(batches):
-            work(lines, back, total, known.value, made, src != "ocr_block")
-            found += [(src, x.key, x.pos, kind) for x in lines for kind in x.kinds]
+        for part, lines in _documents(batches, lambda part: label(part, known.value, made)):
+            found += [(part.src, x.key, x.pos, kind) for x in lines for kind in x.kinds]
             if len(found) > 20_000:
                 yield batch()
         yield batch()
@@ -559,12 +616,13 @@ def repair(rows: DataFrame, lexicon: misread.Lexicon | None = None) -> DataFrame
     made = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for src, doc, lines, back, total in _documents(batches):
-            work(lines, back, total, known.value, made, src != "ocr_block")
-            counts: Counter = Counter()
+        counts: Counter = Counter()
+        for part, lines in _documents(batches, lambda part: label(part, known.value, made)):
+            if not part.low:
+                counts.clear()  # only a window goes on with a page
             found = []
             for page, text in paragraphs(lines):
-                found.append((src, doc, page, counts[page], text))
+                found.append((part.src, part.doc, page, counts[page], text))
                 counts[page] += 1
             columns = list(zip(*found)) if found else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["src_table", "document_id", "page_number", "para_index", "paragraph"])

@@ -71,3 +71,32 @@ def test_cells_of_head_keys_change_nothing(spark):
     heads = spark.createDataFrame([("t", "D", 0, 0, page, k) for k, page in made], "src_table string, doc string, pages long, indexes long, page int, key string")
     rows = [{x.key for x in P.recurring(heads, together).collect()} for together in (10_000, 1)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_a_page_through_a_window_is_the_page_whole(monkeypatch):
+    import pyarrow as pa
+
+    r, known, made = random.Random(9), lexicon(), P.model()
+    words = "Nhằm bảo đảm tiến độ phòng đào tạo tiếp tục rà soát hồ sơ của sinh viên".split()
+    rows = []
+    for page, size in ((1, 40), (2, 5000), (3, 60)):
+        for i in range(size):
+            text = " ".join(r.choice(words) for _ in range(6)) + r.choice([".", "", "", " s-"])
+            text = "Thư viện / Hộp 3" if not i else f"- {page} -" if i == size - 1 else text.replace("viên", "v1ên") if r.random() < 0.1 else text
+            rows.append(("page_vietocr_results", "D", page, i, page * 10_000 + i, text, 0.03 if not i else 0.97 if i == size - 1 else 0.1 + 0.8 * i / size, False, 0))
+    told = [("page_vietocr_results", "D", 3, 0, None, "", None, True, 0), ("page_vietocr_results", "D", 0, 0, None, P.head_keys("Thư viện / Hộp 3", 1)[0], None, True, 0)]
+    names = "src_table doc page idx row_key text top told pages".split()
+
+    def run(flush):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in (told + rows)[i : i + 500]], pa.schema([("src_table", pa.string()), ("doc", pa.string()), ("page", pa.int32()), ("idx", pa.int32()), ("row_key", pa.int64()), ("text", pa.string()), ("top", pa.float64()), ("told", pa.bool_()), ("pages", pa.int64())])) for i in range(0, len(rows) + 2, 500)]
+        out, texts, parts = [], [], 0
+        for _, lines in P._documents(iter(batches), lambda part: P.label(part, known, made), flush):
+            out += [(x.key, x.label, tuple(x.kinds), x.fixed) for x in lines]
+            texts += P.paragraphs(lines)
+            parts += 1
+        return out, texts, parts
+
+    whole, paged, windows = run(10**9), run(50), run(800)
+    assert whole[2] == 1 and paged[2] > 3 and windows[2] > 3
+    assert whole[0] == windows[0] == paged[0] and whole[1] == windows[1]
+    assert {x[0] for x in whole[0] if "running" in x[2]} == {10_000, 20_000, 30_000} and {x[0] for x in whole[0] if "pageno" in x[2]} == {10_039, 24_999, 30_059}
