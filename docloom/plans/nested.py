@@ -10,8 +10,7 @@ from docloom.session import spread, table
 
 
 def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # no table here holds single words, so their columns aren't made
-    return S.shred(spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload")), skip=("words",))
+    return S.shred(spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload"), "rec_id", "payload"))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
