@@ -2,7 +2,11 @@
 
 A skeleton in the manner of Unicode's confusables: decompose, replace every
 character by the prototype of its shape, decompose again. Two texts look alike
-exactly if their skeletons are equal. ``canonical`` is the readable form: the
+exactly if their skeletons are equal. The table of prototypes is the public
+confusables list, asked of the ICU library that Spark ships (``prototypes``),
+and the fixed letters below, which come first. Of the list the cased letters
+whose prototype is one Latin letter are taken; digits, and letters of scripts
+without case, stay what they are. ``canonical`` is the readable form: the
 same replacements, but line breaks are kept and look-alike letters of a foreign
 script are replaced only in words that hold no other letter of that script.
 """
@@ -13,10 +17,10 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letters of the same shape.
@@ -56,15 +60,40 @@ def _tables() -> tuple[dict[int, str], dict[int, str], dict[str, str]]:
     return shape, plain, letters
 
 
+def prototypes(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """Cased letters beyond ASCII with the one Latin letter of their shape, by the public confusables list of the ICU library in Spark's JVM.
+
+    None where there is no such library or no JVM at hand; the fixed letters are
+    used in any case.
+    """
+    asked = [c for c in map(chr, range(0x80, 0x1F000)) if unicodedata.category(c) in ("Lu", "Ll") and not unicodedata.decomposition(c)]
+    try:
+        checker = getattr(spark._jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
+        found = checker.getSkeleton("\n".join(asked)).split("\n")
+    except Exception:  # noqa: BLE001 - no JVM, or one without the library
+        return ()
+    if len(found) != len(asked):
+        return ()
+    pairs = ((c, "I" if p == "l" and unicodedata.category(c) == "Lu" else p) for c, p in zip(asked, found))
+    return tuple((c, p) for c, p in pairs if len(p) == 1 and p.isascii() and p.isalpha())
+
+
+@lru_cache(maxsize=4)
+def shape_of(more: tuple[tuple[str, str], ...] = ()) -> dict[int, str]:
+    """The replacements of ``skeleton``: the fixed ones, and ``more`` letters that these don't settle."""
+    shape = _tables()[0]
+    return {ord(a): b for a, b in more if ord(a) not in shape} | shape
+
+
 _BLANKS = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def skeleton(text: str) -> str:
-    """The prototype of a text's look; equal for texts that look alike. Blanks of any kind and number are one blank."""
+def skeleton(text: str, shape: dict[int, str] | None = None) -> str:
+    """The prototype of a text's look; equal for texts that look alike. Blanks of any kind and number are one blank. ``shape``: a table of ``shape_of``."""
     if text.isascii():
         return _BLANKS.sub(" ", text).strip()
-    shape = _tables()[0]
+    shape = _tables()[0] if shape is None else shape
     once = unicodedata.normalize("NFD", text.translate(shape))
     again = unicodedata.normalize("NFD", once.translate(shape))
     return _BLANKS.sub(" ", again).strip()
@@ -92,8 +121,6 @@ def canonical(text: str) -> str:
     return unicodedata.normalize("NFC", _WORD.sub(latin, unicodedata.normalize("NFC", text.translate(plain))))
 
 
-
-
 def canonical_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """The key and each field in its canonical form, in columns of the same names.
 
@@ -114,10 +141,12 @@ def canonical_fields(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def skeletons(df: DataFrame, key: str, field: str) -> DataFrame:
     """key, text and its skeleton, for every text that isn't null."""
     kind = df.select(F.col(key)).dtypes[0][1]
+    more = prototypes(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = shape_of(more)
         for batch in batches:
-            made = pa.array([skeleton(t) for t in batch.column(1).to_pylist()], pa.string())
+            made = pa.array([skeleton(t, shape) for t in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["key", "text", "skeleton"])
 
     source = df.select(F.col(key).alias("key"), F.col(field).cast("string").alias("text")).where(F.col("text").isNotNull())
@@ -140,11 +169,13 @@ def groups(df: DataFrame, key: str, field: str) -> DataFrame:
 def alike(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """Keys whose two fields aren't the same string but have the same skeleton. A null field looks like nothing; each key comes once."""
     kind = df.select(F.col(key)).dtypes[0][1]
+    more = prototypes(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = shape_of(more)
         for batch in batches:
             pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            same = pa.array([skeleton(a) == skeleton(b) for a, b in pairs], pa.bool_())
+            same = pa.array([skeleton(a, shape) == skeleton(b, shape) for a, b in pairs], pa.bool_())
             yield batch.select([0]).filter(same)
 
     a, b = F.col(left).cast("string"), F.col(right).cast("string")

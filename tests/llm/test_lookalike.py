@@ -35,3 +35,15 @@ def test_operators(spark):
     assert [(g.forms, g.rows, g.first_key) for g in groups] == [(2, 3, 2)]
     for made in (L.alike(df.limit(0), "id", "left", "right"), L.canonical_fields(df.limit(0), "id", ["left"]), L.groups(df.limit(0), "id", "left")):
         assert made.count() == 0
+
+
+def test_letters_of_the_public_list(spark):
+    more = L.prototypes(spark)
+    assert len(more) > 150 and all(b.isascii() and b.isalpha() for _, b in more)
+    shape = L.shape_of(more)
+    for a, b in [("ꓮꓐ", "ꓮꓐ"), ("Ꭺbc", "Abc"), ("𐐬k", "ok"), ("ꮃ", "w"), ("ⲟ", "o"), ("Ӏ", "l")]:
+        assert L.skeleton(a, shape) == L.skeleton(b, shape), (a, b)
+    for a, b in [("o", "0"), ("l", "1"), ("I", "l"), ("đ", "d"), ("ơ", "o"), ("ư", "u"), ("ß", "b"), ("rn", "m")]:
+        assert L.skeleton(a, shape) != L.skeleton(b, shape), (a, b)
+    df = spark.createDataFrame([(1, "Ꭺbc", "Abc"), (2, "Ꭺbc", "abc")], "id long, left string, right string")
+    assert [r.id for r in L.alike(df, "id", "left", "right").collect()] == [1]
