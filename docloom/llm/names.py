@@ -25,8 +25,8 @@ from docloom.llm.misread import fold
 from docloom.session import cut
 
 RADIUS = 3
-#: pivots of the metric space; they settle how rows are spread, not what is found
-PIVOTS = 4
+#: pivots of the metric space, and points of a cell that are compared in one task; they settle how rows are spread, not what is found
+PIVOTS, CELL = 4, 4096
 
 # Family names, titles, kinds of organisations with their abbreviations, short forms of given names.
 FAMILY = frozenset("nguyen tran le pham hoang huynh phan vu vo dang bui do ho ngo duong ly lam ta to quach trinh dinh mai cao doan luong thai chu ha chau tang kieu truong".split())
@@ -210,17 +210,20 @@ def _slip_by_word(a: str, b: str) -> bool:
     return len(differ) <= 2 and all(_one_slip(x, y) for x, y in differ)
 
 
-def pairs_within(points: list[str], radius: int = RADIUS) -> list[tuple[int, int, int]]:
-    """i < j and distance of all points within the radius: letter counts rule most out, the edit distance decides."""
+def pairs_within(points: list[str], radius: int = RADIUS, split: int = 0) -> list[tuple[int, int, int]]:
+    """i < j and distance of all points within the radius: letter counts rule most out, the edit distance decides.
+
+    With ``split`` only pairs of a point before and one from that place on.
+    """
     n = len(points)
     counts = np.zeros((n, 27), dtype=np.int16)
     for i, text in enumerate(points):
         for char in text:
             counts[i, ord(char) - 97 if "a" <= char <= "z" else 26] += 1
     out = []
-    for low in range(0, n, 256):
-        block = counts[low : low + 256]
-        for start in range(low, n, 2048):
+    for low in range(0, split or n, 256):
+        block = counts[low : min(low + 256, split or n)]
+        for start in range(split or low, n, 2048):
             other = counts[start : start + 2048]
             apart = np.abs(block[:, None] - other[None]).sum(axis=2)
             for i, j in zip(*np.nonzero(apart <= 2 * radius)):
@@ -242,7 +245,7 @@ def pick_pivots(points: DataFrame, size: int = PIVOTS, sample: int = 400) -> lis
     return chosen
 
 
-def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None) -> DataFrame:
+def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | None = None, most: int = CELL) -> DataFrame:
     """All points (recordid, point) of a record within the radius of each other.
 
     Rows: recordid, a, b, d, slips (1: one slip of the pen, 2: one each in two
@@ -252,6 +255,8 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
     so the nearest pivot of one is at most 2r farther from the other than its own.
     A pair meets in the cell of the lower number of its two, so a point is sent
     to its own cell and, where the inequality allows, to cells of lower number.
+    A cell of more than ``most`` points is cut by hash into parts of about so
+    many; each two parts, and each part by itself, are a task of their own.
     """
     pivots = pick_pivots(points) if pivots is None else pivots
     if not pivots:
@@ -262,46 +267,60 @@ def radius_join(points: DataFrame, radius: int = RADIUS, pivots: list[str] | Non
     schema = pa.schema([("recordid", pa.string()), ("a", pa.string()), ("b", pa.string()), ("d", pa.int32()), ("slips", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple, names: list[str]) -> list[tuple]:
+        def close(key: tuple, names: list[str], split: int) -> list[tuple]:
             rows = []
-            for i, j, d in pairs_within(names, radius):
+            for i, j, d in pairs_within(names, radius, split):
                 slips = 1 if _one_slip(names[i], names[j]) else 2 if _slip_by_word(names[i], names[j]) else 3
-                rows.append((key[0], names[i], names[j], d, slips))
+                rows.append((key[0], min(names[i], names[j]), max(names[i], names[j]), d, slips))
             return rows
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows)) if rows else [[] for _ in schema]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
-        current, group, found = None, [], []
+        current, group, found, split = None, [], [], 0
         for batch in batches:
-            for record, point, cell in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (record, cell) != current:
-                    if len(group) > 1:
-                        found += close(current, group)
-                    current, group = (record, cell), []
+            for record, point, cell, low, high, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (record, cell, low, high) != current:
+                    if len(group) > 1 and (current[2] == current[3] or 0 < split < len(group)):
+                        found += close(current, group, split)
+                    current, group, split = (record, cell, low, high), [], 0
                     if len(found) > 20_000:
                         yield out(found)
                         found = []
                 group.append(point)
-        if len(group) > 1:
-            found += close(current, group)
+                split += low != high and part == low
+        if len(group) > 1 and (current[2] == current[3] or 0 < split < len(group)):
+            found += close(current, group, split)
         yield out(found)
 
+    sizes = cells.groupBy("recordid", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    one = F.lit(0)
+    if sizes.isEmpty():
+        tiles = cells.select("recordid", "point", "cell", one.alias("low"), one.alias("high"), one.alias("part"))
+    else:
+        parts = F.coalesce(F.ceil(F.col("n") / most).cast("int"), F.lit(1))
+        cut_up = cells.join(sizes, ["recordid", "cell"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+        tiles = cut_up.withColumn("other", F.explode(F.sequence(one, F.col("parts") - 1))).select("recordid", "point", "cell", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
     width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spreaded = cells.repartition(width, "recordid", "cell").sortWithinPartitions("recordid", "cell", "point")
+    spreaded = tiles.repartition(width, "recordid", "cell", "low", "high").sortWithinPartitions("recordid", "cell", "low", "high", "part", "point")
     return spreaded.mapInArrow(run, "recordid string, a string, b string, d int, slips int").distinct()
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """recordid, node, label: the connected components within each record, by passing on the least label until nothing changes."""
+    """recordid, node, label: the connected components within each record.
+
+    The least label is passed on and each label replaced by that of its node,
+    until nothing changes: about as many rounds as the logarithm of the longest chain.
+    """
     both = cut(edges.select("recordid", "a", "b").union(edges.select("recordid", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("recordid", F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"))
     while True:
         seen = labels.select("recordid", F.col("node").alias("b"), F.col("label").alias("other"))
         least = both.join(seen, ["recordid", "b"]).groupBy("recordid", F.col("a").alias("node")).agg(F.min("other").alias("least"))
         step = labels.join(least, ["recordid", "node"], "left").select("recordid", "node", F.least("label", F.coalesce("least", "label")).alias("new"), "label")
-        step = cut(step)
+        theirs = labels.select("recordid", F.col("node").alias("new"), F.col("label").alias("beyond"))
+        step = cut(step.join(theirs, ["recordid", "new"], "left").select("recordid", "node", F.least("new", F.coalesce("beyond", "new")).alias("new"), "label"))
         labels = step.select("recordid", "node", F.col("new").alias("label"))
         if step.where("new != label").isEmpty():
             return labels

@@ -66,3 +66,14 @@ def test_misspellings_of_several_spellings(spark):
     assert len({labels[n] for n in same[0] + same[1]}) == 1  # one slip
     assert len({labels[n] for n in same[2] + same[3]}) == 1  # one slip each in two words
     assert len(set(labels.values())) == 3  # a longer difference is another name
+
+
+def test_cut_cells_and_long_chains(spark):
+    r = random.Random(7)
+    base = ["".join(r.choice("abc") for _ in range(r.randint(4, 9))) for _ in range(90)]
+    rows = list(dict.fromkeys(("r", b, 1) for b in base))
+    df = spark.createDataFrame(rows, "recordid string, point string, support long")
+    for most in (7, 40, 4096):
+        exact(N.radius_join(df, most=most), rows)
+    chain = spark.createDataFrame([("r", f"n{i:03}", f"n{i + 1:03}") for i in range(0, 60)] + [("s", "n001", "n002")], "recordid string, a string, b string")
+    assert {(x.recordid, x.label) for x in N.classes(chain).collect()} == {("r", "n000"), ("s", "n001")}
