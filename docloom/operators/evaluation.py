@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +9,16 @@ from docloom.functions import text as X
 
 
 def sequence_distance(left: Column, right: Column) -> Column:
-    """Edit distance of two arrays, item by item; null counts as empty."""
+    """Edit distance of two arrays, item by item; null counts as empty.
 
-    @F.pandas_udf("int")
-    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y) -> int:
-            x, y = list(x if x is not None else ()), list(y if y is not None else ())
-            row = list(range(len(y) + 1))
-            for i, item in enumerate(x, 1):
-                last, row[0] = row[0], i
-                for j, other in enumerate(y, 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (item != other))
-            return row[-1]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-    return distances(left, right)
+    Each different item of a row becomes one character, so the distance of
+    strings does the rest in the JVM.
+    """
+    a, b = (F.coalesce(c, F.array().cast("array<string>")) for c in (left, right))
+    items = F.array_distinct(F.concat(a, b))
+    index = F.map_from_arrays(items, F.sequence(F.lit(1), F.size(items)))
+    coded = lambda c: F.array_join(F.transform(c, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.element_at(index, x) + 0xFFFF), 8, "0")), "UTF-32")), "")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.greatest(F.size(a), F.size(b))).otherwise(F.levenshtein(coded(a), coded(b)))
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -58,15 +51,21 @@ def ranking(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """
     totals = relevant.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     marked = hits.where(F.col("rank") <= k).join(relevant.distinct().withColumn("rel", F.lit(1)), ["query_id", "item"], "left").fillna(0, ["rel"])
+    return judged(marked, totals, k)
+
+
+def judged(marked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """``ranking`` of hits (query_id, rank from 1, rel 0 or 1) already held against what is relevant; ``totals``: query_id, total."""
     running = marked.withColumn("found", F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank")))
     got = running.groupBy("query_id").agg(
         F.max("rel").alias("hit"), F.sum("rel").alias("n"), F.max(F.when(F.col("rel") == 1, 1 / F.col("rank"))).alias("mrr"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.when(F.col("rel") == 1, F.col("found") / F.col("rank")).otherwise(0.0)).alias("ap")
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    most = F.least(F.col("total"), F.lit(k)).cast("int")
+    ideal = F.when(most > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1)))
     zero = F.lit(0.0)
+    share = lambda top, bottom: F.round(F.coalesce(F.when(bottom > 0, top / bottom), zero), 6)
     return totals.join(got, "query_id", "full").select(
-        "query_id", F.coalesce("hit", F.lit(0)).alias("hit"), F.round(F.coalesce(F.col("n") / F.col("total"), zero), 6).alias("recall"), F.round(F.coalesce("mrr", zero), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / ideal, zero), 6).alias("ndcg"),
-        F.round(F.coalesce(F.col("ap") / F.least(F.col("total"), F.lit(k)), zero), 6).alias("map"),
+        "query_id", F.coalesce("hit", F.lit(0)).alias("hit"), share(F.col("n"), F.col("total")).alias("recall"), F.round(F.coalesce("mrr", zero), 6).alias("mrr"), share(F.col("dcg"), ideal).alias("ndcg"), share(F.col("ap"), most).alias("map"),
     )
 
 

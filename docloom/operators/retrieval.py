@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +29,72 @@ def top_k(rows: DataFrame, k: int, tie: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), tie)))
 
 
-def per_parent(hits: DataFrame, parent: Column, most: int) -> DataFrame:
-    """At most ``most`` hits of each parent, the better ranked ones; 0 or less sets no limit. The ranking is kept."""
+def per_parent(hits: DataFrame, parent: Column, most: int, *query: str) -> DataFrame:
+    """At most ``most`` hits of each parent (of each ``query``), the better ranked ones; 0 or less sets no limit. The ranking is kept."""
     if most <= 0:
         return hits
-    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(parent).orderBy("rank"))).where(F.col("_n") <= most).drop("_n")
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*query, parent).orderBy("rank"))).where(F.col("_n") <= most).drop("_n")
+
+
+#: queries of a block, whose vectors are sent to all tasks at once
+BLOCK = 4096
+
+
+def search_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """The k rows of ``vectors`` most alike to each query: query_id, the key, score, rank; ties by the key.
+
+    ``queries`` has query_id (long) and the vector. Queries are taken in blocks
+    of about ``block``, each sent to all tasks; a task keeps k rows a query, so
+    nothing but these is shuffled and no pair is written out. Cosines are exact
+    up to nine digits. Vectors that are null, of another length than the
+    query's or without length score 0, as do such queries.
+    """
+    kind = vectors.select(F.col(key)).dtypes[0][1]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("v"))
+    blocks = -(-asked.count() // block)
+    empty = vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    source = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    found = None
+    for at in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()  # about ``block`` rows
+        ids, size = np.array([r.query_id for r in rows], dtype=np.int64), max((len(r.v) for r in rows if r.v is not None), default=0)
+        held = vectors.sparkSession.sparkContext.broadcast((ids, _unit([r.v for r in rows], size)))
+        part = source.mapInArrow(lambda batches, held=held: _best(batches, held.value, k), f"query_id long, key {kind}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return empty
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= k)
+    return best.withColumnRenamed("key", key)
+
+
+def _unit(rows: list, size: int) -> np.ndarray:
+    """Rows of length one; zero where there is no vector of that length."""
+    out = np.zeros((len(rows), size))
+    for i, row in enumerate(rows):
+        if row is not None and len(row) == size and None not in row:
+            out[i] = row
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _best(batches: Iterator[pa.RecordBatch], held: tuple[np.ndarray, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a partition for each query of a block."""
+    ids, asked = held
+    scores, keys = np.zeros((len(ids), 0)), None
+    for batch in batches:
+        given = _unit(batch.column(1).to_pylist(), asked.shape[1])
+        fresh = pa.chunked_array([batch.column(0)])
+        for low in range(0, batch.num_rows, 2048):
+            more = np.round(asked @ given[low : low + 2048].T, 9)
+            names = fresh.slice(low, 2048).combine_chunks()
+            order = names.to_numpy(zero_copy_only=False)
+            both = np.concatenate([scores, more], axis=1)
+            tags = np.concatenate([keys, np.broadcast_to(order, more.shape)], axis=1) if keys is not None else np.broadcast_to(order, more.shape)
+            taken = np.lexsort((tags, -both), axis=1)[:, :k]
+            scores, keys = np.take_along_axis(both, taken, 1), np.take_along_axis(tags, taken, 1)
+    if keys is not None and len(ids):
+        width = scores.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, width)), pa.array(keys.ravel()), pa.array(scores.ravel())], names=["query_id", "key", "score"])
 
 
 def search(vectors: DataFrame, query: list[float], k: int, key: str, parent: str | None = None, most: int = 3, over: int = 3, where: Column | None = None) -> DataFrame:
@@ -74,8 +139,10 @@ def expand(hits: DataFrame, parents: DataFrame, strategy: str = "adaptive", sibl
     """hits (chunk_id, parent_id, chunk_type, rank, and table_parent_id if there are table rows) with context ids in ``context``.
 
     none: nothing; parent: the parent; siblings: the parent's other children;
-    adaptive: a table row's table, else the parent if more than one hit shares
-    it. Missing parents give an empty context. Another strategy is an error.
+    adaptive: the parent, but for a table row its table, and where that is
+    missing the parent only if more than one hit (of the query, if hits have a
+    query_id) shares it. Missing parents give an empty context. Another strategy
+    is an error.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
@@ -92,11 +159,13 @@ def expand(hits: DataFrame, parents: DataFrame, strategy: str = "adaptive", sibl
         rows = hits.join(store, F.col("parent_id") == F.col("_p"), "left")
         return rows.withColumn("context", F.coalesce(F.array_remove("sibling_ids", F.col("chunk_id")), nothing)).drop("_p", "sibling_ids")
     table = F.col("table_parent_id") if "table_parent_id" in hits.columns else F.lit(None).cast("string")
-    shared = F.count("parent_id").over(Window.partitionBy("parent_id"))
+    query = ["query_id"] if "query_id" in hits.columns else []
+    shared = F.count("parent_id").over(Window.partitionBy(*query, "parent_id"))
     tables = known.withColumnRenamed("_p", "_t")
     rows = hits.withColumn("_table", F.when(F.col("chunk_type") == "table_row", table)).withColumn("_shared", F.when(F.col("parent_id").isNotNull(), shared).otherwise(F.lit(0)))
     rows = rows.join(tables, F.col("_table") == F.col("_t"), "left").join(known, F.col("parent_id") == F.col("_p"), "left")
-    context = F.when(F.col("_t").isNotNull(), F.array("_t")).when((F.col("_shared") > 1) & F.col("_p").isNotNull(), F.array("_p")).otherwise(nothing)
+    wanted = (F.coalesce(F.col("chunk_type"), F.lit("")) != "table_row") | (F.col("_shared") > 1)
+    context = F.when(F.col("_t").isNotNull(), F.array("_t")).when(wanted & F.col("_p").isNotNull(), F.array("_p")).otherwise(nothing)
     return rows.withColumn("context", context).drop("_table", "_shared", "_t", "_p")
 
 

@@ -111,12 +111,28 @@ QUERIES = {
 }
 
 _B = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}"
-_ASCII = "SELECT DISTINCT block_key, regexp_replace(content_raw, '[^\\x00-\\x7F]', '_', 'g') a, regexp_replace(content_normalized, '[^\\x00-\\x7F]', '_', 'g') b, block_type FROM ocr_block WHERE content_raw IS NOT NULL AND content_normalized IS NOT NULL"
+# DuckDB has no compatibility form: the full-width letters are those of ASCII moved by a fixed distance, the rest are blanks and a hyphen
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "‑“”‘’"
+_NARROW = ("".join(map(chr, range(0x21, 0x7F))) + "‐\"\"''").replace("'", "''")
+_FORM = "trim(regexp_replace(translate(nfc_normalize(@), '" + _WIDE + "', '" + _NARROW + "'), '[" + _B + "]+', ' ', 'g'))"
+_PAIR = "SELECT block_key, block_type, " + _FORM.replace("@", "content_raw", 1) + " a, " + _FORM.replace("@", "content_normalized", 1) + " b FROM (SELECT DISTINCT block_key, content_raw, content_normalized, block_type FROM ocr_block WHERE content_raw IS NOT NULL AND content_normalized IS NOT NULL)"
+_WORDS = r"list_filter(string_split(trim(regexp_replace(lower(@), '[^\p{L}\p{N}_'']+', ' ', 'g')), ' '), lambda w: w <> '')"
+# DuckDB's levenshtein counts bytes: each different item of a pair becomes one ASCII character; a pair of more than 126 gives null, which no query gives
+_CODED = "array_to_string(list_transform(@, lambda c: chr(list_position(u, c)::INT)), '')"
+_DISTANCE = "CASE WHEN x = y THEN 0 WHEN len(u) > 126 THEN NULL WHEN len(x) = 0 OR len(y) = 0 THEN greatest(len(x), len(y)) ELSE levenshtein(" + _CODED.replace("@", "x") + ", " + _CODED.replace("@", "y") + ") END"
+
+
+def _items(of: str) -> str:
+    return "SELECT *, list_distinct(list_concat(x, y)) u FROM (SELECT *, " + of.replace("@", "a") + " x, " + of.replace("@", "b") + " y FROM (" + _PAIR + "))"
+
+
+_CHARS = f"SELECT block_key, block_type, a, b, {_DISTANCE} d FROM ({_items('regexp_extract_all(@, $$(?s).$$)')})"
+_SPELT = f"SELECT block_type, len(x) wn, {_DISTANCE} wd FROM ({_items(_WORDS)})"
 _TYPE = "CASE WHEN {0} IN ('plain_text', 'plaintext', '') THEN 'text' WHEN {0} = 'heading' THEN 'title' WHEN {0} = 'discard' THEN 'abandon' WHEN {0} = 'tablefootnote' THEN 'table_footnote' WHEN {0} = 'figurecaption' THEN 'figure_caption' ELSE {0} END".format("regexp_replace(lower(trim(coalesce(block_type, ''))), '[- ]', '_', 'g')")
 SQL = {
     "q_norm_ws": r"""SELECT chunk_key, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(coalesce(raw_text, ''), chr(160), ' '), '\r\n|\r', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM (SELECT DISTINCT chunk_key, raw_text FROM chunk)""",
     "q_nfc": "SELECT doc_id, md5(nfc_normalize(text)) AS h FROM documents",
-    "q_v1_clean": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[?]+', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents WHERE lang IN ('en', 'EN')",
+    "q_v1_clean": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[?]+', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents",
     "q_quality_score": r"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[A-Za-zÀ-ỹĐđ0-9]')) / length(text) ELSE 0 END, 6) AS quality FROM documents",
     "q_line_filter": r"""WITH b AS (SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw IS NOT NULL) SELECT block_key, md5(array_to_string(list_filter(list_transform(string_split(content_raw, chr(10)), lambda x: regexp_replace(x, '^ +| +$', '', 'g')),
         lambda x: length(x) >= 5 AND NOT regexp_matches(x, '^(trang|Trang|Page) ') AND NOT regexp_matches(x, '^[A-Z0-9\s-]{1,12}$')), chr(10))) AS h FROM b""",
@@ -134,6 +150,8 @@ SQL = {
     "q_logical_spans": r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) part, generate_subscripts(string_split(text, chr(10)), 1) i FROM documents) SELECT doc_id, (i - 1)::INT AS span_index, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(part) - 1)::INT AS start_char, (sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS end_char, part AS span FROM p QUALIFY trim(part) <> ''""",
     "q_block_types": f"SELECT {_TYPE} AS block_type, count(*) AS n FROM (SELECT DISTINCT block_key, block_type FROM ocr_block) GROUP BY 1",
     "q_props_json": "SELECT event_id, (SELECT string_agg(k || '=' || json_extract_string(props, '$.' || k), ';' ORDER BY k) FROM (SELECT unnest(json_keys(props)) k)) AS props FROM events",
-    "q_cer": f"SELECT {_TYPE} AS block_type, count(*) AS lines, round(CASE WHEN sum(length(a)) > 0 THEN sum(levenshtein(a, b)) / sum(length(a)) ELSE 0 END, 6) AS cer, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS line_accuracy FROM ({_ASCII}) GROUP BY 1",
-    "q_jaccard": "SELECT block_key, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END, 6) AS jaccard FROM (SELECT block_key, list_distinct(regexp_extract_all(lower(content_raw), '[a-z0-9_]+')) a, list_distinct(regexp_extract_all(lower(content_normalized), '[a-z0-9_]+')) b FROM (SELECT DISTINCT block_key, content_raw, content_normalized FROM ocr_block WHERE content_raw IS NOT NULL AND content_normalized IS NOT NULL))",
+    "q_cer": f"SELECT {_TYPE} AS block_type, count(*) AS lines, round(CASE WHEN sum(length(a)) > 0 THEN sum(d) / sum(length(a)) ELSE 0 END, 6) AS cer, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS line_accuracy FROM ({_CHARS}) GROUP BY 1",
+    "q_wer": f"""WITH c AS (SELECT {_TYPE} AS block_type, count(*) AS lines, round(CASE WHEN sum(length(a)) > 0 THEN sum(d) / sum(length(a)) ELSE 0 END, 6) AS cer, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS line_accuracy FROM ({_CHARS}) GROUP BY 1),
+        w AS (SELECT {_TYPE} AS block_type, round(CASE WHEN sum(wn) > 0 THEN sum(wd) / sum(wn) ELSE 0 END, 6) AS wer FROM ({_SPELT}) GROUP BY 1) SELECT c.block_type, lines, cer, wer, line_accuracy FROM c JOIN w ON c.block_type = w.block_type""",
+    "q_jaccard": f"SELECT block_key, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS jaccard FROM (SELECT block_key, list_distinct({_WORDS.replace('@', 'a')}) x, list_distinct({_WORDS.replace('@', 'b')}) y FROM ({_PAIR}))",
 }
