@@ -88,13 +88,16 @@ def longest_name(questions: DataFrame, names: DataFrame, key: str, text: str) ->
     """key and the longest of the names each question holds as whole words; ties by the lesser name.
 
     Names are found by their first word, the join is on equal strings; the rest
-    of a name is then held against the words that follow, however many.
+    of a name is then held against the words that follow, as many as the
+    longest name has.
     """
     words = F.filter(F.split(F.col(text), r"[^\p{L}\p{N}_.']+"), lambda w: w != "")
     known = names.select(F.col("name")).where("name is not null").distinct().withColumn("_w", F.split("name", " ")).withColumn("_first", F.get("_w", F.lit(0))).where("_first != ''")
-    places = questions.select(key, words.alias("_q")).select(key, F.posexplode("_q").alias("_at", "_first"), "_q")
+    most = known.agg(F.max(F.size("_w"))).first()[0] or 1  # a single number
+    follow = F.transform("_q", lambda w, i: F.struct(w.alias("w"), F.slice("_q", i + 1, most).alias("run")))
+    places = questions.select(key, words.alias("_q")).select(key, F.explode(follow).alias("_p")).select(key, F.col("_p.w").alias("_first"), F.col("_p.run").alias("_run"))
     firsts = known.select("_first").distinct()
-    starts = places.join(firsts, "_first", "left_semi").select(key, "_first", F.array_join(F.slice("_q", F.col("_at") + 1, F.size("_q")), " ").alias("_rest"))
+    starts = places.join(firsts, "_first", "left_semi").select(key, "_first", F.array_join("_run", " ").alias("_rest"))
     fits = starts.join(known.select("_first", "name"), "_first").where(F.startswith(F.concat("_rest", F.lit(" ")), F.concat("name", F.lit(" "))))
     best = F.min_by("name", F.struct(-F.length("name"), F.col("name")))
     return fits.groupBy(key).agg(best.alias("name"))

@@ -14,6 +14,7 @@ from docloom.functions import ids as I
 from docloom.functions import text as X
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
+HEADING = "Nội dung:"
 
 
 @dataclass(frozen=True)
@@ -83,13 +84,14 @@ def fit(text: str, room: int, overlap: int) -> list[tuple[str, str]]:
 def pack(units: list[dict], budget: Budget, count: Callable[[str], int] = count_tokens) -> list[list[dict]]:
     """Neighbouring units of one parent, type, path and table together, as many as fit with their context.
 
-    Tokens never span the blank lines between units, so a pack's count is the
-    context's plus its units'; with another tokenizer give its ``count``.
+    Tokens never span the blank lines between units, so a pack's count is that of
+    the context, of the heading before the text and of its units; with another
+    tokenizer give its ``count``.
     """
     out: list[list[dict]] = []
     room, held, last = 0, 0, None
     for unit in units:
-        free = budget.room - budget.extra - count(unit["context"])
+        free = budget.room - budget.extra - count(unit["context"]) - (count(HEADING) if unit["text"].strip() else 0)
         for at, (piece, how) in enumerate(fit(unit["text"], free, budget.overlap)):
             size = count(piece)
             same = (unit["primary"], unit["unit_type"], unit["path"], unit["table_key"])
@@ -114,7 +116,7 @@ def context_lines(summary: Column, number: Column, author: Column, date: Column,
 
 def retrieval_text(context: Column, body: Column) -> Column:
     text = F.trim(F.coalesce(body, F.lit("")))
-    return F.when(text == "", context).otherwise(F.concat_ws("\n", F.nullif(context, F.lit("")), F.lit(""), F.lit("Nội dung:"), text))
+    return F.when(text == "", context).otherwise(F.concat_ws("\n", F.nullif(context, F.lit("")), F.lit(""), F.lit(HEADING), text))
 
 
 PACKED = "document_id string, chunk_index int, unit_type string, primary int, section_path array<string>, table_key long, text string, how string, page_start int, page_end int, blocks array<string>, unit_ids array<string>"

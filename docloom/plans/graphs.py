@@ -136,7 +136,7 @@ QUERIES = {
 }
 _M = "(SELECT DISTINCT lower(document_id) document_id, trim(name) person, 'person_' || regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g') person_id, upper(event_type) event_type, nullif(trim(description), '') description, CASE WHEN event_type IS NOT NULL THEN 'event_' || regexp_replace(lower(trim(upper(event_type) || '_' || trim(name))), '[^a-z0-9]+', '_', 'g') END event_id FROM extract_entites WHERE document_id IS NOT NULL AND trim(coalesce(name, '')) <> '')"
 _EVENT = " ".join("WHEN " + " OR ".join(f"contains(lower({{0}}), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in G.EVENT_WORDS.items())
-_LONGEST = r"""WITH q AS (SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw IS NOT NULL {where}), w AS (SELECT block_key, ' ' || array_to_string(regexp_extract_all(content_raw, '[\p{{L}}\p{{N}}_.'']+'), ' ') || ' ' AS words FROM q), n AS (SELECT DISTINCT trim(name) AS name FROM extract_entites WHERE name IS NOT NULL AND len(string_split(trim(name), ' ')) <= 12),
+_LONGEST = r"""WITH q AS (SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw IS NOT NULL), w AS (SELECT block_key, ' ' || array_to_string(regexp_extract_all(content_raw, '[\p{L}\p{N}_.'']+'), ' ') || ' ' AS words FROM q), n AS (SELECT DISTINCT trim(name) AS name FROM extract_entites WHERE name IS NOT NULL),
     best AS (SELECT block_key, name FROM (SELECT block_key, name, row_number() OVER (PARTITION BY block_key ORDER BY length(name) DESC, encode(name)) r FROM w JOIN n ON contains(words, ' ' || name || ' ')) WHERE r = 1) """
 SQL = {
     "q_graph_nodes": " UNION ".join(f"SELECT '{label}' AS label, {key} AS id FROM doc_meta WHERE {key} IS NOT NULL" for label, (key, _) in G.LABELS.items()),
@@ -148,8 +148,8 @@ SQL = {
     "q_graph_single_link": f"SELECT document_id, 'event_' || regexp_replace(lower(trim(min(description))), '[^a-z0-9]+', '_', 'g') AS event_id, min(person_id) AS person_id FROM {_M} GROUP BY 1 HAVING count(DISTINCT person_id) = 1 AND count(DISTINCT description) = 1",
     "q_name_collisions": f"SELECT person_id, count(DISTINCT person) AS names FROM {_M} GROUP BY 1 HAVING count(DISTINCT person) > 1",
     "q_event_types": "SELECT DISTINCT name_key, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(summary), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in G.EVENT_WORDS.items()) + " END AS event_type FROM (SELECT DISTINCT name_key, summary FROM embbeding)",
-    "q_longest_match": _LONGEST.format(where="AND length(content_raw) < 120") + "SELECT block_key, name FROM best",
-    "q_question_routes": _LONGEST.format(where="") + f""", r AS (SELECT q.block_key, name, CASE {_EVENT.format("content_raw")} END AS e FROM q LEFT JOIN best USING (block_key))
+    "q_longest_match": _LONGEST + "SELECT block_key, name FROM best",
+    "q_question_routes": _LONGEST + f""", r AS (SELECT q.block_key, name, CASE {_EVENT.format("content_raw")} END AS e FROM q LEFT JOIN best USING (block_key))
         SELECT CASE WHEN name IS NOT NULL AND e IS NOT NULL THEN 'PERSON_EVENT' WHEN name IS NOT NULL THEN 'PERSON_ONLY' WHEN e IS NOT NULL THEN 'EVENT_ONLY' ELSE 'VECTOR_ONLY' END AS route, e AS event_type, count(*) AS n FROM r GROUP BY 1, 2""",
     "q_text_boxes": "WITH b AS (SELECT DISTINCT ON (line_key) line_key, score, list_min(list_transform(poly, lambda p: p[1])) x1, list_min(list_transform(poly, lambda p: p[2])) y1, list_max(list_transform(poly, lambda p: p[1])) x2, list_max(list_transform(poly, lambda p: p[2])) y2 FROM page_vietocr_results WHERE poly IS NOT NULL) SELECT line_key, concat_ws(',', trunc(x1)::BIGINT, trunc(y1)::BIGINT, trunc(x2)::BIGINT, trunc(y2)::BIGINT) AS bbox FROM b WHERE coalesce(score, 1) >= 0.7 AND x2 - x1 >= 25 AND y2 - y1 BETWEEN 12 AND 260 AND (x2 - x1) * (y2 - y1) >= 300 AND NOT ((x1 < 8 OR y1 < 8 OR x2 > 2472 OR y2 > 3500) AND (x2 - x1 > 2108 OR y2 - y1 > 2981.8))",
 }

@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a local one."""
+    """The shared folder of ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone, as in tests, a local one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if shared:
@@ -44,6 +44,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(shared)
         return shared
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"docloom-{uuid.uuid4().hex}"))
     return sc._jsc.sc().getCheckpointDir().get()
 
