@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,16 @@ def _source(df: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.dropDuplicates(["rec_id", "payload"])
 
 
+def _columns(made: list[dict[str, tuple[list[int], list[int], list[str | None]]]]) -> pa.ListArray:
+    """The chunks of several records as one Arrow array."""
+    held = [c for record in made for c in record.values()]
+    flat = lambda i: chain.from_iterable(c[i] for c in held)
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in held])]).astype(np.int32))
+    parts = [pa.ListArray.from_arrays(ends, pa.array(list(flat(i)), t)) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+    chunks = pa.StructArray.from_arrays([pa.array([p for record in made for p in record], pa.string()), *parts], fields=list(CHUNK))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(record) for record in made])]).astype(np.int32)), chunks)
+
+
 def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload", skip: tuple[str, ...] = ()) -> DataFrame:
     """One row per valid payload: rec_id and its column chunks, without those of the fields named in ``skip``.
 
@@ -183,13 +194,13 @@ def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload", skip: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recs, chunks = [], []
+            recs, made = [], []
             for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 good, value = _parse(text)
                 if good and isinstance(value, dict):
                     recs.append(rec)
-                    chunks.append([{"path": p, "reps": r, "defs": d, "leaves": v} for p, (r, d, v) in stripe(value, pruned).items()])
-            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array(chunks, pa.list_(CHUNK))], names=["rec_id", "chunks"])
+                    made.append(stripe(value, pruned))
+            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), _columns(made)], names=["rec_id", "chunks"])
 
     return _source(df, key, payload).mapInArrow(run, SHREDDED)
 
@@ -211,28 +222,24 @@ def unreadable(df: DataFrame, key: str = "rec_id", payload: str = "payload") ->
 
 
 class _Column:
-    """One chunk of a batch; what is asked for is taken out of Arrow then, not before."""
+    """The chunks of one path of all records of a batch; what is asked for is taken out of Arrow then, not before."""
 
-    __slots__ = ("depth", "parts", "low", "high", "_at")
+    __slots__ = ("depth", "recs", "reps", "defs", "leaves", "_at")
 
-    def __init__(self, depth: int, parts: tuple, low: int, high: int):
-        self.depth, self.parts, self.low, self.high = depth, parts, low, high
+    def __init__(self, depth: int, recs: np.ndarray, reps: np.ndarray, defs: np.ndarray, leaves: pa.Array):
+        self.depth, self.recs, self.reps, self.defs, self.leaves = depth, recs, reps, defs, leaves
         self._at: np.ndarray | None = None
 
     @property
     def at(self) -> np.ndarray:
-        """Ordinals of all entries."""
+        """The record and the ordinals of all entries. A record begins at repetition level 0, so its levels start anew."""
         if self._at is None:
-            self._at = positions(self.parts[0][self.low : self.high], self.depth)
+            self._at = np.column_stack([self.recs, positions(self.reps, self.depth)])
         return self._at
 
-    @property
-    def defs(self) -> np.ndarray:
-        return self.parts[1][self.low : self.high]
-
     def entries(self, depth: int, level: int | None) -> Iterator[tuple[tuple[int, ...], str | None]]:
-        """Ancestors at ``depth`` and leaf of the entries with a value, or of all that reach a definition level."""
-        leaves = self.parts[2].slice(self.low, self.high - self.low)
+        """Record and ancestors at ``depth`` and leaf of the entries with a value, or of all that reach a definition level."""
+        leaves = self.leaves
         if level is None:
             if leaves.null_count == len(leaves):
                 return iter(())
@@ -241,30 +248,33 @@ class _Column:
             taken = np.flatnonzero(self.defs >= level)
         if not len(taken):
             return iter(())
-        return zip(map(tuple, self.at[taken, :depth].tolist()), leaves.take(pa.array(taken)).to_pylist())
+        return zip(map(tuple, self.at[taken, : depth + 1].tolist()), leaves.take(pa.array(taken)).to_pylist())
 
 
 class Chunks:
-    """The column chunks of one record, read by ancestor."""
+    """The column chunks of the records of a batch, read by record and ancestor: the record is the first ordinal of each key."""
 
     def __init__(self, columns: dict[str, _Column]):
         self.columns = columns
 
     @classmethod
-    def of_batch(cls, records: pa.ListArray) -> Iterator[Chunks]:
-        """The records of a batch; only the columns that are read are taken out of Arrow."""
+    def of_batch(cls, records: pa.ListArray) -> Chunks:
+        """The chunks of all records of a batch, those of one path laid behind each other in the order of the records."""
         held = records.flatten()
-        paths = held.field("path").to_pylist()
+        paths = held.field("path").dictionary_encode()
+        codes = paths.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        owner = np.repeat(np.arange(len(records)), pc.fill_null(pc.list_value_length(records), 0).to_numpy())[order]
         reps, defs, leaves = held.field("reps"), held.field("defs"), held.field("leaves")
-        begin = reps.offsets.to_numpy()
+        begin = reps.offsets.to_numpy().astype(np.int64)
         begin = begin - begin[0]
-        parts = (reps.flatten().to_numpy(), defs.flatten().to_numpy(), leaves.flatten())
-        depths = {p: p.count("[]") for p in set(paths)}
-        ends = np.cumsum([n or 0 for n in pc.list_value_length(records).to_pylist()])
-        low = 0
-        for high in ends.tolist():
-            yield cls({paths[i]: _Column(depths[paths[i]], parts, int(begin[i]), int(begin[i + 1])) for i in range(low, high)})
-            low = high
+        sizes = np.diff(begin)[order]
+        ends = np.cumsum(sizes)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[:-1][order] - (ends - sizes), sizes)
+        recs, reps, defs, leaves = np.repeat(owner, sizes), reps.flatten().to_numpy()[taken], defs.flatten().to_numpy()[taken], leaves.flatten().take(pa.array(taken))
+        names, cuts = paths.dictionary.to_pylist(), np.searchsorted(codes[order], np.arange(len(paths.dictionary) + 1))
+        bounds = np.concatenate([[0], ends])[cuts].tolist()
+        return cls({path: _Column(path.count("[]"), recs[a:b], reps[a:b], defs[a:b], leaves.slice(a, b - a)) for path, a, b in zip(names, bounds, bounds[1:])})
 
     def lists(self, pattern: str) -> list[str]:
         """The list paths (ending in ``[]``) that match, shallow ones first."""
@@ -281,22 +291,25 @@ class Chunks:
         return sorted(found, key=lambda p: (p.count("[]"), p))
 
     def elements(self, path: str) -> list[tuple[int, ...]]:
-        """Ordinals of the elements of a list path that are there."""
-        depth, level = path.count("[]"), path.count("[]") + len(re.findall(r"[^.\[\]]+", path))
-        below = next((p for p in self.columns if p == path or p.startswith((path + ".", path + "["))), None)
-        if below is None:
-            return []
-        column = self.columns[below]
-        return list(dict.fromkeys(map(tuple, column.at[column.defs >= level, :depth].tolist())))
+        """Records and ordinals of the elements of a list path that are there; any column below it tells those of its records."""
+        depth, level = path.count("[]"), _level(path)
+        seen = np.zeros(1 + max((int(c.recs[-1]) for c in self.columns.values() if len(c.recs)), default=0), dtype=bool)
+        out: list[tuple[int, ...]] = []
+        for name, column in self.columns.items():
+            if name == path or name.startswith((path + ".", path + "[")):
+                new = ~seen[column.recs]
+                if new.any():
+                    out += dict.fromkeys(map(tuple, column.at[new & (column.defs >= level), : depth + 1].tolist()))
+                    seen[column.recs] = True
+        return out
 
     def values(self, path: str, depth: int, nulls: bool = False) -> dict[tuple[int, ...], list]:
         """Values of a leaf path, those of one ancestor at ``depth`` together; with ``nulls`` list elements that are null are None."""
         out: dict[tuple[int, ...], list] = {}
         column = self.columns.get(path)
         if column is not None:
-            level = path.count("[]") + len(re.findall(r"[^.\[\]]+", path)) if nulls else None
-            for key, leaf in column.entries(depth, level):
-                found = None if leaf is None else leaf[1:-1] if leaf[0] == '"' and "\\" not in leaf else json.loads(leaf)
+            for key, leaf in column.entries(depth, _level(path) if nulls else None):
+                found = None if leaf is None else leaf[1:-1] if leaf[0] == '"' and "\\" not in leaf else int(leaf) if leaf.isdigit() else json.loads(leaf)
                 held = out.get(key)
                 if held is None:
                     out[key] = [found]
@@ -314,6 +327,11 @@ class Chunks:
         return out
 
 
+def _level(path: str) -> int:
+    """The definition level of a path's values: its steps."""
+    return path.count("[]") + len(re.findall(r"[^.\[\]]+", path))
+
+
 def _number(value: object) -> float | None:
     if value is None or isinstance(value, (bool, dict, list)):
         return None
@@ -374,9 +392,9 @@ def _blocks(chunks: Chunks) -> Iterator[tuple]:
         score = chunks.first(path, ("score",), depth, lambda v: _number(v) is not None)
         box, text = boxes(chunks, path, depth), lines(chunks, path, depth)
         for at in chunks.elements(path):
-            where = [str(i) for i in at[1:]]
+            where = [str(i) for i in at[2:]]
             rank = _number(index.get(at))
-            yield (at[0], ".".join(where), ".".join(where[:-1]), label.get(at), None if rank is None else int(rank), _number(score.get(at)), box.get(at), text.get(at, []))
+            yield (at[0], at[1], ".".join(where), ".".join(where[:-1]), label.get(at), None if rank is None else int(rank), _number(score.get(at)), box.get(at), text.get(at, []))
 
 
 def _pages(chunks: Chunks) -> Iterator[tuple]:
@@ -385,15 +403,14 @@ def _pages(chunks: Chunks) -> Iterator[tuple]:
     number = chunks.first("pages[]", ("page_number", "page_id"), 1, lambda v: v is not None and bool(re.search(r"\d", str(v))))
     for at in chunks.elements("pages[]"):
         digits = re.search(r"\d+", str(number[at])) if at in number else None
-        yield (at[0], int(digits.group()) if digits else at[0] + 1, _number(width.get(at)), _number(height.get(at)))
+        yield (at[0], at[1], int(digits.group()) if digits else at[1] + 1, _number(width.get(at)), _number(height.get(at)))
 
 
 def _assemble(shredded: DataFrame, rows: Callable[[Chunks], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for rec, chunks in zip(batch.column(0).to_pylist(), Chunks.of_batch(batch.column(1))):
-                out += [(rec, *row) for row in rows(chunks)]
+            recs = batch.column(0).to_pylist()
+            out = [(recs[row[0]], *row[1:]) for row in rows(Chunks.of_batch(batch.column(1)))]
             columns = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
 
