@@ -50,18 +50,21 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Packing:
-    """capacity in tokens; documents of an index shard; query terms of a seed; BM25 constants.
+    """capacity in tokens; documents and characters of an index shard; seeds scored at once; BM25 constants. A seed is queried by all its terms.
 
-    Terms in less than ``share`` of the documents count as just so frequent, so
-    the table of frequencies has at most (mean terms of a document) / share rows.
+    Terms in less than ``share`` of the documents count as just so frequent; of
+    the others the ``table`` most frequent are kept, so the table that is sent
+    along has a bound, and the rest count as frequent as the last of these.
     """
 
     capacity: int = 2048
     shard: int = 4096
-    terms: int = 16
+    shard_chars: int = 32_000_000
+    seeds: int = 48
     k1: float = 1.2
     b: float = 0.75
     share: float = 1e-4
+    table: int = 300_000
     vocabulary: str = tokens.VOCABULARY
 
 
@@ -70,6 +73,7 @@ class Corpus:
     documents: int
     mean_words: float
     frequency: dict[str, int]
+    least: int = 2
 
 
 def statistics(df: DataFrame, text: str, at: Packing) -> Corpus:
@@ -99,11 +103,11 @@ def statistics(df: DataFrame, text: str, at: Packing) -> Corpus:
     counted = df.select(F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     total = counted.where(F.col("term") == "\0documents").agg(F.sum("n")).first()[0] or 0
-    rows = counted.where(((F.col("n") >= max(2, math.ceil(total * at.share))) & (F.col("term") != "")) | F.col("term").startswith("\0")).collect()
+    least = max(2, math.ceil(total * at.share))
+    words = counted.where(F.col("term") == "\0words").agg(F.sum("n")).first()[0] or 0
+    rows = counted.where((F.col("n") >= least) & (F.col("term") != "") & ~F.col("term").startswith("\0")).orderBy(F.col("n").desc(), "term").limit(at.table).collect()
     frequency = {r.term: r.n for r in rows}
-    frequency.pop("\0documents", None)
-    words = frequency.pop("\0words", 0)
-    return Corpus(total, words / total if total else 1.0, frequency)
+    return Corpus(total, words / total if total else 1.0, frequency, rows[-1].n if len(rows) == at.table else least)
 
 
 class Index:
@@ -122,8 +126,7 @@ class Index:
         keys, tf = np.unique((np.repeat(np.arange(n), lengths) + flat * n)[flat >= 0], return_counts=True)
         self.n = n
         self.docs, terms = (keys % n).astype(np.int64), keys // n
-        least = max(2, math.ceil(corpus.documents * at.share))
-        df = np.fromiter((corpus.frequency.get(w, least) for w in ids), dtype=np.float64, count=len(ids)) if ids else np.ones(1)
+        df = np.fromiter((corpus.frequency.get(w, corpus.least) for w in ids), dtype=np.float64, count=len(ids)) if ids else np.ones(1)
         idf = np.log1p((corpus.documents - df + 0.5).clip(0) / (df + 0.5))
         norm = at.k1 * (1 - at.b + at.b * lengths / max(corpus.mean_words, 1))
         self.weight = idf[terms] * tf * (at.k1 + 1) / (tf + norm[self.docs])
@@ -131,6 +134,14 @@ class Index:
         by_doc = np.lexsort((-self.weight, self.docs))
         self.of_doc = np.searchsorted(self.docs[by_doc], np.arange(n + 1))
         self.terms_by_weight = terms[by_doc]
+        # terms of many documents lie in rows of a matrix, those of few stay lists of postings
+        sizes = np.diff(self.begin)
+        heavy = np.flatnonzero(sizes > max(32, n // 50))
+        self.row = np.full(size, -1, dtype=np.int64)
+        self.row[heavy] = np.arange(len(heavy))
+        self.dense = np.zeros((len(heavy), n), dtype=np.float32)
+        mine = self.row[terms] >= 0
+        self.dense[self.row[terms[mine]], self.docs[mine]] = self.weight[mine]
 
     def scores(self, doc: int, most: int) -> np.ndarray:
         """Of all documents of the shard for the terms that weigh most in ``doc``."""
@@ -141,6 +152,27 @@ class Index:
         return np.bincount(np.concatenate([self.docs[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
 
 
+    def score_all(self, seeds: list[int]) -> np.ndarray:
+        """Of all documents of the shard for all terms of each of several seeds."""
+        out = np.zeros((len(seeds), self.n), dtype=np.float32)
+        asked = np.zeros((len(seeds), len(self.dense)), dtype=np.float32)
+        starts, sizes, owners = [], [], []
+        for i, doc in enumerate(seeds):
+            terms = self.terms_by_weight[self.of_doc[doc] : self.of_doc[doc + 1]]
+            rows = self.row[terms]
+            asked[i, rows[rows >= 0]] = 1
+            few = terms[rows < 0]
+            starts.append(self.begin[few])
+            sizes.append(self.begin[few + 1] - starts[-1])
+            owners.append(np.full(len(few), i))
+        start, size, owner = np.concatenate(starts), np.concatenate(sizes), np.concatenate(owners)
+        ends = np.cumsum(size)
+        taken = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+        if len(taken):
+            out += np.bincount(np.repeat(owner, size) * self.n + self.docs[taken], self.weight[taken], out.size).reshape(out.shape).astype(np.float32)
+        return out + asked @ self.dense if len(self.dense) else out
+
+
 def pack(sizes: list[int], index: Index, at: Packing) -> list[list[tuple[int, int, int]]]:
     """Containers of (document, first token, end token); only a document longer than the capacity is cut."""
     out: list[list[tuple[int, int, int]]] = []
@@ -163,14 +195,24 @@ def pack(sizes: list[int], index: Index, at: Packing) -> list[list[tuple[int, in
         window.append((doc, sizes[doc] - int(rest[doc]), sizes[doc]))
         return int(rest[doc])
 
-    for seed in np.argsort(-rest, kind="stable").tolist():
+    order = np.argsort(-rest, kind="stable").tolist()
+    scored: dict[int, np.ndarray] = {}
+    for place, seed in enumerate(order):
         if not free[seed]:
             continue
         window: list[tuple[int, int, int]] = []
         room = at.capacity - take(seed, window)
         least = int(np.flatnonzero(there)[0]) if there.any() else at.capacity + 1
         if room >= least:
-            score = index.scores(seed, at.terms)
+            if seed not in scored:
+                block = [seed]
+                for doc in order[place + 1 :]:
+                    if len(block) == at.seeds:
+                        break
+                    if free[doc]:
+                        block.append(doc)
+                scored = dict(zip(block, index.score_all(block)))
+            score = scored[seed]
             near = np.flatnonzero(free & (score > 0) & (rest <= room))
             for doc in near[np.argsort(-score[near], kind="stable")].tolist():
                 if rest[doc] <= room:
@@ -192,7 +234,9 @@ def pack(sizes: list[int], index: Index, at: Packing) -> list[list[tuple[int, in
 def fill(df: DataFrame, key: str = "doc_id", text: str = "text", at: Packing = Packing()) -> DataFrame:
     """Places of all documents: key, container_no, position, part, first_token, end_token, n_tokens, capacity.
 
-    container_no is unique over the whole result, not dense. A document within
+    container_no is unique over the whole result, not dense; which documents come
+    together follows the partitions of the scan, so another cluster may pack the
+    same documents otherwise. A document within
     the capacity has one row (part 0); a longer one has a row for each part. A
     null text has no row; an empty one takes a place of no tokens. Documents
     with equal texts are documents of their own. Other columns are dropped. A
@@ -204,11 +248,12 @@ def fill(df: DataFrame, key: str = "doc_id", text: str = "text", at: Packing = P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        made, keys, texts = 0, [], []
+        made, keys, texts, chars = 0, [], [], 0
         encode = tokens.encoding(at.vocabulary).encode_ordinary
 
         def close() -> pa.RecordBatch:
-            nonlocal made
+            nonlocal made, chars
+            chars = 0
             packed = pack([len(encode(t)) for t in texts], Index(texts, corpus.value, at), at)
             rows = [(d, made + c, p, a, b) for c, window in enumerate(packed) for p, (d, a, b) in enumerate(window)]
             made += len(packed)
@@ -222,12 +267,15 @@ def fill(df: DataFrame, key: str = "doc_id", text: str = "text", at: Packing = P
             return out
 
         for batch in batches:
-            for start in range(0, batch.num_rows, at.shard):
-                piece = batch.slice(start, at.shard)
-                if texts and len(texts) + piece.num_rows > at.shard:
+            found, start = batch.column(1).to_pylist(), 0
+            for i, whole in enumerate(found):
+                if texts and (len(texts) >= at.shard or chars + len(whole) > at.shard_chars):
+                    keys.append(batch.column(0).slice(start, i - start))
                     yield close()
-                keys.append(piece.column(0))
-                texts += piece.column(1).to_pylist()
+                    start = i
+                texts.append(whole)
+                chars += len(whole)
+            keys.append(batch.column(0).slice(start))
         if texts:
             yield close()
 

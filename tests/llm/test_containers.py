@@ -78,3 +78,27 @@ def test_keys_order_by_weight(spark):
     got = X.select(df, plan).collect()
     heavy = sum(r.doc_id % 2 for r in got)
     assert len(got) == 1000 and heavy > 700  # five times the weight, about five times the draws
+
+
+def test_shards_by_characters_and_bounded_table(spark):
+    df = spark.createDataFrame([(i, f"từ số {i % 7} của văn bản " * (i % 5 + 1)) for i in range(120)], "doc_id long, text string").coalesce(1)
+    for at in (C.Packing(capacity=60, shard_chars=500), C.Packing(capacity=60, shard=7), C.Packing(capacity=60, table=3)):
+        got = C.fill(df, at=at).groupBy("doc_id").sum("n_tokens").collect()
+        assert {r[0]: r[1] for r in got} == {r.doc_id: C.tokens.count(r.text) for r in df.collect()}
+    held = C.statistics(df, "text", C.Packing(table=3))
+    assert len(held.frequency) == 3 and held.least == min(held.frequency.values())
+
+
+def test_scores_of_several_seeds_are_bm25():
+    r = np.random.default_rng(5)
+    vocabulary = [f"t{i}" for i in range(4000)]
+    topics = [r.choice(vocabulary, 60) for _ in range(40)]
+    texts = [" ".join(r.choice(np.concatenate([topics[i % 40], vocabulary[:100]]), 120)) for i in range(800)] + ["", "một"]
+    seen = {}
+    for t in texts:
+        for w in set(t.split()):
+            seen[w] = seen.get(w, 0) + 1
+    index = C.Index(texts, C.Corpus(len(texts), 120.0, seen), C.Packing())
+    docs = [*range(0, 800, 40), 800, 801]
+    assert len(index.dense) and np.allclose(index.score_all(docs), [index.scores(d, 10**6) for d in docs], atol=1e-3)
+    assert not index.score_all([800]).any() and C.Index(["", ""], C.Corpus(2, 0.0, {}), C.Packing()).score_all([0, 1]).shape == (2, 2)
