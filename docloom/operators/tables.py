@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import ids as I
 
-PARSED = "key long, error string, headers array<string>, rows array<array<string>>, column_count int, data_like_header boolean, schema_type string, column_map array<int>"
+PARSED = "key long, error string, headers array<string>, rows array<array<string>>, column_count int, data_like_header boolean, schema_type string, column_map array<int>, header_paths array<array<string>>"
 # Weights of the three ways to score a continuation, labels of the course rows.
 _CODE = re.compile(r"^[A-ZĐ]{2,}[ -]?\d{2,4}[A-Z]?$", re.IGNORECASE)
 _MARK = re.compile(r"(?:\d+(?:[.,]\d+)?|[A-F][+\-.]?)", re.IGNORECASE)
@@ -124,18 +124,23 @@ def looks_like_data(row: list[str]) -> bool:
     return codes > 0 and codes + sum(bool(_MARK.fullmatch(c)) for c in cells) >= max(2, len(cells) // 3)
 
 
-def flat_headers(rows: list[list[str]], width: int) -> list[str]:
-    """One header a column: the levels joined, a level equal to the one above once, a numbered column without any."""
+def header_paths(rows: list[list[str]], width: int) -> list[list[str]]:
+    """The levels of the header over each column from the top down, a level equal to the one above once; a numbered column without any."""
     out = []
     for x in range(width):
         levels: list[str] = []
         for row in rows:
             if row[x] and (not levels or levels[-1].casefold() != row[x].casefold()):
                 levels.append(row[x])
-        out.append(" > ".join(levels) or f"Cột {x + 1}")
+        out.append(levels or [f"Cột {x + 1}"])
     return out
 
 
+def flat_headers(rows: list[list[str]], width: int) -> list[str]:
+    """One header a column: its levels joined."""
+    return [" > ".join(levels) for levels in header_paths(rows, width)]
+
+
 def schema_of(headers: list[str]) -> tuple[str, list[int]]:
     whole = " ".join(headers).casefold()
     if len(headers) >= 8 and "môn" in whole and any(m in whole for m in ("chuyển", "đã học", "sv")):
@@ -168,7 +173,7 @@ def parse(html: str | None) -> dict:
         body, top = top + body, []
     headers = flat_headers(top, len(cells[0]))
     kind, columns = schema_of(headers)
-    return {"headers": headers, "rows": [r for r in body if any(c.strip() for c in r)], "column_count": len(cells[0]), "data_like_header": data_like, "schema_type": kind, "column_map": columns}
+    return {"headers": headers, "rows": [r for r in body if any(c.strip() for c in r)], "column_count": len(cells[0]), "data_like_header": data_like, "schema_type": kind, "column_map": columns, "header_paths": header_paths(top, len(cells[0]))}
 
 
 def parse_tables(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -178,7 +183,7 @@ def parse_tables(df: DataFrame, key: str, html: str) -> DataFrame:
         for batch in batches:
             made = [parse(h) for h in batch.column(1).to_pylist()]
             strings = pa.list_(pa.string())
-            types = {"error": pa.string(), "headers": strings, "rows": pa.list_(strings), "column_count": pa.int32(), "data_like_header": pa.bool_(), "schema_type": pa.string(), "column_map": pa.list_(pa.int32())}
+            types = {"error": pa.string(), "headers": strings, "rows": pa.list_(strings), "column_count": pa.int32(), "data_like_header": pa.bool_(), "schema_type": pa.string(), "column_map": pa.list_(pa.int32()), "header_paths": pa.list_(strings)}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m.get(n) for m in made], t) for n, t in types.items())], names=["key", *types])
 
     return df.select(F.col(key).cast("long").alias("key"), F.col(html).cast("string").alias("h")).mapInArrow(run, PARSED).withColumnRenamed("key", key)

@@ -10,6 +10,8 @@ from docloom.operators import layout as L
 from docloom.operators import outline as O
 from docloom.operators import shred
 from docloom.operators import structure as S
+from docloom.plans.structure import _ARTICLE, _TREE
+from docloom.plans.universal import _CAND, _LEVEL, _key
 from docloom.session import cut, table as t
 
 
@@ -101,7 +103,7 @@ def boundary_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def outlines(s: SparkSession, d: str) -> DataFrame:
-    return O.outline(_spans(s, d))
+    return O.outline(_spans(s, d)).drop("path")
 
 
 def zones(s: SparkSession, d: str) -> DataFrame:
@@ -138,7 +140,28 @@ _M = "(SELECT DISTINCT lower(document_id) document_id, trim(name) person, 'perso
 _EVENT = " ".join("WHEN " + " OR ".join(f"contains(lower({{0}}), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in G.EVENT_WORDS.items())
 _LONGEST = r"""WITH q AS (SELECT DISTINCT block_key, content_raw FROM ocr_block WHERE content_raw IS NOT NULL), w AS (SELECT block_key, ' ' || array_to_string(regexp_extract_all(content_raw, '[\p{L}\p{N}_.'']+'), ' ') || ' ' AS words FROM q), n AS (SELECT DISTINCT trim(name) AS name FROM extract_entites WHERE name IS NOT NULL),
     best AS (SELECT block_key, name FROM (SELECT block_key, name, row_number() OVER (PARTITION BY block_key ORDER BY length(name) DESC, encode(name)) r FROM w JOIN n ON contains(words, ' ' || name || ' ')) WHERE r = 1) """
+# DuckDB: the lines of the OCR blocks as spans, then the candidates of the universal outline
+_OCR = _TREE[: _TREE.index("\ns1 AS")].rstrip(",").replace("bid, pos, unnest(segs) x", "bid, pos, bbox, unnest(segs) x") + f""", sp AS (SELECT d, seq ln, x, {_key('x')} k, len(regexp_extract_all(x, '\\p{{Lu}}')) / nullif(len(regexp_extract_all(x, '\\p{{L}}')), 0) up, len(regexp_split_to_array(x, '\\s+')) wc, k = 'title' ti, coalesce(abs((bbox[1] + bbox[3]) / 2 - 0.5) <= 0.05, false) ce, k bt, page FROM s0 WHERE k <> 'table')""" + _CAND
+_TITLE = "^\\s*(?:quyet dinh|hop dong|to trinh|cong van|v/v)"
+_TEXT_RULES = O._text_rules()
+_RULE = {"articles": "articles >= 2", "legal": "legal >= 2", "parties": "parties >= 2"}
+_TYPE_SCORES = ", ".join("[" + " + ".join(f"CASE WHEN {_RULE.get(what) or (f'regexp_matches(title, $${rule}$$)' if what == 'title' else f't{_TEXT_RULES.index(rule)}')} THEN {weight} ELSE 0 END" for weight, what, rule in rules) + "]" for rules in O.TYPE_RULES.values())
+_TYPE_NAMES = ", ".join(f"'{k}'" for k in O.TYPE_RULES)
+_CUM = "OVER (PARTITION BY d ORDER BY ln)"
 SQL = {
+    "q_boundary_candidates": _OCR + " SELECT kind, ok AS accepted, count(*) AS n, round(avg(score), 4) AS mean_score FROM ca GROUP BY 1, 2",
+    "q_outlines": _OCR + _LEVEL + ", pr AS (SELECT a.d, a.ln, max(b.ln) pa FROM l2 a LEFT JOIN l2 b ON a.d = b.d AND b.ln < a.ln AND b.level < a.level WHERE a.level IS NOT NULL GROUP BY 1, 2) SELECT l2.d AS document_id, l2.ln AS at, level, pa AS parent_at FROM l2 JOIN pr ON l2.d = pr.d AND l2.ln = pr.ln",
+    "q_zones": _OCR + f""", z AS (SELECT *, CASE WHEN kind = 'annex' THEN 'ANNEX' WHEN regexp_matches(k, '^\\s*(?:noi nhan|hieu truong|giam doc|chu tich|kt\\.|tl\\.)') THEN 'CLOSING' WHEN kind IN ('article', 'chapter', 'part', 'section_word', 'primary_number', 'roman') THEN 'BODY' WHEN regexp_matches(k, '^\\s*can cu') THEN 'BODY' END sg FROM ca),
+        y AS (SELECT d, CASE WHEN max((sg = 'ANNEX')::INT) {_CUM} = 1 THEN 'ANNEX' WHEN max((sg = 'CLOSING')::INT) {_CUM} = 1 THEN 'CLOSING' ELSE coalesce(last_value(sg IGNORE NULLS) {_CUM}, 'HEADER') END zone FROM z) SELECT d AS document_id, zone, count(*) AS n FROM y GROUP BY 1, 2""",
+    "q_document_types": _OCR + f""", ft AS (SELECT d, coalesce(arg_min(CASE WHEN page = 1 AND regexp_matches(k, '{_TITLE}') THEN k END, CASE WHEN page = 1 AND regexp_matches(k, '{_TITLE}') THEN ln END), '') title, count(*) FILTER (kind = 'article' AND ok) articles, count(*) FILTER (regexp_matches(k, '^\\s*can cu')) legal, count(*) FILTER (regexp_matches(k, '^\\s*ben (?:[ab]|thu (?:nhat|hai))')) parties,
+        {", ".join(f"bool_or(regexp_matches(k, '{r}')) t{i}" for i, r in enumerate(_TEXT_RULES))} FROM ca GROUP BY 1), gt AS (SELECT d, list_sort(list_zip(flatten([{_TYPE_SCORES}]), [{_TYPE_NAMES}]), 'DESC') o FROM ft)
+        SELECT d AS document_id, CASE WHEN o[1][1] >= {O.MIN_SCORE} AND o[1][1] - o[2][1] >= {O.MIN_MARGIN} THEN o[1][2] ELSE 'UNKNOWN' END AS doc_type, o[1][1]::DOUBLE AS score FROM gt""",
+    "q_document_titles": _OCR + """, gt AS (SELECT *, CASE WHEN bt = 'title' THEN 0.4 ELSE 0 END + CASE WHEN up >= 0.75 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(k, '^\\s*(?:quyet dinh|to trinh|hop dong|cong van|thong bao|bien ban|ke hoach)') THEN 0.5 ELSE 0 END - CASE WHEN regexp_matches(k, 'cong hoa xa hoi|doc lap') THEN 1.0 ELSE 0 END sc2 FROM ca WHERE page = 1),
+        h AS (SELECT d, x FROM gt WHERE round(sc2, 6) >= 0.5 QUALIFY row_number() OVER (PARTITION BY d ORDER BY round(sc2, 6) DESC, ln) = 1), m AS (SELECT lower(id) id, min(summary) summary FROM doc_meta GROUP BY 1) SELECT coalesce(m.id, h.d) AS document_id, coalesce(x, nullif(trim(summary), '')) AS title FROM m FULL JOIN h ON m.id = h.d""",
+    "q_outline_audit": _OCR + _LEVEL + """, a AS (SELECT d, count(*) AS spans, count(*) FILTER (kind <> 'plain_paragraph' AND ok) AS accepted, count(*) FILTER (kind <> 'plain_paragraph' AND NOT ok) AS rejected, """ + ", ".join(f"count(*) FILTER (reason = '{r}') AS rejected_{r}" for r in ("inline_reference", "legal_reference", "sentence_continuation", "numeric_value", "page_number", "table", "low_score")) + ", " + ", ".join(f"count(*) FILTER (ok AND kind = '{k}') AS {k}s" for k in ("article", "clause_word", "point_word", "annex", "style_heading")) + """ FROM ca GROUP BY 1),
+        lb AS (SELECT d, count(*) FILTER (level IS NULL) AS orphans, """ + ", ".join(f"count(*) FILTER (level = {i}) AS level_{i}" for i in range(6)) + " FROM l2 GROUP BY 1) SELECT a.d AS document_id, a.* EXCLUDE (d), coalesce(orphans, 0) AS orphans, " + ", ".join(f"coalesce(level_{i}, 0) AS level_{i}" for i in range(6)) + " FROM a LEFT JOIN lb ON a.d = lb.d",
+    "q_boundary_scores": _OCR + f""", gold AS (SELECT DISTINCT d, seq ln FROM s0 WHERE regexp_matches(x, '{_ARTICLE}')), pred AS (SELECT DISTINCT d, ln FROM ca WHERE ok AND kind = 'article'), n AS (SELECT count(*) FILTER (g.d IS NOT NULL AND p.d IS NOT NULL) AS tp, count(*) FILTER (g.d IS NULL) AS fp, count(*) FILTER (p.d IS NULL) AS fn FROM gold g FULL JOIN pred p ON g.d = p.d AND g.ln = p.ln),
+        r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END re FROM n) SELECT tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, round(CASE WHEN tp + fp > 0 THEN fp / (tp + fp) ELSE 0 END, 6) AS false_split_rate FROM r""",
     "q_graph_nodes": " UNION ".join(f"SELECT '{label}' AS label, {key} AS id FROM doc_meta WHERE {key} IS NOT NULL" for label, (key, _) in G.LABELS.items()),
     "q_graph_edges": " UNION ".join(f"SELECT {G.LABELS[a][0]} AS src, '{r}' AS relation, {G.LABELS[b][0]} AS dst FROM doc_meta WHERE {G.LABELS[a][0]} IS NOT NULL AND {G.LABELS[b][0]} IS NOT NULL" for r, (a, b) in G.RELATIONS.items()),
     "q_semantic_nodes": f"SELECT 'Person' AS label, person_id AS id, max(person) AS name FROM {_M} GROUP BY 2 UNION ALL SELECT 'Event', event_id, max(event_type) FROM {_M} WHERE event_id IS NOT NULL GROUP BY 2",
