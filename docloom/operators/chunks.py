@@ -95,6 +95,22 @@ def markdown(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n").alias("markdown"))
 
 
+def together(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Parents and children as one table; columns that one side lacks are null there."""
+    return parents.unionByName(children, allowMissingColumns=True)
+
+
+def debug_json(parents: DataFrame, children: DataFrame, meta: DataFrame) -> DataFrame:
+    """document_id and one JSON text for inspection: the document's metadata, statistics, parents and children in order."""
+    stats = children.groupBy("document_id").agg(F.count(F.lit(1)).alias("child_count"), F.round(F.avg("token_count"), 4).alias("average_child_tokens"), F.max("token_count").alias("max_child_tokens"), F.count_if(F.coalesce(F.col("how"), F.lit("")) == "token_window").alias("fallback_token_splits"), F.array_sort(F.collect_list(F.struct("chunk_index", *(c for c in children.columns if c not in ("document_id", "chunk_index"))))).alias("children"))
+    above = parents.groupBy("document_id").agg(F.count(F.lit(1)).alias("parent_count"), F.array_sort(F.collect_list(F.struct("chunk_id", *(c for c in parents.columns if c not in ("document_id", "chunk_id"))))).alias("parents"))
+    about = M.by_id(meta).withColumnRenamed("key", "_k")
+    rows = stats.join(above, "document_id", "full").join(about, F.lower("document_id") == F.col("_k"), "left")
+    document = F.struct(*(c for c in about.columns if c != "_k"))
+    whole = F.struct(document.alias("document"), F.struct(F.coalesce("parent_count", F.lit(0)).alias("parent_count"), F.coalesce("child_count", F.lit(0)).alias("child_count"), "average_child_tokens", "max_child_tokens", "fallback_token_splits").alias("statistics"), "parents", "children")
+    return rows.select("document_id", F.to_json(whole).alias("value"))
+
+
 def points(children: DataFrame, vector: str | None = None) -> DataFrame:
     """id, vector and payload columns of the children that get a vector."""
     cols = ["document_id", "chunk_id", "parent_id", "chunk_index", "unit_type", "retrieval_text", "token_count"]

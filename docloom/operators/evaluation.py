@@ -82,3 +82,8 @@ def length_statistics(rows: DataFrame, group: list[str], column: str) -> DataFra
     q = F.percentile(column, F.array(*(F.lit(x) for x in (0.5, 0.75, 0.9, 0.95, 0.99))))
     stats = rows.groupBy(*group).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most"), q.alias("q"))
     return stats.select(*group, "n", "mean", "std", "least", "most", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((50, 75, 90, 95, 99))))
+
+
+def ranked_report(rates: DataFrame, *by: str) -> DataFrame:
+    """Error rates with their place, the least first: ordered by the numbers, not by their written form."""
+    return rates.withColumn("place", F.row_number().over(Window.orderBy(*by)))  # a row an engine or type

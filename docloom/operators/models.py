@@ -116,3 +116,42 @@ def recognise(images: DataFrame, engine: Callable[[bytes], list[dict]], name: st
 def best_reading(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Of several readings the one of the best score; ties by the engine's name, then by the text."""
     return lines.groupBy(*keys).agg(F.max_by(F.struct("text", "model", "score"), F.struct(F.coalesce("score", F.lit(-1.0)), "model", "text")).alias("b")).select(*keys, "b.*")
+
+
+def http_detector(url: str, seconds: float = 60.0) -> Factory:
+    """A client of a layout detection service: each page image is posted, the service answers with the layout as JSON."""
+
+    def make() -> Callable[[list], list]:
+        from urllib import request
+
+        def detect(images: list) -> list:
+            out = []
+            for image in images:
+                if image is None:
+                    out.append(None)
+                    continue
+                mark = b"docloom-page"
+                body = b"--" + mark + b'\r\nContent-Disposition: form-data; name="file"; filename="page.png"\r\nContent-Type: image/png\r\n\r\n' + image + b"\r\n--" + mark + b"--\r\n"
+                asked = request.Request(url, body, {"Content-Type": "multipart/form-data; boundary=docloom-page"})  # noqa: S310 - the address is the caller's
+                with request.urlopen(asked, timeout=seconds) as answer:  # noqa: S310
+                    out.append(answer.read().decode())
+            return out
+
+        return detect
+
+    return make
+
+
+def layouts(images: DataFrame, name: str, factory: Factory) -> DataFrame:
+    """rec_id, page_key and payload (JSON, for ``shred``) of each page image by a detector."""
+    keyed = images.withColumn("page_key", F.concat_ws("#", "path", F.col("page_number").cast("string")))
+    return applied(keyed, "page_key", "image", "payload", "string", pa.string(), f"layout-{name}", factory).select(F.xxhash64("page_key").alias("rec_id"), "page_key", "payload")
+
+
+def benchmark(prompts: DataFrame, key: str, prompt: str, models: dict[str, Factory], most: int = 512) -> DataFrame:
+    """``generate`` for each model in turn: every prompt has a row of every model."""
+    made = [generate(prompts, key, prompt, name, factory, most) for name, factory in models.items()]
+    out = made[0]
+    for rows in made[1:]:
+        out = out.unionByName(rows)
+    return out

@@ -142,3 +142,62 @@ def semantic(sentences: DataFrame, key: str, order: str, text: str, vector: str,
     grouped = marked.withColumn("chunk_index", F.sum("_break").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return grouped.groupBy(key, "chunk_index").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("chunk"))
+
+
+def packed(pieces: DataFrame, key: str, order: str, text: str, least: int, most: int) -> DataFrame:
+    """key, chunk_index, chunk, n_tokens: pieces (of ``semantic``) of at least ``least`` tokens where that is possible within ``most``.
+
+    A piece beyond ``most`` is cut at its separators, and a run without any by
+    words; a piece below ``least`` joins the one before if both fit.
+    """
+    from docloom.operators.packing import count_tokens, windows
+
+    kind = pieces.select(F.col(key)).dtypes[0][1]
+
+    def cut_up(whole: str) -> list[str]:
+        if count_tokens(whole) <= most:
+            return [whole] if whole.strip() else []
+        for separator in SEPARATORS:
+            parts = [p for p in whole.split(separator) if p.strip()]
+            if len(parts) > 1:
+                out: list[str] = []
+                for part in (p for x in parts for p in cut_up(x)):
+                    if out and count_tokens(out[-1]) + count_tokens(separator) + count_tokens(part) <= most:
+                        out[-1] += separator + part
+                    else:
+                        out.append(part)
+                return out
+        return windows(whole, most, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(owner: object, texts: list[str]) -> list[tuple]:
+            out: list[str] = []
+            for piece in (p for t in texts for p in cut_up(t)):
+                small = out and (count_tokens(piece) < least or count_tokens(out[-1]) < least)
+                if small and count_tokens(out[-1]) + count_tokens(piece) <= most:
+                    out[-1] = f"{out[-1]} {piece}"
+                else:
+                    out.append(piece)
+            return [(owner, i, p, count_tokens(p)) for i, p in enumerate(out)]
+
+        def batch_of(rows: list[tuple], owners: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (owners, pa.int32(), pa.string(), pa.int32()))], names=["key", "chunk_index", "chunk", "n_tokens"])
+
+        current, held, made, owners = None, [], [], pa.string()
+        for batch in batches:
+            owners = batch.schema.field(0).type
+            for owner, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and owner != current:
+                    made += close(current, held)
+                    held = []
+                current = owner
+                held.append(piece)
+            if len(made) > 5000:
+                yield batch_of(made, owners)
+                made = []
+        yield batch_of(made + (close(current, held) if held else []), owners)
+
+    width = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(order).alias("o")).repartition(width, "key").sortWithinPartitions("key", "o").select("key", "t")
+    return rows.mapInArrow(run, f"key {kind}, chunk_index int, chunk string, n_tokens int").withColumnRenamed("key", key)

@@ -109,3 +109,25 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Rows of language model runs."""
     return spark.read.schema("model string, prompt_path string, input_tokens long, generated_tokens long, latency_sec double, answer string, gen_kwargs map<string,string>").json(path)
+
+
+def with_names(rows: DataFrame) -> DataFrame:
+    """Rows of a source that gives no column names, or blank ones, under col1, col2, …"""
+    return rows.toDF(*(f"col{i}" if not name.strip() or name == f"_c{i - 1}" else name for i, name in enumerate(rows.columns, 1)))
+
+
+def object_store(spark: SparkSession) -> bool:
+    """Points Hadoop's s3a files at the store named by DOCLOOM_S3_ENDPOINT, _ACCESS_KEY, _SECRET_KEY and _SECURE; False, and nothing done, without an endpoint."""
+    endpoint = os.environ.get("DOCLOOM_S3_ENDPOINT")
+    if not endpoint:
+        return False
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    settings = {"endpoint": endpoint, "access.key": os.environ.get("DOCLOOM_S3_ACCESS_KEY", ""), "secret.key": os.environ.get("DOCLOOM_S3_SECRET_KEY", ""), "path.style.access": "true", "connection.ssl.enabled": os.environ.get("DOCLOOM_S3_SECURE", "false").lower()}
+    for name, value in settings.items():
+        conf.set(f"fs.s3a.{name}", value)
+    return True
+
+
+def download_report(rows: DataFrame) -> DataFrame:
+    """Of rows of ``objects_of``: how many there are, and how many objects were and weren't found."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("found").alias("found"), F.count_if(~F.col("found")).alias("missing"))

@@ -46,17 +46,51 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-def upsert_into(stream: DataFrame, path: str, key: list[str], newest: list[str], checkpoint: str):
-    """A running query that keeps one row a key, the newest, in a folder; a batch that is run again changes nothing."""
+#: parts by key of a table that a stream keeps up to date
+PARTS = 64
+
+
+def upsert_into(stream: DataFrame, path: str, key: list[str], newest: list[str], checkpoint: str, parts: int = PARTS):
+    """A running query that keeps one row a key, the newest, in a folder; a batch that is run again changes nothing.
+
+    Keys are spread over ``parts`` folders; a batch writes a new version of those
+    it touches only. Versions go on from what is there, so a new checkpoint
+    doesn't go back over older ones.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        target, spark = f"{path}/v{number}", batch.sparkSession
-        old = f"{path}/v{number - 1}"
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(old)
-        rows = batch
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            rows = spark.read.parquet(old).unionByName(batch, allowMissingColumns=True)
-        upsert(rows, key, newest).write.mode("overwrite").parquet(target)
+        spark = batch.sparkSession
+        rows = batch.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).persist()
+        try:
+            touched = sorted(r[0] for r in rows.select("_part").distinct().collect())  # at most ``parts``
+            have = versions(spark, path)
+            for part in touched:
+                mine = rows.where(F.col("_part") == part).drop("_part")
+                if part in have:
+                    mine = spark.read.parquet(f"{path}/part={part}/v={have[part]}").unionByName(mine, allowMissingColumns=True)
+                upsert(mine, key, newest).write.mode("overwrite").parquet(f"{path}/part={part}/v={have.get(part, -1) + 1}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).start()
+
+
+def versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """The newest whole version of each part of a kept table."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/v=*/_SUCCESS")) or []
+    out: dict[int, int] = {}
+    for item in found:
+        part, version = (int(x.rpartition("=")[2]) for x in str(item.getPath().getParent()).rsplit("/", 2)[1:])
+        out[part] = max(version, out.get(part, -1))
+    return out
+
+
+def read_kept(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a kept table: the newest version of every part."""
+    have = versions(spark, path)
+    if not have:
+        raise ValueError(f"nothing was written to {path}")
+    return spark.read.parquet(*(f"{path}/part={part}/v={version}" for part, version in sorted(have.items())))
