@@ -10,6 +10,7 @@ from docloom.operators import layout as L
 from docloom.operators import outline as O
 from docloom.operators import shred
 from docloom.operators import structure as S
+from docloom.plans import nested as N
 from docloom.plans.structure import _ARTICLE, _TREE
 from docloom.plans.universal import _CAND, _LEVEL, _key
 from docloom.session import cut, table as t
@@ -148,7 +149,24 @@ _RULE = {"articles": "articles >= 2", "legal": "legal >= 2", "parties": "parties
 _TYPE_SCORES = ", ".join("[" + " + ".join(f"CASE WHEN {_RULE.get(what) or (f'regexp_matches(title, $${rule}$$)' if what == 'title' else f't{_TEXT_RULES.index(rule)}')} THEN {weight} ELSE 0 END" for weight, what, rule in rules) + "]" for rules in O.TYPE_RULES.values())
 _TYPE_NAMES = ", ".join(f"'{k}'" for k in O.TYPE_RULES)
 _CUM = "OVER (PARTITION BY d ORDER BY ln)"
+_AREA = "greatest(0, {0}[3] - {0}[1]) * greatest(0, {0}[4] - {0}[2])"
+_SHARED = "greatest(0, least({0}[3], {1}[3]) - greatest({0}[1], {1}[1])) * greatest(0, least({0}[4], {1}[4]) - greatest({0}[2], {1}[2]))"
+_WHOLE = f"({_AREA.format('{0}')} + {_AREA.format('{1}')} - {_SHARED})"
+_SIDE = lambda names: "list_filter([" + ", ".join(f"CASE WHEN {N._NUMBER.format(f'(page->{n!r})')} > 0 THEN {N._NUMBER.format(f'(page->{n!r})')} END" for n in names) + "], lambda v: v IS NOT NULL)[1]"
+_EDGE = ", ".join(f"greatest(0, least({side}::BIGINT, round_even(box[{i}], 0)::BIGINT))::DOUBLE" for i, side in ((1, "trunc(w)"), (2, "trunc(h)"), (3, "trunc(w)"), (4, "trunc(h)")))
+_PRIORITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.PRIORITY.items()) + " ELSE 99 END"
+_BOXED = "SELECT DISTINCT ON (line_key) line_key, upper(document_id) d, page_number p, list_min(list_transform(poly, lambda p: p[1])) x1, list_min(list_transform(poly, lambda p: p[2])) y1, list_max(list_transform(poly, lambda p: p[1])) x2, list_max(list_transform(poly, lambda p: p[2])) y2 FROM page_vietocr_results WHERE poly IS NOT NULL"
 SQL = {
+    "q_iou_pairs": N.BLOCKS + f"SELECT x.rec_id, x.page_pos, x.path AS a, y.path AS b FROM k x JOIN k y ON x.rec_id IS NOT DISTINCT FROM y.rec_id AND x.page_pos = y.page_pos AND x.path < y.path WHERE {_WHOLE.format('x.box', 'y.box')} > 0 AND {_SHARED.format('x.box', 'y.box')} / {_WHOLE.format('x.box', 'y.box')} >= 0.3",
+    "q_layout_standard": N.BLOCKS + f""", ps AS (SELECT rec_id, page_pos, {_SIDE(shred.WIDTH_NAMES)} w, {_SIDE(shred.HEIGHT_NAMES)} h FROM g), l0 AS (SELECT k.rec_id, k.page_pos, path, rank::INT rk, score, [{_EDGE}] box, regexp_replace(lower(coalesce(label, 'plain text')), '[ -]', '_', 'g') kind FROM k JOIN ps ON k.rec_id = ps.rec_id AND k.page_pos = ps.page_pos WHERE box IS NOT NULL AND w > 0 AND h > 0),
+        l1 AS (SELECT *, row_number() OVER (PARTITION BY rec_id, page_pos ORDER BY path) AS n FROM l0 WHERE {_AREA.format('box')} >= 200 AND kind <> 'abandon'), e AS (SELECT x.rec_id, x.page_pos, x.n a, y.n b FROM l1 x JOIN l1 y ON x.rec_id = y.rec_id AND x.page_pos = y.page_pos AND x.n <> y.n WHERE {_WHOLE.format('x.box', 'y.box')} > 0 AND {_SHARED.format('x.box', 'y.box')} >= 0.9 * {_WHOLE.format('x.box', 'y.box')}),
+        c AS (SELECT rec_id, page_pos, n a, n b FROM l1 UNION SELECT c.rec_id, c.page_pos, c.a, e.b FROM c JOIN e ON c.rec_id = e.rec_id AND c.page_pos = e.page_pos AND c.b = e.a), cl AS (SELECT rec_id, page_pos, a n, min(b) cluster FROM c GROUP BY 1, 2, 3),
+        m AS (SELECT l1.*, cluster FROM l1 JOIN cl ON l1.rec_id = cl.rec_id AND l1.page_pos = cl.page_pos AND l1.n = cl.n QUALIFY row_number() OVER (PARTITION BY l1.rec_id, l1.page_pos, cluster ORDER BY {_PRIORITY}, coalesce(score, 1.0) DESC, l1.n) = 1),
+        o AS (SELECT * FROM m WHERE NOT (kind IN ({", ".join(f"'{k}'" for k in L.INSIDE_TABLE)}) AND EXISTS (SELECT 1 FROM m t WHERE t.kind = 'table' AND t.rec_id = m.rec_id AND t.page_pos = m.page_pos AND {_AREA.format('m.box')} > 0 AND {_SHARED.format('t.box', 'm.box')} / ({_AREA.format('m.box')}) >= 0.9)))
+        SELECT rec_id, page_pos, path AS block_path, row_number() OVER (PARTITION BY rec_id, page_pos ORDER BY coalesce(rk, 1000000000), box[2], box[1], n)::INT AS id, upper(kind) AS label, upper(kind) NOT IN ({", ".join(f"'{k}'" for k in L.NOT_READ)}) AS ocr, array_to_string(list_transform(box, lambda v: v::BIGINT::VARCHAR), ',') AS bbox FROM o""",
+    "q_reading_lines": f"""WITH RECURSIVE b AS ({_BOXED}), f AS (SELECT *, row_number() OVER (PARTITION BY d, p ORDER BY y1, x1, line_key) AS n FROM b WHERE x2 - x1 >= 25 AND y2 - y1 BETWEEN 12 AND 260 AND (x2 - x1) * (y2 - y1) >= 300 AND NOT ((x1 < 8 OR y1 < 8 OR x2 > 2472 OR y2 > 3500) AND (x2 - x1 > 2108 OR y2 - y1 > 2981.8))),
+        r AS (SELECT d, p, n, line_key, x1, y1 AS first, 0 AS line FROM f WHERE n = 1 UNION ALL SELECT f.d, f.p, f.n, f.line_key, f.x1, CASE WHEN abs(f.y1 - r.first) > 18 THEN f.y1 ELSE r.first END, CASE WHEN abs(f.y1 - r.first) > 18 THEN r.line + 1 ELSE r.line END FROM r JOIN f ON f.d IS NOT DISTINCT FROM r.d AND f.p IS NOT DISTINCT FROM r.p AND f.n = r.n + 1)
+        SELECT d AS document_id, p AS page_number, line_key, line::INT AS line, (row_number() OVER (PARTITION BY d, p, line ORDER BY x1, n) - 1)::INT AS place FROM r""",
     "q_boundary_candidates": _OCR + " SELECT kind, ok AS accepted, count(*) AS n, round(avg(score), 4) AS mean_score FROM ca GROUP BY 1, 2",
     "q_outlines": _OCR + _LEVEL + ", pr AS (SELECT a.d, a.ln, max(b.ln) pa FROM l2 a LEFT JOIN l2 b ON a.d = b.d AND b.ln < a.ln AND b.level < a.level WHERE a.level IS NOT NULL GROUP BY 1, 2) SELECT l2.d AS document_id, l2.ln AS at, level, pa AS parent_at FROM l2 JOIN pr ON l2.d = pr.d AND l2.ln = pr.ln",
     "q_zones": _OCR + f""", z AS (SELECT *, CASE WHEN kind = 'annex' THEN 'ANNEX' WHEN regexp_matches(k, '^\\s*(?:noi nhan|hieu truong|giam doc|chu tich|kt\\.|tl\\.)') THEN 'CLOSING' WHEN kind IN ('article', 'chapter', 'part', 'section_word', 'primary_number', 'roman') THEN 'BODY' WHEN regexp_matches(k, '^\\s*can cu') THEN 'BODY' END sg FROM ca),
