@@ -39,7 +39,8 @@ def build(ocr: DataFrame, meta: DataFrame, budget: P.Budget = P.Budget(), weight
 
     Children have the retrieval text (context and body) and its token count,
     at most ``budget.most``; parents list their children. Documents without
-    metadata have less context. Blocks sent again count once.
+    metadata have less context. Blocks sent again count once. Cut ``children``
+    where they're used more than once.
     """
     blocks = cut(S.indexable(S.blocks_of(ocr)))
     units, _ = units_of(blocks, meta, weights)
@@ -47,7 +48,6 @@ def build(ocr: DataFrame, meta: DataFrame, budget: P.Budget = P.Budget(), weight
     contexts = units.groupBy("document_id", F.array_join("section_path", "\x1f").alias("_path")).agg(F.min("context").alias("context"))
     packs = P.child_chunks(P.pack_units(units, budget)).withColumn("_path", F.array_join("section_path", "\x1f")).join(contexts, ["document_id", "_path"], "left").drop("_path")
     children = packs.withColumn("retrieval_text", P.retrieval_text(F.coalesce("context", F.lit("")), F.col("text"))).withColumn("token_count", X.token_count("retrieval_text"))
-    children = cut(children)
     return P.linked(P.parent_chunks(units), children), children
 
 

@@ -30,10 +30,16 @@ UNIT_TYPES = {"article": "article_intro", "recipients": "recipient_item"}
 
 
 def blocks_of(ocr: DataFrame) -> DataFrame:
-    """OCR blocks in one vocabulary: document_id (lower case), page, idx, block_type, bbox, raw, norm, block_id, key. Sent-again rows count once."""
-    rows = ocr.dropDuplicates(["block_key"]).where("document_id is not null")
+    """OCR blocks in one vocabulary: document_id (lower case), page, idx, block_type, bbox, raw, norm, block_id, key. Sent-again rows count once.
+
+    Blocks without a document belong to no tree and are left out. The rows are
+    laid out by document once; what follows keeps that partitioning.
+    """
+    width = int(ocr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = ocr.where("document_id is not null").select("block_key", F.lower("document_id").alias("document_id"), "page_number", "block_index", "block_type", "bbox", "content_raw")
+    rows = given.repartition(width, "document_id").dropDuplicates(["document_id", "block_key"])
     return rows.select(
-        F.lower("document_id").alias("document_id"), F.coalesce(F.col("page_number"), F.lit(1)).alias("page"), F.coalesce(F.col("block_index"), F.lit(0)).alias("idx"), X.block_type("block_type").alias("block_type"), "bbox",
+        "document_id", F.coalesce(F.col("page_number"), F.lit(1)).alias("page"), F.coalesce(F.col("block_index"), F.lit(0)).alias("idx"), X.block_type("block_type").alias("block_type"), "bbox",
         F.coalesce(F.col("content_raw"), F.lit("")).alias("raw"), X.tidy_plain("content_raw").alias("norm"), F.col("block_key").alias("key"),
     ).withColumn("block_id", I.block_id("page", "idx"))
 
@@ -138,17 +144,16 @@ def tree(blocks: DataFrame) -> DataFrame:
     ))
     rows = rows.withColumn("section_path", titles)
     title = F.coalesce("_label", F.when(is_type("decision_heading"), "QUYẾT ĐỊNH").when(is_type("recipients"), "Nơi nhận").when(is_type("signature"), "Chữ ký").when(is_type("table"), "Bảng"))
-    grouped = rows.groupBy("document_id", "ordinal").agg(
-        F.min_by("node_type", "seq").alias("node_type"), F.min_by(title, "seq").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
-        F.min_by("block_id", "seq").alias("block_id"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_id"))), lambda x: x["block_id"])).alias("blocks"), F.min_by("_above", "seq").alias("above"), F.min_by("section_path", "seq").alias("section_path"), F.min("seq").alias("seq"), F.min_by("segment", "seq").alias("segment"),
-    )
-    virtual = rows.select("document_id", F.explode(F.array(F.struct(F.col("_pre_at").alias("ordinal"), F.lit("preamble").alias("t"), F.lit("Phần căn cứ").alias("title")), F.struct(F.col("_meta_at").alias("ordinal"), F.lit("metadata").alias("t"), F.lit("Thông tin văn bản").alias("title")))).alias("v"), "page", "seq")
-    first = virtual.where("v.ordinal is not null").groupBy("document_id", F.col("v.ordinal").alias("ordinal"), F.col("v.t").alias("node_type"), F.col("v.title").alias("title")).agg(F.max(F.lit(1)).alias("_"))
-    places = grouped.select("document_id", F.col("ordinal").alias("_next"), "page_start", "seq")
-    made = first.join(places, (first.document_id == places.document_id) & (F.col("_next") == F.col("ordinal") + 1)).select(
-        first.document_id, "ordinal", "node_type", "title", F.lit("").alias("text"), "page_start", F.col("page_start").alias("page_end"), F.lit(None).cast("string").alias("block_id"), F.array().cast("array<string>").alias("blocks"), F.array(F.lit(1)).alias("above"), F.array("title").alias("section_path"), "seq", F.lit(-1).alias("segment")
+    # a line makes a part of its node and, where it is the first of its kind, the virtual node before it
+    part = lambda ordinal, node, named, words, block, path, over, segment: F.struct(ordinal.cast("long").alias("ordinal"), node.alias("node_type"), named.alias("title"), words.alias("text"), "page", block.alias("block_id"), over.cast("array<bigint>").alias("above"), path.alias("section_path"), "seq", segment.cast("int").alias("segment"))
+    virtual = lambda first, ordinal, node, named: F.when(F.col("seq") == F.col(first), part(F.col(ordinal), F.lit(node), F.lit(named), F.lit(""), F.lit(None).cast("string"), F.array(F.lit(named)), root, F.lit(-1)))
+    own_part = part(F.col("ordinal"), F.col("node_type"), title, F.col("text"), F.col("block_id"), F.col("section_path"), F.col("_above"), F.col("segment"))
+    parts = F.array_compact(F.array(own_part, virtual("_preamble", "_pre_at", "preamble", "Phần căn cứ"), virtual("_metadata", "_meta_at", "metadata", "Thông tin văn bản")))
+    lines_of = F.array_sort(F.collect_list(F.struct("seq", "text", "block_id")))
+    nodes = rows.select("document_id", F.explode(parts).alias("_p")).select("document_id", "_p.*").groupBy("document_id", "ordinal").agg(
+        F.min_by("node_type", "seq").alias("node_type"), F.min_by("title", "seq").alias("title"), F.array_join(F.transform(lines_of, lambda x: x["text"]), "\n").alias("text"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
+        F.min_by("block_id", "seq").alias("block_id"), F.array_distinct(F.array_compact(F.transform(lines_of, lambda x: x["block_id"]))).alias("blocks"), F.min_by("above", "seq").alias("above"), F.min_by("section_path", "seq").alias("section_path"), F.min("seq").alias("seq"), F.min_by("segment", "seq").alias("segment"),
     )
-    nodes = grouped.unionByName(made)
     name = F.concat_ws(":", F.lit("v2:node"), "node_type", F.coalesce("block_id", F.concat(F.lit("virtual-"), F.col("ordinal").cast("string"))), F.col("ordinal").cast("string"))
     return nodes.select("document_id", "ordinal", I.stable_id("document_id", name).alias("node_id"), "node_type", "title", "text", "page_start", "page_end", "block_id", "blocks", F.element_at("above", -1).alias("parent_ordinal"), F.concat("above", F.array("ordinal")).alias("ancestors"), "section_path", "seq", "segment")
 
