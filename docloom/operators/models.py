@@ -36,8 +36,8 @@ def hashing_embedder(dimension: int = 64) -> Factory:
             if word not in known:
                 if len(known) > 200_000:
                     known.clear()
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                known[word] = (h % dimension, 1.0 if h >> 63 else -1.0)
+                h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                known[word] = (int(h[:8], 16) % dimension, 1.0 if int(h[8], 16) > 7 else -1.0)
             return known[word]
 
         def embed(texts: list) -> list:

@@ -60,6 +60,29 @@ def legacy_split(s: SparkSession, d: str) -> DataFrame:
     return P.articles_v1(_docs(s, d), "doc_id", "text").select("doc_id", "chunk_index", "chunk_type", F.md5("chunk").alias("h"))
 
 
+def legacy_points(s: SparkSession, d: str) -> DataFrame:
+    """The ids of the first index's points: one a chunk, within the namespace of its document."""
+    from docloom.operators.chunks import legacy_point_id
+
+    return P.articles_v1(_docs(s, d), "doc_id", "text").select("doc_id", "chunk_index", legacy_point_id(F.col("doc_id").cast("string"), F.col("chunk_index")).alias("point_id"))
+
+
+def experiment_ids(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "documents", "doc_id", "source", "doc_type", "n_chars").select("doc_id", I.experiment_id(F.coalesce("source", F.lit("none")), F.coalesce("doc_type", F.lit("none")), F.col("n_chars")).alias("experiment_id"))
+
+
+def error_report(s: SparkSession, d: str) -> DataFrame:
+    """The error rates by block type, the least first."""
+    return E.ranked_report(recognition(s, d), "cer", "wer", "block_type").select("place", "block_type", "cer", "wer")
+
+
+def chunk_union(s: SparkSession, d: str) -> DataFrame:
+    from docloom.operators.chunks import together
+
+    rows = t(s, d, "chunk", "chunk_key", "chunk_id", "parent_id", "record_type").distinct()
+    return together(rows.where("record_type = 'parent'").drop("parent_id"), rows.where("record_type = 'child'")).select("chunk_key", "chunk_id", "parent_id", "record_type")
+
+
 def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
     return P.fixed(_docs(s, d), "doc_id", "text", 64, 16).select("doc_id", "chunk_index", F.md5("chunk").alias("h"))
 
@@ -107,7 +130,7 @@ def jaccard(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "q_norm_ws": norm_ws, "q_nfc": nfc, "q_v1_clean": clean_v1, "q_quality_score": quality, "q_line_filter": line_filter, "q_compact_text": compact_text, "q_slug": slugs, "q_word_tokens": word_tokens, "q_uuid5": uuid5, "q_fingerprints": fingerprints,
     "q_legacy_split": legacy_split, "q_fixed_chunks": fixed_chunks, "q_sized_chunks": sized_chunks, "q_recursive_chunks": recursive_chunks, "q_logical_spans": logical_spans, "q_block_types": chunk_types, "q_props_json": props_json, "q_cer": cer, "q_wer": recognition,
-    "q_jaccard": jaccard,
+    "q_jaccard": jaccard, "q_legacy_points": legacy_points, "q_experiment_ids": experiment_ids, "q_error_report": error_report, "q_chunk_union": chunk_union,
 }
 
 _B = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}"
@@ -155,3 +178,11 @@ SQL = {
         w AS (SELECT {_TYPE} AS block_type, round(CASE WHEN sum(wn) > 0 THEN sum(wd) / sum(wn) ELSE 0 END, 6) AS wer FROM ({_SPELT}) GROUP BY 1) SELECT c.block_type, lines, cer, wer, line_accuracy FROM c JOIN w ON c.block_type = w.block_type""",
     "q_jaccard": f"SELECT block_key, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS jaccard FROM (SELECT block_key, list_distinct({_WORDS.replace('@', 'a')}) x, list_distinct({_WORDS.replace('@', 'b')}) y FROM ({_PAIR}))",
 }
+_U5 = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || translate(substr({0}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({0}, 18, 3) || '-' || substr({0}, 21, 12)"
+_SPACE = f"replace({_U5.format('n')}, '-', '')"
+SQL |= {
+    "q_legacy_points": f"""WITH c AS ({SQL["q_legacy_split"]}), k AS (SELECT doc_id, chunk_index, sha1(from_hex('{I.URL_NAMESPACE}') || encode(doc_id::VARCHAR)) n FROM c), g AS (SELECT doc_id, chunk_index, sha1(from_hex({_SPACE}) || encode('chunk-' || chunk_index)) h FROM k) SELECT doc_id, chunk_index, {_U5.format("h")} AS point_id FROM g""",
+    "q_experiment_ids": "SELECT doc_id, concat_ws('__', coalesce(source, 'none'), coalesce(doc_type, 'none'), n_chars::VARCHAR) AS experiment_id FROM documents",
+    "q_error_report": f"SELECT (row_number() OVER (ORDER BY cer, wer, block_type))::INT AS place, block_type, cer, wer FROM ({SQL['q_wer']})",
+    "q_chunk_union": "SELECT DISTINCT chunk_key, chunk_id, CASE WHEN record_type = 'child' THEN parent_id END AS parent_id, record_type FROM chunk WHERE record_type IN ('parent', 'child')",
+}

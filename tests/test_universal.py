@@ -102,3 +102,19 @@ def test_contexts_and_prompts(spark):
     p = df.limit(1).select(Q.prompt("answer", F.lit("{question} a"), F.lit("hỏi {context}")).alias("p")).first().p
     assert "{question} a" in p and "hỏi {context}" in p
     assert df.limit(1).select(Q.embedding_text(F.lit("a"), F.lit(None), F.lit("b"), F.lit("c"), F.lit("d")).alias("t")).first().t == "Văn bản: a\nSố: \nCơ quan ban hành: b\nNgày: c\n\nNội dung:\nd"
+
+
+def test_routes_of_versions_payloads_and_answers(spark):
+    from docloom.operators import chunks as C
+    from docloom.operators import retrieval as R
+
+    children = spark.createDataFrame([("d1", "c1", 0, "clause", 1, 2, 9, ["A"], "chữ")], "document_id string, chunk_id string, chunk_index int, unit_type string, page_start int, page_end int, token_count int, section_path array<string>, text string")
+    fallback = children.withColumn("chunk_id", F.lit("f")).unionByName(children.withColumn("document_id", F.lit("d2")).withColumn("chunk_id", F.lit("g"))).withColumn("source", F.lit("v1_fallback"))
+    assert {(r.chunk_id, r.source) for r in C.by_version(children, children, fallback).collect()} == {("c1", "v2"), ("g", "v1_fallback")}
+    assert [r.source for r in C.by_version(children, children, None).collect()] == ["v2"]
+    meta = spark.createDataFrame([("D1", "1/QĐ", "An", "x", "2020")], "id string, doc_no string, author string, summary string, datedocument string")
+    payload = C.payload(children, meta).first().payload
+    assert payload["doc_no"] == "1/QĐ" and payload["chunk_index"] == "0" and payload["document_id"] == "d1"
+    assert C.markdown(children).first().markdown == "## A\n\nchữ"
+    hits = spark.createDataFrame([(1,)], "rank int")
+    assert R.answerable(hits, F.lit("PERSON_ONLY")).first().answerable and not R.answerable(hits, F.lit("VECTOR_ONLY")).first().answerable and not R.answerable(hits.limit(0), F.lit("PERSON_ONLY")).first().answerable
