@@ -42,56 +42,87 @@ class Limits:
 
 def _penalties(text: str, starts: np.ndarray, ends: np.ndarray, at: Limits) -> np.ndarray:
     """Of a cut after each token."""
-    out = np.empty(len(starts))
-    for i in range(len(starts) - 1):
-        gap, last = text[ends[i] : starts[i + 1]], text[ends[i] - 1]
-        if not gap:
-            out[i] = at.inside
-        elif "\n" in gap:
-            out[i] = at.paragraph if gap.count("\n") > 1 else at.line if last in ".!?…;:。" else at.clause
-        elif last in ".!?…。！？।៕។":
-            out[i] = at.sentence
-        elif last in ",;:)]”»":
-            out[i] = at.clause
-        else:
-            out[i] = at.blank
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    breaks = np.concatenate([[0], np.cumsum(codes == 10)])
+    lines = breaks[starts[1:]] - breaks[ends[:-1]]
+    last = codes[ends[:-1] - 1]
+    among = lambda marks: np.isin(last, [ord(c) for c in marks])
+    out = np.full(len(starts), at.blank)
+    inner = np.select(
+        [starts[1:] == ends[:-1], lines > 1, (lines == 1) & among(".!?…;:。"), lines == 1, among(".!?…。！？।៕។"), among(",;:)]”»")],
+        [at.inside, at.paragraph, at.line, at.clause, at.sentence, at.clause], at.blank,
+    )
+    out[:-1] = inner
     out[-1] = 0
     return out
 
 
+#: cells of the tables of one run of the programme
+CELLS = 4_000_000
+
+
 def cuts(text: str, at: Limits = Limits()) -> list[tuple[int, int, int]]:
     """start, end and token count (with the extra ones) of each piece of a text; a text within the limit is one piece."""
-    n = len(TOKEN.findall(text))
-    if n + at.extra <= at.most:
-        return [(0, len(text), n + at.extra)]
-    spans = np.array([m.span() for m in TOKEN.finditer(text)], dtype=np.int64)
-    starts, ends = spans[:, 0], spans[:, 1]
+    return cuts_of([text], at)[0]
+
+
+def cuts_of(texts: list[str], at: Limits = Limits()) -> list[list[tuple[int, int, int]]]:
+    """``cuts`` of several texts; the long ones go through the programme side by side, token by token."""
+    out: list[list[tuple[int, int, int]]] = []
+    long: list[tuple[int, np.ndarray]] = []
+    for row, text in enumerate(texts):
+        n = len(TOKEN.findall(text))
+        out.append([(0, len(text), n + at.extra)])
+        if n + at.extra > at.most:
+            long.append((row, np.array([m.span() for m in TOKEN.finditer(text)], dtype=np.int64)))
+    long.sort(key=lambda x: -len(x[1]))
+    low = 0
+    while low < len(long):
+        high = low + max(1, CELLS // len(long[low][1]))
+        for (row, spans), ends in zip(long[low:high], _programme([(texts[r], spans) for r, spans in long[low:high]], at)):
+            pieces, previous = [], 0
+            for end in ends:
+                begin = max(0, previous - at.overlap) if previous else 0
+                pieces.append((int(spans[begin, 0]), int(spans[end - 1, 1]), end - begin + at.extra))
+                previous = end
+            out[row] = pieces
+        low = high
+    return out
+
+
+def _programme(texts: list[tuple[str, np.ndarray]], at: Limits) -> list[list[int]]:
+    """The token counts at which each text is cut best, its own last; texts with more tokens come first."""
+    sizes = np.array([len(spans) for _, spans in texts])
     room = at.most - at.extra
     step = room - at.overlap
-    count = 1 + -(-(n - room) // step)
-    fair = max(1.0, (n + (count - 1) * at.overlap) / count)
-    penalty = _penalties(text, starts, ends, at) + at.each
+    count = 1 + -(-(sizes - room) // step)
+    fair = np.maximum(1.0, (sizes + (count - 1) * at.overlap) / count)[:, None]
+    penalty = np.zeros((len(texts), sizes[0]))
+    for i, (text, spans) in enumerate(texts):
+        penalty[i, : len(spans)] = _penalties(text, spans[:, 0], spans[:, 1], at) + at.each
     first = at.imbalance * ((np.arange(room + 1) - fair) / fair) ** 2
-    later = at.imbalance * ((np.arange(step + 1) + at.overlap - fair) / fair) ** 2
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
-    best[0] = 0
-    for j in range(1, n + 1):
-        i = max(1, j - step)
-        low, where = (first[j], 0) if j <= room else (np.inf, 0)
-        if i < j:
-            costs = best[i:j] + later[j - i : 0 : -1]
-            k = int(costs.argmin())
-            if costs[k] < low:
-                low, where = costs[k], i + k
-        best[j], back[j] = low + penalty[j - 1], where
-    ends_at = [n]
-    while ends_at[-1]:
-        ends_at.append(int(back[ends_at[-1]]))
-    out, previous = [], 0
-    for end in ends_at[-2::-1]:
-        begin = max(0, previous - at.overlap) if previous else 0
-        out.append((int(starts[begin]), int(ends[end - 1]), end - begin + at.extra))
-        previous = end
+    # the last column is the longest piece: cost of a piece that begins so many tokens before its end
+    later = (at.imbalance * ((np.arange(step + 1) + at.overlap - fair) / fair) ** 2)[:, :0:-1]
+    best = np.full((len(texts), step + sizes[0] + 1), np.inf)  # ``step`` columns of padding, then one a token count
+    back = np.zeros((len(texts), sizes[0] + 1), dtype=np.int64)
+    alive = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="right")  # texts with at least so many tokens
+    for j in range(1, sizes[0] + 1):
+        n = alive[j]
+        costs = best[:n, j : j + step] + later[:n]
+        where = costs.argmin(axis=1)
+        least = costs[np.arange(n), where]
+        where += j - step
+        if j <= room:
+            whole = first[:n, j] <= least
+            least, where = np.where(whole, first[:n, j], least), np.where(whole, 0, where)
+        best[:n, step + j] = least + penalty[:n, j - 1]
+        back[:n, j] = where
+    out = []
+    for i, size in enumerate(sizes.tolist()):
+        ends = [size]
+        while back[i, ends[-1]]:
+            ends.append(int(back[i, ends[-1]]))
+        out.append(ends[::-1])
     return out
 
 
@@ -109,12 +140,12 @@ def split(df: DataFrame, key: str = "chunk_key", text: str = "raw_text", path: s
         for batch in batches:
             rows: list[int] = []
             made: list[list] = [[], [], [], [], []]
-            for row, whole in enumerate(batch.column(1).to_pylist()):
-                if whole is None:
-                    continue
-                for index, (start, end, n) in enumerate(cuts(whole, limits)):
+            texts = batch.column(1).to_pylist()
+            there = [row for row, whole in enumerate(texts) if whole is not None]
+            for row, found in zip(there, cuts_of([texts[row] for row in there], limits)):
+                for index, (start, end, n) in enumerate(found):
                     rows.append(row)
-                    for column, item in zip(made, (index, start, end, n, whole[start:end])):
+                    for column, item in zip(made, (index, start, end, n, texts[row][start:end])):
                         column.append(item)
             taken = pa.array(rows, pa.int64())
             types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
