@@ -176,7 +176,8 @@ def _columns(made: list[dict[str, tuple[list[int], list[int], list[str | None]]]
     held = [c for record in made for c in record.values()]
     flat = lambda i: chain.from_iterable(c[i] for c in held)
     ends = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in held])]).astype(np.int32))
-    parts = [pa.ListArray.from_arrays(ends, pa.array(list(flat(i)), t)) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+    numbers = lambda i: pa.array(np.fromiter(flat(i), dtype=np.int32))
+    parts = [pa.ListArray.from_arrays(ends, x) for x in (numbers(0), numbers(1), pa.array(list(flat(2)), pa.string()))]
     chunks = pa.StructArray.from_arrays([pa.array([p for record in made for p in record], pa.string()), *parts], fields=list(CHUNK))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(record) for record in made])]).astype(np.int32)), chunks)
 
@@ -276,6 +277,22 @@ class Chunks:
         bounds = np.concatenate([[0], ends])[cuts].tolist()
         return cls({path: _Column(path.count("[]"), recs[a:b], reps[a:b], defs[a:b], leaves.slice(a, b - a)) for path, a, b in zip(names, bounds, bounds[1:])})
 
+    @classmethod
+    def of_records(cls, made: list[dict[str, tuple[list[int], list[int], list[str | None]]]]) -> Chunks:
+        """The chunks of records striped a moment ago, laid out as by ``of_batch``."""
+        laid: dict[str, tuple[list[int], list[int], list[int], list[str | None]]] = {}
+        for rec, record in enumerate(made):
+            for path, (reps, defs, leaves) in record.items():
+                held = laid.get(path)
+                if held is None:
+                    held = laid[path] = ([], [], [], [])
+                held[0].extend([rec] * len(reps))
+                held[1].extend(reps)
+                held[2].extend(defs)
+                held[3].extend(leaves)
+        numbers = lambda values: np.fromiter(values, dtype=np.int64, count=len(values))
+        return cls({path: _Column(path.count("[]"), numbers(recs), numbers(reps), numbers(defs), pa.array(leaves, pa.string())) for path, (recs, reps, defs, leaves) in laid.items()})
+
     def lists(self, pattern: str) -> list[str]:
         """The list paths (ending in ``[]``) that match, shallow ones first."""
         rule, found = re.compile(pattern), {}
@@ -406,17 +423,42 @@ def _pages(chunks: Chunks) -> Iterator[tuple]:
         yield (at[0], at[1], int(digits.group()) if digits else at[1] + 1, _number(width.get(at)), _number(height.get(at)))
 
 
+def _batch(recs: list, chunks: Chunks, rows: Callable[[Chunks], Iterator[tuple]], schema: pa.Schema) -> pa.RecordBatch:
+    out = [(recs[row[0]], *row[1:]) for row in rows(chunks)]
+    columns = list(zip(*out)) if out else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
+def _at_once(df: DataFrame, key: str, payload: str, rows: Callable[[Chunks], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """``_assemble`` of ``shred`` in one stage, where the chunks themselves aren't wanted: they stay in the worker that made them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recs, made = [], []
+            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                good, value = _parse(text)
+                if good and isinstance(value, dict):
+                    recs.append(rec)
+                    made.append(stripe(value))
+            yield _batch(recs, Chunks.of_records(made), rows, schema)
+
+    return _source(df, key, payload).mapInArrow(run, ddl)
+
+
 def _assemble(shredded: DataFrame, rows: Callable[[Chunks], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            recs = batch.column(0).to_pylist()
-            out = [(recs[row[0]], *row[1:]) for row in rows(Chunks.of_batch(batch.column(1)))]
-            columns = list(zip(*out)) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types)], schema=schema)
+            yield _batch(batch.column(0).to_pylist(), Chunks.of_batch(batch.column(1)), rows, schema)
 
     return shredded.select("rec_id", "chunks").mapInArrow(run, ddl)
 
 
+_BLOCK_ROWS = pa.schema([("rec_id", pa.int64()), ("page_pos", pa.int32()), ("block_path", pa.string()), ("parent_path", pa.string()), ("label", pa.string()), ("block_index", pa.int32()), ("score", pa.float64()), ("bbox", pa.list_(pa.float64())), ("texts", pa.list_(pa.string()))])
+_BLOCK_DDL = "rec_id long, page_pos int, block_path string, parent_path string, label string, block_index int, score double, bbox array<double>, texts array<string>"
+_PAGE_ROWS = pa.schema([("rec_id", pa.int64()), ("page_pos", pa.int32()), ("page_number", pa.int64()), ("width", pa.float64()), ("height", pa.float64())])
+_PAGE_DDL = "rec_id long, page_pos int, page_number long, width double, height double"
+
+
 def block_table(shredded: DataFrame) -> DataFrame:
     """Each block at any depth: rec_id, page_pos, block_path, parent_path, label, block_index, score, bbox, texts.
 
@@ -424,15 +466,22 @@ def block_table(shredded: DataFrame) -> DataFrame:
     itself. label and bbox are null where they're missing or incomplete, texts
     is empty where nothing was recognised.
     """
-    box = pa.list_(pa.float64())
-    schema = pa.schema([("rec_id", pa.int64()), ("page_pos", pa.int32()), ("block_path", pa.string()), ("parent_path", pa.string()), ("label", pa.string()), ("block_index", pa.int32()), ("score", pa.float64()), ("bbox", box), ("texts", pa.list_(pa.string()))])
-    return _assemble(shredded, _blocks, schema, "rec_id long, page_pos int, block_path string, parent_path string, label string, block_index int, score double, bbox array<double>, texts array<string>")
+    return _assemble(shredded, _blocks, _BLOCK_ROWS, _BLOCK_DDL)
+
+
+def blocks_of(df: DataFrame, key: str = "rec_id", payload: str = "payload") -> DataFrame:
+    """``block_table`` of the payloads of a table; what ``shred`` says of odd payloads holds here."""
+    return _at_once(df, key, payload, _blocks, _BLOCK_ROWS, _BLOCK_DDL)
 
 
 def page_table(shredded: DataFrame) -> DataFrame:
     """Each page: rec_id, page_pos, page_number (its place if it names none), width, height."""
-    schema = pa.schema([("rec_id", pa.int64()), ("page_pos", pa.int32()), ("page_number", pa.int64()), ("width", pa.float64()), ("height", pa.float64())])
-    return _assemble(shredded, _pages, schema, "rec_id long, page_pos int, page_number long, width double, height double")
+    return _assemble(shredded, _pages, _PAGE_ROWS, _PAGE_DDL)
+
+
+def pages_of(df: DataFrame, key: str = "rec_id", payload: str = "payload") -> DataFrame:
+    """``page_table`` of the payloads of a table."""
+    return _at_once(df, key, payload, _pages, _PAGE_ROWS, _PAGE_DDL)
 
 
 def line_table(blocks: DataFrame) -> DataFrame:

@@ -9,26 +9,26 @@ from docloom.operators import shred as S
 from docloom.session import spread, table
 
 
-def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.shred(spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload"), "rec_id", "payload"))
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "layout_blocks_standard", "rec_id", "payload"), "rec_id", "payload")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = S.block_table(_shredded(spark, sf_dir))
+    blocks = S.blocks_of(_payloads(spark, sf_dir))
     whole = F.col("label").isNotNull() & F.col("bbox").isNotNull() & (F.size("texts") > 0)
     return blocks.where(whole).select("rec_id", "page_pos", "block_path", "parent_path")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.block_table(_shredded(spark, sf_dir))
+    return S.blocks_of(_payloads(spark, sf_dir))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.page_table(_shredded(spark, sf_dir))
+    return S.pages_of(_payloads(spark, sf_dir))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.line_table(S.block_table(_shredded(spark, sf_dir)))
+    return S.line_table(S.blocks_of(_payloads(spark, sf_dir)))
 
 
 def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,12 @@ def test_tables(spark):
     assert sorted((r.rec_id, r.reason) for r in S.unreadable(df).collect()) == [(2, "null"), (3, "blank"), (4, "malformed"), (5, "not an object"), (7, "malformed")]
     assert S.line_table(S.block_table(shredded)).count() == 5
     assert S.block_table(S.shred(df.limit(0))).count() == 0
+
+
+def test_in_one_stage_or_two(spark):
+    rows = [(1, json.dumps(PAGE)), (1, json.dumps(PAGE)), (2, None), (3, '{"pages": [{"blocks": [{"label": "x"}]}]}'), (4, "{"), (None, json.dumps(PAGE))]
+    df = spark.createDataFrame(rows, "rec_id long, payload string")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, S.blocks_of(df).collect())) == sorted(map(key, S.block_table(S.shred(df)).collect()))
+    assert sorted(map(key, S.pages_of(df).collect())) == sorted(map(key, S.page_table(S.shred(df)).collect()))
+    assert S.blocks_of(df.limit(0)).count() == 0
