@@ -40,6 +40,8 @@ INDEX_NAMES = ("block_index", "order", "reading_order", "id", "position")
 WIDTH_NAMES = ("width", "page_width")
 HEIGHT_NAMES = ("height", "page_height")
 CORNERS = ("x1", "y1", "x2", "y2")
+# Fixed value: bytes of payloads, or of their chunks, that a worker holds as Python objects at a time (they take about 30 times as much); a longer payload is held whole.
+AT_A_TIME = 2 << 20
 
 
 _quoted = json.encoder.encode_basestring
@@ -77,55 +79,60 @@ def _step(key: str) -> str:
     return key.replace("~", "~0").replace(".", "~1").replace("[", "~2")
 
 
+def _lay(kind: _Kind, path: str, out: dict[str, tuple[list[int], list[int], list[str | None]]]) -> list[tuple]:
+    if kind.atom or not (kind.item or kind.keys):
+        kind.chunk = out[path] = ([], [], [])
+        kind.leaves.append(kind.chunk)
+    if kind.item is not None:
+        kind.leaves += _lay(kind.item, path + "[]", out)
+    for key, child in kind.keys.items():
+        kind.leaves += _lay(child, f"{path}.{_step(key)}" if path else _step(key), out)
+    return kind.leaves
+
+
+def _nothing(kind: _Kind, rep: int, level: int) -> None:
+    for reps, defs, leaves in kind.leaves:
+        reps.append(rep)
+        defs.append(level)
+        leaves.append(None)
+
+
+def _walk(node: object, kind: _Kind, rep: int, level: int, depth: int) -> None:
+    if node is None:
+        _nothing(kind, rep, level)
+        return
+    if kind.chunk is not None:
+        reps, defs, leaves = kind.chunk
+        reps.append(rep)
+        defs.append(level)
+        leaves.append(None if isinstance(node, (dict, list)) else _quoted(node) if isinstance(node, str) else json.dumps(node))
+    if kind.item is not None:
+        if isinstance(node, list) and node:
+            _walk(node[0], kind.item, rep, level + 1, depth + 1)
+            for child in node[1:]:
+                _walk(child, kind.item, depth + 1, level + 1, depth + 1)
+        else:
+            _nothing(kind.item, rep, level)
+    if kind.keys:
+        get = node.get if isinstance(node, dict) else {}.get
+        for key, child in kind.keys.items():
+            got = get(key)
+            if got is None:
+                _nothing(child, rep, level)
+            else:
+                _walk(got, child, rep, level + 1, depth)
+
+
 def stripe(value: object, skip: frozenset[str] = frozenset()) -> dict[str, tuple[list[int], list[int], list[str | None]]]:
-    """The column chunks of one parsed record, in the order of its fields; those of fields to ``skip`` aren't made."""
+    """The column chunks of one parsed record, in the order of its fields; those of fields to ``skip`` aren't made.
+
+    No function in here refers to itself: such a cycle would keep the chunks until Python happens to collect its garbage.
+    """
     top = _Kind()
     _kinds(value, top, skip)
     out: dict[str, tuple[list[int], list[int], list[str | None]]] = {}
-
-    def lay(kind: _Kind, path: str) -> list[tuple]:
-        if kind.atom or not (kind.item or kind.keys):
-            kind.chunk = out[path] = ([], [], [])
-            kind.leaves.append(kind.chunk)
-        if kind.item is not None:
-            kind.leaves += lay(kind.item, path + "[]")
-        for key, child in kind.keys.items():
-            kind.leaves += lay(child, f"{path}.{_step(key)}" if path else _step(key))
-        return kind.leaves
-
-    def nothing(kind: _Kind, rep: int, level: int) -> None:
-        for reps, defs, leaves in kind.leaves:
-            reps.append(rep)
-            defs.append(level)
-            leaves.append(None)
-
-    def walk(node: object, kind: _Kind, rep: int, level: int, depth: int) -> None:
-        if node is None:
-            nothing(kind, rep, level)
-            return
-        if kind.chunk is not None:
-            reps, defs, leaves = kind.chunk
-            reps.append(rep)
-            defs.append(level)
-            leaves.append(None if isinstance(node, (dict, list)) else _quoted(node) if isinstance(node, str) else json.dumps(node))
-        if kind.item is not None:
-            if isinstance(node, list) and node:
-                walk(node[0], kind.item, rep, level + 1, depth + 1)
-                for child in node[1:]:
-                    walk(child, kind.item, depth + 1, level + 1, depth + 1)
-            else:
-                nothing(kind.item, rep, level)
-        if kind.keys:
-            get = node.get if isinstance(node, dict) else {}.get
-            for key, child in kind.keys.items():
-                got = get(key)
-                if got is None:
-                    nothing(child, rep, level)
-                else:
-                    walk(got, child, rep, level + 1, depth)
-
-    lay(top, "")
-    walk(value, top, 0, 0, 0)
+    _lay(top, "", out)
+    _walk(value, top, 0, 0, 0)
     return out
 
 
@@ -166,6 +173,33 @@ def _parse(text: str | None) -> tuple[bool, object]:
         return False, None
 
 
+def _parts(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, a part of those that begin within the same ``AT_A_TIME`` bytes: every row is in one, none is cut."""
+    begins = (np.cumsum(sizes, dtype=np.int64) - sizes) // AT_A_TIME
+    cuts = [0, *(np.flatnonzero(np.diff(begins)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int | None, str | None]]]:
+    """rec_id and payload of the rows of a table, a part at a time."""
+    for batch in batches:
+        for part in _parts(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()):
+            yield zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
+def _striped(batches: Iterator[pa.RecordBatch], skip: frozenset[str] = frozenset()) -> Iterator[tuple[list[int | None], list[dict[str, tuple[list[int], list[int], list[str | None]]]]]]:
+    """rec_id and column chunks of the payloads that can be shredded, a part at a time."""
+    for rows in _texts(batches):
+        recs, made = [], []
+        for rec, text in rows:
+            good, value = _parse(text)
+            if good and isinstance(value, dict):
+                recs.append(rec)
+                made.append(stripe(value, skip))
+        yield recs, made
+
+
 def _source(df: DataFrame, key: str, payload: str) -> DataFrame:
     rows = df.select(F.col(key).cast("long").alias("rec_id"), F.col(payload).cast("string").alias("payload"))
     return rows.dropDuplicates(["rec_id", "payload"])
@@ -194,13 +228,7 @@ def shred(df: DataFrame, key: str = "rec_id", payload: str = "payload", skip: tu
     pruned = frozenset(skip)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            recs, made = [], []
-            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                good, value = _parse(text)
-                if good and isinstance(value, dict):
-                    recs.append(rec)
-                    made.append(stripe(value, pruned))
+        for recs, made in _striped(batches, pruned):
             yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), _columns(made)], names=["rec_id", "chunks"])
 
     return _source(df, key, payload).mapInArrow(run, SHREDDED)
@@ -210,9 +238,9 @@ def unreadable(df: DataFrame, key: str = "rec_id", payload: str = "payload") ->
     """rec_id and reason (``null``, ``blank``, ``malformed``, ``not an object``) of each payload that can't be shredded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _texts(batches):
             recs, reasons = [], []
-            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for rec, text in rows:
                 good, value = _parse(text)
                 if not (good and isinstance(value, dict)):
                     recs.append(rec)
@@ -433,22 +461,24 @@ def _at_once(df: DataFrame, key: str, payload: str, rows: Callable[[Chunks], Ite
     """``_assemble`` of ``shred`` in one stage, where the chunks themselves aren't wanted: they stay in the worker that made them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            recs, made = [], []
-            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                good, value = _parse(text)
-                if good and isinstance(value, dict):
-                    recs.append(rec)
-                    made.append(stripe(value))
+        for recs, made in _striped(batches):
             yield _batch(recs, Chunks.of_records(made), rows, schema)
 
     return _source(df, key, payload).mapInArrow(run, ddl)
 
 
+def _held(records: pa.ListArray) -> np.ndarray:
+    """About the bytes of the column chunks of each record of a batch: 16 for an entry."""
+    bounds = records.offsets.to_numpy().astype(np.int64)
+    entries = records.flatten().field("reps").offsets.to_numpy().astype(np.int64)
+    return 16 * np.diff(entries[bounds - bounds[0]])
+
+
 def _assemble(shredded: DataFrame, rows: Callable[[Chunks], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch(batch.column(0).to_pylist(), Chunks.of_batch(batch.column(1)), rows, schema)
+            for part in _parts(batch, _held(batch.column(1))):
+                yield _batch(part.column(0).to_pylist(), Chunks.of_batch(part.column(1)), rows, schema)
 
     return shredded.select("rec_id", "chunks").mapInArrow(run, ddl)
 

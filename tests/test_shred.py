@@ -1,5 +1,8 @@
 import json
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +70,59 @@ def test_in_one_stage_or_two(spark):
     assert sorted(map(key, S.blocks_of(df).collect())) == sorted(map(key, S.block_table(S.shred(df)).collect()))
     assert sorted(map(key, S.pages_of(df).collect())) == sorted(map(key, S.page_table(S.shred(df)).collect()))
     assert S.blocks_of(df.limit(0)).count() == 0
+
+
+class Source:
+    """Stands for a table: gives what a worker runs over its batches."""
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, ddl):
+        return run
+
+
+def peak_mb(run, batch):
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_does_not_grow_with_the_batch(monkeypatch):
+    monkeypatch.setattr(S, "_source", lambda df, key, payload: Source())
+    pages = {"pages": [{"blocks": [{"label": "x", "bbox": [1, 2, 3, 4], "ocr": {"lines": [{"text": "điều khoản" * 9}] * 60}}] * 4}] * 2}
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([json.dumps(pages)] * n)], names=["rec_id", "payload"])
+    few, many = 60, 240
+    for run, each in ((S.blocks_of(None), 8), (S.pages_of(None), 2), (S.shred(None), 1)):
+        (rows, small), (more, large) = peak_mb(run, batch(few)), peak_mb(run, batch(many))
+        assert (rows, more) == (each * few, each * many)
+        assert large < 1.5 * small + 1, (small, large)
+
+
+def test_parts_of_a_batch():
+    batch = lambda sizes: pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int64())], names=["rec_id"])
+    for sizes in ([], [0], [0, 0, 0], [9 * S.AT_A_TIME], [1, 9 * S.AT_A_TIME, 1, 0], [S.AT_A_TIME] * 3, [S.AT_A_TIME // 2 + 1] * 7):
+        parts = list(S._parts(batch(sizes), np.array(sizes, dtype=np.int64)))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(sizes)))
+        for part in parts:
+            assert sum(sizes[i] for i in part.column(0).to_pylist()[:-1]) <= S.AT_A_TIME
+
+
+def test_parts_give_what_the_whole_gives(spark, monkeypatch):
+    rows = [(k, json.dumps(PAGE | {"k": "x" * 40 * k})) for k in range(30)] + [(30, None), (31, "{")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["rec_id", "payload"])
+    monkeypatch.setattr(S, "_source", lambda df, key, payload: Source())
+
+    def made():
+        chunks = pa.Table.from_batches(list(S.shred(None)(iter([batch])))).combine_chunks().to_batches()
+        return [pa.Table.from_batches(list(run(iter(given)))).to_pylist() for run, given in ((S.blocks_of(None), [batch]), (S.pages_of(None), [batch]), (S.unreadable(None), [batch]), (S.block_table(Source()), chunks), (S.page_table(Source()), chunks))]
+
+    key = lambda r: str(r)
+    whole = [sorted(rows, key=key) for rows in made()]
+    for size in (1, 1500, 5000):
+        monkeypatch.setattr(S, "AT_A_TIME", size)
+        assert [sorted(rows, key=key) for rows in made()] == whole
+    assert len(whole[0]) == 180 and whole[0] == whole[3] and whole[1] == whole[4]
