@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,3 +50,22 @@ def test_letters_of_the_public_list(spark):
         assert L.skeleton(a, shape) != L.skeleton(b, shape), (a, b)
     df = spark.createDataFrame([(1, "Ꭺbc", "Abc"), (2, "Ꭺbc", "abc")], "id long, left string, right string")
     assert [r.id for r in L.alike(df, "id", "left", "right").collect()] == [1]
+
+
+@pytest.mark.parametrize("said", [None, lambda text: "\n".join(text.split("\n")[:-1]), lambda text: "", lambda text: text])
+def test_a_list_that_cannot_be_read_is_told(said):
+    text = SimpleNamespace()
+    if said:
+        setattr(text, "SpoofChecker$Builder", lambda: SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=said)))
+    jvm = SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=text))))
+    for session in (SimpleNamespace(_jvm=jvm), SimpleNamespace(_jvm=None), SimpleNamespace()):
+        with pytest.raises(RuntimeError, match="confusables"):
+            L.prototypes(session)
+
+
+def test_operators_raise_without_the_list(spark):
+    rows = spark.createDataFrame([(1, "Ꭺbc", "Abc")], "id long, left string, right string")
+    df = SimpleNamespace(select=rows.select, sparkSession=SimpleNamespace())
+    for made in (lambda: L.alike(df, "id", "left", "right"), lambda: L.groups(df, "id", "left")):
+        with pytest.raises(RuntimeError, match="confusables"):
+            made()
